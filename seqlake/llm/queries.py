@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, toxicity, warc
+from . import bpe, decontaminate, media, suffix_index, toxicity, warc
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -28,6 +28,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_index.remove(table(spark, sf_dir, "documents"), 200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.round_trip(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -40,7 +45,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontaminate, op4_warc, op5_byte_bpe, op8_media, op9_toxicity)}
+    return {f.__name__: f for f in (op3_decontaminate, op4_warc, op5_byte_bpe, op7_suffix_index, op8_media, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
