@@ -26,7 +26,7 @@ from .common import arrow
 
 BITS, DIM = 17, 6
 #: Labelled rows that the fit uses at most.
-TRAIN_TOXIC, TRAIN_CLEAN = 1500, 4500
+TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000
 EPOCHS, BATCH, RATE, DECAY = 10, 250, 0.15, 1e-6
 #: Subwords of zero vectors added to every mean, so that few words move a score little.
 PRIOR = 40
@@ -101,44 +101,48 @@ class Model:
         return total / (count + PRIOR) + self.bias
 
 
+def _bag(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table row, text, share of the text's mean) of the subwords of a batch, each row once a text."""
+    out: list[list[np.ndarray]] = [[], [], []]
+    for i, data, off in K.chunks(pa.array(texts, pa.large_string()), K.CHUNK_BYTES // 8):
+        r, first = subwords(data, off)
+        n = np.diff(first)
+        key, count = np.unique(np.repeat(np.arange(len(n)), n) << BITS | r, return_counts=True)
+        d = key >> BITS
+        for c, x, kind in zip(out, (key & ((1 << BITS) - 1), d + i, count / (n[d] + PRIOR)), (np.int32, np.int16, np.float32), strict=True):
+            c.append(x.astype(kind))
+    return tuple(np.concatenate(c) if c else np.zeros(0, np.int32) for c in out)
+
+
 def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     """Table and softmax together, classes weighted alike, by Adam on fixed batches."""
     y = np.asarray(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), -30.0)
-    rows, docs, vals, base = [], [], [], 0
-    for _, data, off in K.chunks(pa.array(texts, pa.large_string())):
-        r, first = subwords(data, off)
-        n = np.diff(first)
-        doc = np.repeat(np.arange(len(n)), n)
-        key, count = np.unique(doc.astype(np.int64) << BITS | r, return_counts=True)
-        d = key >> BITS
-        rows.append((key & ((1 << BITS) - 1)).astype(np.int32))
-        docs.append((d + base).astype(np.int32))
-        vals.append((count / (n[d] + PRIOR)).astype(np.float32))
-        base += len(n)
-    row, doc, val = map(np.concatenate, (rows, docs, vals))
-    often = (np.bincount(row, minlength=1 << BITS) >= LEAST_TEXTS)[row]
-    used, row = np.unique(row[often], return_inverse=True)
-    doc, val = doc[often], val[often]
     rng = np.random.Generator(np.random.PCG64(seed))
-    place = rng.permutation(len(y))  # text -> place in the order of the batches
-    order = np.argsort(place[doc], kind="stable")
-    row, doc, val = row[order], place[doc[order]], val[order]
-    target = np.empty(len(y), np.int64)
-    target[place] = y
+    order = rng.permutation(len(y))
+    y = y[order]
     share = np.array([CLEAN_WEIGHT, 1.0]) / (CLEAN_WEIGHT + 1)
-    weight = (share / np.bincount(y, minlength=2))[target].astype(np.float32) * (len(y) / BATCH)
-    hot = np.eye(2, dtype=np.float32)[target]
-    parts = []
+    weight = (share / np.bincount(y, minlength=2))[y].astype(np.float32) * (len(y) / BATCH)
+    hot = np.eye(2, dtype=np.float32)[y]
+    bags, texts_with = [], np.zeros(1 << BITS, np.int64)
     for lo in range(0, len(y), BATCH):
-        hi = min(lo + BATCH, len(y))
-        s, e = np.searchsorted(doc, [lo, hi])
-        r, d, v = row[s:e], doc[s:e] - lo, val[s:e, None]
+        bags.append(_bag([texts[i] for i in order[lo : lo + BATCH].tolist()]))
+        texts_with += np.bincount(bags[-1][0], minlength=1 << BITS)
+    used = np.flatnonzero(texts_with >= LEAST_TEXTS)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    parts = []
+    for k in range(len(bags)):  # each batch by text, and again by table row
+        r, d, v = bags[k]
+        bags[k] = None
+        r = place[r]
+        often = r >= 0
+        r, d, v = r[often], d[often], v[often, None]
         by = np.argsort(r, kind="stable")
         rows_in, at = np.unique(r[by], return_index=True)
         texts_in, first = np.unique(d, return_index=True)
-        parts.append((slice(lo, hi), r, v, texts_in, first, d[by], v[by], rows_in, at))
+        parts.append((slice(k * BATCH, min(len(y), (k + 1) * BATCH)), r, v, texts_in, first, d[by], v[by], rows_in, at))
     table = rng.normal(0, 0.02, (len(used), DIM)).astype(np.float32)
     soft = rng.normal(0, 1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
