@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, minhash, suffix_index, toxicity, warc
+from . import bpe, decontaminate, media, minhash, secret_scan, suffix_index, toxicity, warc
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -28,6 +28,15 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))).withColumn("_secrets", secret_scan.secrets())
+    places = F.transform("_secrets", lambda c: F.concat(c["start"].cast("string"), F.lit(":"), c["end"].cast("string")))
+    return out.select(
+        "doc_id", F.size("_scan.candidates").cast("long").alias("n_candidates"), F.size("_secrets").cast("long").alias("n_secrets"),
+        F.array_join(places, ",").alias("spans"), F.sha2("_scan.redacted", 256).alias("redacted_sha256"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -50,7 +59,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_decontaminate, op4_warc, op5_byte_bpe, op7_suffix_index, op8_media, op9_toxicity)}
+    return {f.__name__: f for f in (op1_minhash, op2_secrets, op3_decontaminate, op4_warc, op5_byte_bpe, op7_suffix_index, op8_media, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
