@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, minhash, secret_scan, suffix_index, toxicity, warc
+from . import bpe, decontaminate, media, minhash, pii, secret_scan, suffix_index, toxicity, warc
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -42,6 +42,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.scan(table(spark, sf_dir, "documents"))
+    every = F.array_sort(F.concat("_pii.base", "_pii.more"))
+    return out.select("doc_id", *(pii.count(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.listed(F.col("_pii.base")), 256).alias("base_sha256"), pii.listed(every).alias("spans"))
+
+
 def op7_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_index.remove(table(spark, sf_dir, "documents"), 200)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -59,7 +65,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_secrets, op3_decontaminate, op4_warc, op5_byte_bpe, op7_suffix_index, op8_media, op9_toxicity)}
+    return {f.__name__: f for f in (op1_minhash, op2_secrets, op3_decontaminate, op4_warc, op5_byte_bpe, op6_pii, op7_suffix_index, op8_media, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
