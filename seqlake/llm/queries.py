@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, minhash, pii, secret_scan, suffix_index, toxicity, warc
+from . import bpe, decontaminate, licenses, media, minhash, pii, secret_scan, suffix_index, toxicity, warc
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -64,8 +64,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(table(spark, sf_dir, "documents"), path).select("doc_id", "_license.headers", "_license.score", "_license.own", "_license.inherited", F.col("_license.source").alias("inherited_from"), "_license.license")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_secrets, op3_decontaminate, op4_warc, op5_byte_bpe, op6_pii, op7_suffix_index, op8_media, op9_toxicity)}
+    return {f.__name__: f for f in (op1_minhash, op2_secrets, op3_decontaminate, op4_warc, op5_byte_bpe, op6_pii, op7_suffix_index, op8_media, op9_toxicity, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
