@@ -11,10 +11,10 @@ are linked if intersection / union >= percent / 100, checked on whole sets.
    probability (uniform prior) that its similarity reaches the threshold is below MISS. Survivors are confirmed on
    full shingle sets, taken from the texts again.
 4. Components of the links, by alternating star contraction. In buckets that still hold several components, all pairs
-   between different components are proposed, behind a test of 128 sketch bits inside the join, verified and confirmed
-   in the same way. Pairs inside one component cannot change the result, so a group of thousands of copies costs a
-   star and not its square, and no link between different texts is lost but for the bands' and MISS's probability
-   (at similarity 0.8 the bands miss one pair in 300,000).
+   between different components are verified and, unless connected meanwhile, confirmed. Members are dealt into blocks
+   for that, a task compares two blocks, and pairs stay inside it. Pairs inside one component cannot change the result, so
+   a group of thousands of copies costs a star and not its square, and no link between different texts is lost but for
+   the bands' and MISS's probability (at similarity 0.8 the bands miss one pair in 300,000).
 
 Null text has no words. Rows that repeat are documents of one node each; rows that share an id share its component
 only through their texts. A null id never is the smallest of a component with other ids. Further columns are not read.
@@ -37,8 +37,8 @@ from .common import arrow, cut, small_side
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 STEP, MISS = 32, 1e-7
-#: Sketch bits, of 128, in which a pair may differ before it is left out: at similarity 0.8, 12.8 are expected; 36 lie 6.8 deviations above.
-DIFFER = 36
+#: Members of a bucket that are compared with each other at once.
+BLOCK = 512
 
 WORD = K.byte_class((0x20, 0x20), (0x09, 0x0D))
 _rng = np.random.Generator(np.random.PCG64(4711))
@@ -103,7 +103,7 @@ def least_matches(percent: int, step: int = STEP, total: int = HASHES, miss: flo
 
 
 def profile(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, k1 and k2 (fingerprints that name the row), n (set size), node, bands, sig, s1 and s2 (sketch bits) of each row."""
+    """id, k1 and k2 (fingerprints that name the row), n (set size), node, bands, sig of each row."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     keyed = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col].cast("string"), text).alias("k1"), F.hash(text, docs[id_col].cast("string")).alias("k2"), text.alias("text"))
 
@@ -113,7 +113,7 @@ def profile(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: s
             texts = len(off) - 1
             n = np.array([len(np.unique(s[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], np.int64)
             some = np.flatnonzero(n)
-            node, bands, sig, s1, s2 = [None] * texts, [None] * texts, [None] * texts, np.zeros(texts, np.int64), np.zeros(texts, np.int64)
+            node, bands, sig = [None] * texts, [None] * texts, [None] * texts
             if len(some):
                 p, _ = K.powers(len(h) + 1)
                 place = p[np.arange(len(h)) - np.repeat(word[:-1], np.diff(word))]
@@ -124,16 +124,14 @@ def profile(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: s
                 one = np.ascontiguousarray((spread & np.uint64(255)).astype(np.uint8).T)
                 keys = spread.reshape(BANDS, ROWS, -1)
                 band = K.mix((keys * p[1 : ROWS + 1][None, :, None]).sum(1) + np.arange(BANDS, dtype=np.uint64)[:, None] * _SALT).T
-                bit = ((spread[:128] >> np.uint64(8)) & np.uint64(1)) << (np.arange(128, dtype=np.uint64) % np.uint64(64))[:, None]
-                s1[some], s2[some] = bit[:64].sum(0).view(np.int64), bit[64:].sum(0).view(np.int64)
                 name = np.stack(c, 1)
                 for k, t in enumerate(some.tolist()):
                     node[t], bands[t], sig[t] = name[k].tobytes(), band[k].view(np.int64), one[k].tobytes()
-            cols = [*(batch.column(j).slice(i, texts) for j in range(3)), pa.array(n), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(s1), pa.array(s2)]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "k1", "k2", "n", "node", "bands", "sig", "s1", "s2"])
+            cols = [*(batch.column(j).slice(i, texts) for j in range(3)), pa.array(n), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "k1", "k2", "n", "node", "bands", "sig"])
 
     kind = keyed.schema["id"].dataType.simpleString()
-    return arrow(keyed, work, f"id {kind}, k1 bigint, k2 int, n bigint, node binary, bands array<bigint>, sig binary, s1 bigint, s2 bigint")
+    return arrow(keyed, work, f"id {kind}, k1 bigint, k2 int, n bigint, node binary, bands array<bigint>, sig binary")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -156,14 +154,19 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return arrow(both, work, "a binary, b binary")
 
 
+def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of needed nodes (node, k1, k2)."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    keyed = docs.select(F.xxhash64(docs[id_col].cast("string"), text).alias("k1"), F.hash(text, docs[id_col].cast("string")).alias("k2"), text.alias("text"))
+    return cut(keyed.join(needed, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]), "minhash-texts")
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
     """Pairs whose full sets meet the threshold; texts are read for the nodes of pairs only."""
     pairs = cut(pairs, "minhash-pairs")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = small_side(cut(needed.join(nodes.select("node", "k1", "k2"), "node"), "minhash-needed"))
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    keyed = docs.select(F.xxhash64(docs[id_col].cast("string"), text).alias("k1"), F.hash(text, docs[id_col].cast("string")).alias("k2"), text.alias("text"))
-    texts = cut(keyed.join(needed, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]), "minhash-texts")
+    texts = _texts(docs, needed, id_col, text_col)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def work(batch: pa.RecordBatch):
@@ -193,6 +196,111 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     return cut(arrow(both, work, "a binary, b binary"), "minhash-links")
 
 
+def _grouped(batches, key: str):
+    """Tables of the rows of one key each, from batches that are sorted by it."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = pa.Table.from_batches([b])
+        if held is not None:
+            rows = pa.concat_tables([held, rows])
+        k = np.asarray(rows.column(key).to_pylist(), object)
+        cut_at = np.flatnonzero(k[1:] != k[:-1]) + 1
+        edges = [0, *cut_at.tolist()]
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            yield rows.slice(s, e - s)
+        held = rows.slice(edges[-1])
+    if held is not None:
+        yield held
+
+
+class _Union:
+    """Which of a few things are connected."""
+
+    def __init__(self, labels):
+        first: dict = {}
+        self.up = [first.setdefault(x, i) for i, x in enumerate(labels)]
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+
+def crossed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Links between different components that share a bucket, as far as they connect more than is connected.
+
+    The members of a bucket are dealt into blocks, and each pair of blocks is a task's unit: pairs never become rows. First,
+    signatures are compared, each pair in the first bucket that it shares; then texts are fetched for the pairs of
+    blocks in which pairs are left, and these are confirmed on full sets unless they are connected by now."""
+    named = buckets.where("size > 2").join(labels, "node", "left").select("bucket", "band", "node", "head", F.coalesce("label", "node").alias("label"))
+    sizes = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x != y")
+    sizes = sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    left = named.join(sizes, "bucket").where("node != head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    unit = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws("-", F.hex("bucket"), F.least(j, F.col("own")).cast("string"), F.greatest(j, F.col("own")).cast("string"))))
+    dealt = left.select(unit.alias("unit"), "own", "node", "band", "label").join(nodes.select("node", "bands", "sig"), "node")
+    least = least_matches(percent)[-1]
+
+    def compare(batches):
+        for rows in _grouped(batches, "unit"):
+            if rows.num_rows < 2:
+                continue
+            node, label, own = rows.column("node").to_pylist(), rows.column("label").to_pylist(), rows.column("own").to_numpy()
+            _, name = np.unique(np.array(label, object), return_inverse=True)
+            sig = np.stack([np.frombuffer(x, np.uint8) for x in rows.column("sig").to_pylist()])
+            band = np.stack(rows.column("bands").to_pylist())[:, : rows.column("band")[0].as_py()]
+            two, pairs = len(set(own.tolist())) > 1, []
+            solo = rows.column("unit")[0].as_py().split("-")
+            if not two and solo[1] != solo[2]:
+                continue
+            for i in range(len(node) - 1):
+                j = np.flatnonzero((name[i + 1 :] != name[i]) & ((own[i + 1 :] != own[i]) | (not two))) + i + 1
+                if len(j):
+                    j = j[(sig[j] == sig[i]).sum(1) >= least]
+                if len(j):
+                    j = j[~(band[j] == band[i]).any(1)]
+                pairs += [(i, x) for x in j.tolist()]
+            if pairs:
+                used = sorted({x for p in pairs for x in p})
+                at = {x: k for k, x in enumerate(used)}
+                yield pa.RecordBatch.from_pylist([{"unit": "-".join(solo), "nodes": [node[x] for x in used], "labels": [label[x] for x in used], "a": [at[x] for x, _ in pairs], "b": [at[y] for _, y in pairs]}], schema=pa.schema([("unit", pa.string()), ("nodes", pa.list_(pa.binary())), ("labels", pa.list_(pa.binary())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
+
+    units = dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "unit string, nodes array<binary>, labels array<binary>, a array<int>, b array<int>")
+    units = cut(units, "minhash-units")
+    needed = units.select(F.explode("nodes").alias("node")).distinct()
+    needed = small_side(cut(needed.join(nodes.select("node", "k1", "k2"), "node"), "minhash-needed"))
+    texts = _texts(docs, needed, id_col, text_col)
+    head = F.col("at") == 0
+    spread = units.select("unit", "labels", "a", "b", F.posexplode("nodes").alias("at", "node")).select("unit", "at", "node", F.get("labels", F.col("at")).alias("label"), *(F.when(head, F.col(c)).alias(c) for c in ("a", "b")))
+    joined = spread.join(texts, "node")
+
+    def confirm(batches):
+        for rows in _grouped(batches, "unit"):
+            order = np.argsort(rows.column("at").to_numpy())
+            rows = rows.take(pa.array(order))
+            have = [sets(*K.raw(rows.column("text").slice(i, 1)), width)[0] for i in range(rows.num_rows)]
+            union, node, good = _Union(rows.column("label").to_pylist()), rows.column("node").to_pylist(), []
+            for i, j in zip(rows.column("a")[0].as_py(), rows.column("b")[0].as_py(), strict=True):
+                a, b = union.find(i), union.find(j)
+                if a == b:
+                    continue
+                x, y = have[i], have[j]
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    continue
+                both = np.concatenate([x, y])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= percent * (len(both) - common):
+                    union.up[max(a, b)] = min(a, b)
+                    good.append({"a": node[i], "b": node[j]})
+            if good:
+                yield pa.RecordBatch.from_pylist(good, schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+
+    return cut(joined.repartition("unit").sortWithinPartitions("unit").mapInArrow(confirm, "a binary, b binary"), "minhash-crossed")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of the nodes of links (a, b): label is the component's least node. Alternating large and small stars."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "stars")
@@ -215,27 +323,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col:
     """(id_col, k1, k2, n_shingles, component_id, kept) of each row; k1 and k2 name the row by fingerprints of id and text."""
     rows = cut(profile(docs, width, id_col, text_col), "minhash-rows")
     one = F.min(F.struct("id", "k1", "k2"))
-    nodes = rows.where("node is not null").groupBy("node").agg(one.alias("r"), *(F.first(c).alias(c) for c in ("bands", "sig", "s1", "s2")))
-    nodes = cut(nodes.select("node", "r.k1", "r.k2", "bands", "sig", "s1", "s2"), "minhash-nodes")
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    nodes = rows.where("node is not null").groupBy("node").agg(one.alias("r"), *(F.first(c).alias(c) for c in ("bands", "sig")))
+    nodes = cut(nodes.select("node", "r.k1", "r.k2", "bands", "sig"), "minhash-nodes")
+    members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
     buckets = cut(members.join(heads, "bucket"), "minhash-buckets")
     stars = buckets.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     links = confirmed(verified(stars, nodes, percent), nodes, docs, percent, width, id_col, text_col)
     labels = components(links)
-    # Buckets in which several components are left: all pairs between these, but for those with the head, which were compared.
-    named = buckets.where("size > 2").join(labels, "node", "left").select("bucket", "node", "head", F.coalesce("label", "node").alias("label"))
-    open_ = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-    sketch = nodes.select("node", "s1", "s2")
-    left = cut(named.join(open_, "bucket").where("node != head").join(sketch, "node").select("bucket", "node", "label", "s1", "s2"), "minhash-open")
-    a, b = left.alias("a"), left.alias("b")
-    near = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2"))) <= DIFFER
-    cross = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & near)
-    cross = cut(cross.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "minhash-cross")
-    if not cross.isEmpty():
-        more = confirmed(verified(cross, nodes, percent), nodes, docs, percent, width, id_col, text_col)
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    more = crossed(buckets, nodes, labels, docs, percent, width, id_col, text_col)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     slim = rows.select("id", "k1", "k2", "n", "node")
     named = slim.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.where("label is not null").groupBy("label").agg(F.min("id").alias("least"))
