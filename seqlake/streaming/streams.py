@@ -11,7 +11,8 @@ from ..operators import qc
 
 def read(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
     """A stream of a Parquet table's files, a bounded number in each batch: the source's backpressure."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
+    # A pattern that only this path matches: the source then takes a single file as well as a folder.
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def quality(stream: DataFrame, preset: str = "standard") -> DataFrame:
@@ -31,7 +32,8 @@ def distinct_sketch(stream: DataFrame, key: str, item: Column) -> DataFrame:
 
 def windows(stream: DataFrame, width: str, late: str, ts: str = "ts") -> DataFrame:
     """Tumbling windows by event type, closed `late` after their end. An extension: the batch operators know no event time."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return timed.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
 def available(stream: DataFrame, to: str, mode: str = "append") -> DataFrame:
