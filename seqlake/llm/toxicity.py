@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import arrow
 
-BITS, DIM = 17, 6
+BITS, DIM = 18, 6
 #: Labelled rows that the fit uses at most.
 TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000
-EPOCHS, BATCH, RATE, DECAY = 10, 250, 0.15, 1e-6
+STEPS, BATCH, RATE, DECAY = 340, 250, 0.15, 1e-6
 #: Subwords of zero vectors added to every mean, so that few words move a score little.
 PRIOR = 40
 #: Weight of the clean class against the toxic one.
@@ -148,8 +148,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     bias = np.zeros(2, np.float32)
     params = [table, soft, bias]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    step, last = 0, EPOCHS * len(parts)
-    for _ in range(EPOCHS):
+    epochs = -(-STEPS // len(parts))
+    step, last = 0, epochs * len(parts)
+    for _ in range(epochs):
         for span, r, v, texts_in, first, back_doc, back_val, rows_in, at in parts:
             step += 1
             mean = np.zeros((span.stop - span.start, DIM), np.float32)
