@@ -41,24 +41,43 @@ def trim_bounds(q: Column, w: int = 4, least: int = 15) -> Column:
     return F.struct(F.when(found, first - 1).otherwise(0).cast("long").alias("start"), F.when(found, F.size(q) - last + 1).otherwise(F.size(q)).cast("long").alias("end"))
 
 
-def find_adapter(seq: str) -> tuple[int, int, int, int] | None:
-    """(adapter's number, place, overlap, mismatches) of the first match: adapters in order, longer overlaps first, then places from the left of the tail."""
-    x = np.frombuffer(seq.encode(), np.uint8)
-    n = len(x)
-    for number, a in enumerate(_CODES):
-        for overlap in range(min(len(a), n), OVERLAP - 1, -1):
-            lo = max(0, n - TAIL)
-            if n - overlap < lo:
-                continue
-            windows = np.lib.stride_tricks.sliding_window_view(x[lo:], overlap)
-            wrong = (windows != a[:overlap]).sum(1)
-            hit = np.flatnonzero(wrong <= int(ERRORS * overlap + 1e-9))
-            if len(hit):
-                return number, lo + int(hit[0]), overlap, int(wrong[hit[0]])
-    return None
+_CODES = [np.frombuffer(a.encode(), np.uint8) for a in ADAPTERS.values()]
 
 
-_CODES = [np.frombuffer(a.encode(), np.uint8) for a in ADAPTERS.values()]
+def find_adapters(seqs: list[str | None]) -> np.ndarray:
+    """A row (adapter's number, place, overlap, mismatches) for each read, -1 without a match: adapters in order, longer overlaps
+    first, then places from the left of the tail. Tails of all reads are compared at once, place by place."""
+    tails = [(s or "")[-TAIL:].encode() for s in seqs]
+    size = np.array([len(x) for x in tails], np.int64)
+    grid = np.zeros((len(tails), TAIL), np.uint8)
+    for i, x in enumerate(tails):
+        grid[i, : len(x)] = np.frombuffer(x, np.uint8)
+    out = np.full((len(tails), 4), -1, np.int64)
+    lo = np.array([len(s or "") for s in seqs], np.int64) - size
+    for number, a in enumerate(_CODES):
+        open_ = np.flatnonzero(out[:, 0] < 0)
+        best = np.zeros(len(open_), np.int64)
+        wrong = np.zeros(len(open_), np.int64)
+        for p in range(TAIL - OVERLAP + 1):
+            w = min(len(a), TAIL - p)
+            miss = np.cumsum(grid[open_, p : p + w] != a[:w], axis=1)[:, OVERLAP - 1 :]
+            o = np.arange(OVERLAP, w + 1)
+            ok = (miss <= (ERRORS * o + 1e-9).astype(np.int64)) & (o <= (size[open_] - p)[:, None])
+            longest = np.where(ok, o, 0).max(1)
+            key = np.where(longest > 0, longest * 100 + 99 - p, 0)
+            better = key > best
+            best[better] = key[better]
+            wrong[better] = miss[better, longest[better] - OVERLAP]
+        hit = best > 0
+        rows = open_[hit]
+        out[rows] = np.stack([np.full(len(rows), number), lo[rows] + 99 - best[hit] % 100, best[hit] // 100, wrong[hit]], 1)
+    return out
+
+
+def find_adapter(seq: str) -> tuple[int, ...] | None:
+    """Of one read."""
+    row = tuple(find_adapters([seq])[0].tolist())
+    return row if row[0] >= 0 else None
 
 
 def adapters(seq: Column) -> Column:
@@ -66,25 +85,29 @@ def adapters(seq: Column) -> Column:
 
     @F.pandas_udf("adapter int, place int, overlap int, mismatches int")
     def run(s: pd.Series) -> pd.DataFrame:
-        found = [find_adapter(x) if x else None for x in s]
-        return pd.DataFrame([f or (None,) * 4 for f in found], columns=["adapter", "place", "overlap", "mismatches"], dtype="Int32")
+        found = pd.DataFrame(find_adapters(s.tolist()), columns=["adapter", "place", "overlap", "mismatches"]).astype("Int32")
+        return found.mask(found["adapter"] < 0)
 
     return run(seq)
 
 
 def all_adapters(seq: Column) -> Column:
-    """Array of all matches: after each, the search goes on behind it."""
+    """Array of all matches: after each, the search goes on behind it, for the reads that had one."""
 
     @F.pandas_udf("array<struct<adapter: int, place: int, overlap: int, mismatches: int>>")
     def run(s: pd.Series) -> pd.Series:
-        def every(x: str | None) -> list[dict]:
-            out, at = [], 0
-            while x and len(x) - at >= OVERLAP and (f := find_adapter(x[at:])):
-                out.append({"adapter": f[0], "place": f[1] + at, "overlap": f[2], "mismatches": f[3]})
-                at += f[1] + f[2]
-            return out
-
-        return s.map(every)
+        reads, out = s.tolist(), [[] for _ in s]
+        live, at = list(range(len(reads))), [0] * len(reads)
+        while live:
+            found = find_adapters([(reads[i] or "")[at[i] :] for i in live]).tolist()
+            left = []
+            for i, (number, place, overlap, wrong) in zip(live, found, strict=True):
+                if number >= 0:
+                    out[i].append({"adapter": number, "place": place + at[i], "overlap": overlap, "mismatches": wrong})
+                    at[i] += place + overlap
+                    left.append(i)
+            live = left
+        return pd.Series(out)
 
     return run(seq)
 
