@@ -158,3 +158,10 @@ def sink_gfa(spark: SparkSession, d: str) -> DataFrame:
     """SK2."""
     c = V.contigs(spark, d)
     return sinks.gfa(c, sinks.consecutive(c.select("contig_id")), 0)
+
+
+@query(f"WITH {V.SEQS_SQL} SELECT doc_id, length(seq) AS len FROM seqs ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 50")
+def sequence_sample(spark: SparkSession, d: str) -> DataFrame:
+    """ST2, ST4: a random sample of 50 that is the same in every run."""
+    s = V.sequences(spark, d)
+    return s.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(50).select("doc_id", F.char_length("seq").cast("long").alias("len"))

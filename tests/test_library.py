@@ -157,3 +157,31 @@ def test_entry_point_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "kmer_spectrum" in e.queries()
+
+
+def test_pipeline_resumes(spark, tmp_path):
+    from seqlake import config, pipeline
+
+    r = random.Random(4)
+    genome = "".join(r.choice("ACGT") for _ in range(1200))
+    rows = [(f"@r{i}", genome[p : p + 100]) for i, p in enumerate(r.randrange(0, 1100) for _ in range(300))]
+    (tmp_path / "a.fastq").write_text("".join(f"{h}\n{s}\n+\n{'I' * len(s)}\n" for h, s in rows))
+    c = config.Config(k=15)
+    one = pipeline.analyze(spark, [str(tmp_path / "a.fastq")], str(tmp_path / "run"), c)
+    assert one["reads"] == {"pass": 300} and one["assembly"]["longest"] > 200
+    long = spark.read.parquet(str(tmp_path / "run/contigs")).orderBy(F.desc("len")).first().seq
+    assert long in genome
+    assert pipeline.analyze(spark, [str(tmp_path / "a.fastq")], str(tmp_path / "run"), c) == one
+    assert "| assembly | n50 |" in pipeline.markdown(one)
+    assert {x.name for x in pipeline.Run(spark, str(tmp_path / "run")).tables().collect()} >= {"reads", "contigs", "features"}
+
+
+def test_configuration(tmp_path):
+    from seqlake import config
+
+    (tmp_path / "c.toml").write_text(config.dump(config.Config(k=21)))
+    assert config.load(str(tmp_path / "c.toml")) == config.Config(k=21)
+    (tmp_path / "d.toml").write_text("k = 99\n")
+    with pytest.raises(ValueError):
+        config.load(str(tmp_path / "d.toml"))
+    assert config.parse_range("15-31") == (15, 31) and config.short(1_234_567) == "1.2M"
