@@ -38,8 +38,8 @@ def kmers(s: Column, k: int) -> Column:
 
 
 def clean_kmers(s: Column, k: int) -> Column:
-    """K-mers without ambiguous bases."""
-    return F.filter(kmers(s, k), lambda x: ~x.rlike("[^ACGT]"))
+    """K-mers without ambiguous bases; they are looked for one by one only in sequences that have such bases."""
+    return F.when(s.rlike("[^ACGT]"), F.filter(kmers(s, k), lambda x: ~x.rlike("[^ACGT]"))).otherwise(kmers(s, k))
 
 
 def pack(s: Column) -> Column:

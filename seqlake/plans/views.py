@@ -24,9 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Dealt out over all cores where the files have fewer pieces than there are cores, as a single small file has; larger tables stay as they are read."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, seq."""
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), FROM, TO).alias("seq"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    return docs.select("doc_id", "source", "lang", F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), FROM, TO).alias("seq"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
