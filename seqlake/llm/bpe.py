@@ -32,7 +32,7 @@ LETTER, NUMBER, OTHER, APOS1, APOS2, SPACE, WHITE, RESET = range(8)
 # States: the run that the code point just read belongs to; within a contraction, how many code points follow.
 S_LETTER, S_NUMBER, S_OTHER, S_SPACE, S_WHITE, S_TAIL2, S_TAIL1, S_FRESH = range(8)
 #: Pre-tokens kept merged in a worker; beyond it the cache starts anew.
-CACHE = 400_000
+CACHE = 150_000
 
 #: The white space of Unicode.
 _WHITE = [*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

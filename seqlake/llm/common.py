@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that goes to Python at once, unless the session sets its own: what an executor holds twice for each task.
+BATCH_BYTES = 8 << 20
 #: A side is broadcast only if its written size is at most this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
@@ -38,7 +40,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers whatever their PYTHONPATH."""
-    sc = spark.sparkContext
+    sc, key = spark.sparkContext, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in (str(64 << 20), f"{64 << 20}b", "64m", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
     if getattr(sc, "_seqlake_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]

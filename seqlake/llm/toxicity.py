@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import arrow
 
-BITS, DIM = 18, 6
+BITS, DIM = 17, 6
 #: Labelled rows that the fit uses at most.
-TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000
+TRAIN_TOXIC, TRAIN_CLEAN = 1000, 2000
 STEPS, BATCH, RATE, DECAY = 340, 250, 0.15, 1e-6
 #: Subwords of zero vectors added to every mean, so that few words move a score little.
 PRIOR = 40
@@ -186,7 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     got = sorted(texts.join(F.broadcast(chosen), "id").select("at", "id", "y", "text").collect())  # most rows at most, unless ids repeat
-    return fit([r.text for r in got], [r.y for r in got])
+    text, y = [r.text for r in got], [r.y for r in got]
+    del got
+    return fit(text, y)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
