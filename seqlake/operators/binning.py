@@ -10,8 +10,8 @@ from . import features
 
 #: Vectors' centroids come back to the driver: k of them, k at most MOST_BINS.
 MOST_BINS = 50
-#: Reference taxa and the share of G and C in their genomes.
-TAXA = {"Escherichia coli": 0.508, "Salmonella enterica": 0.522, "Bacillus subtilis": 0.435, "Staphylococcus aureus": 0.328, "Pseudomonas aeruginosa": 0.664, "Mycobacterium tuberculosis": 0.656, "Streptomyces coelicolor": 0.721, "Clostridium difficile": 0.291, "Lactobacillus plantarum": 0.445, "Deinococcus radiodurans": 0.666, "Helicobacter pylori": 0.389, "Plasmodium falciparum": 0.194}
+#: The 47 reference taxa and the share of G and C in their genomes, as in load_default_references.
+TAXA = {"Bacteroides fragilis": 0.43, "Bacteroides thetaiotaomicron": 0.43, "Faecalibacterium prausnitzii": 0.57, "Bifidobacterium longum": 0.6, "Bifidobacterium adolescentis": 0.59, "Lactobacillus acidophilus": 0.35, "Lactobacillus plantarum": 0.45, "Akkermansia muciniphila": 0.56, "Prevotella copri": 0.47, "Ruminococcus bromii": 0.49, "Escherichia coli": 0.51, "Salmonella enterica": 0.52, "Klebsiella pneumoniae": 0.57, "Enterobacter cloacae": 0.55, "Shigella flexneri": 0.51, "Yersinia pestis": 0.48, "Staphylococcus aureus": 0.33, "Staphylococcus epidermidis": 0.32, "Streptococcus pneumoniae": 0.4, "Streptococcus pyogenes": 0.39, "Enterococcus faecalis": 0.38, "Clostridium difficile": 0.29, "Clostridium botulinum": 0.28, "Listeria monocytogenes": 0.38, "Bacillus subtilis": 0.44, "Bacillus anthracis": 0.35, "Bacillus cereus": 0.35, "Pseudomonas aeruginosa": 0.66, "Pseudomonas putida": 0.62, "Pseudomonas fluorescens": 0.6, "Acinetobacter baumannii": 0.39, "Burkholderia cepacia": 0.67, "Mycobacterium tuberculosis": 0.66, "Haemophilus influenzae": 0.38, "Neisseria meningitidis": 0.51, "Bordetella pertussis": 0.68, "Legionella pneumophila": 0.38, "Rhizobium leguminosarum": 0.61, "Agrobacterium tumefaciens": 0.59, "Streptomyces coelicolor": 0.72, "Azotobacter vinelandii": 0.66, "Vibrio cholerae": 0.48, "Shewanella oneidensis": 0.46, "Prochlorococcus marinus": 0.31, "Mycoplasma pneumoniae": 0.4, "Helicobacter pylori": 0.39, "Campylobacter jejuni": 0.31}
 
 
 #: Ranges of keys that are counted to find a rank.
@@ -94,15 +94,20 @@ def profiles(spark) -> DataFrame:
 
 
 def classify(contigs: DataFrame, key: str, reference: DataFrame, least: float = 0.6) -> DataFrame:
-    """(key, taxon, confidence, margin): best cosine of 4-mer shares, ties by name; an equi-join on the k-mer stands for the cross join."""
+    """(key, taxon, confidence, margin): best cosine of 4-mer shares, ties by name; an equi-join on the k-mer stands for the cross join.
+    The reference is broadcast as one row a k-mer with the taxa side by side, so taxa of equal profiles get equal sums."""
+    taxa = sorted(r["taxon"] for r in reference.select("taxon").distinct().collect())  # the reference taxa
+    if not taxa:
+        return contigs.select(key, F.lit("").alias("taxon"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("margin")).limit(0)
+    wide = reference.groupBy("mer").pivot("taxon", taxa).agg(F.first("ref")).select("mer", *(F.coalesce(F.col(f"`{t}`"), F.lit(0.0)).alias(f"__r{i}") for i, t in enumerate(taxa)))
+    size = wide.agg(*(F.sqrt(F.sum(F.col(f"__r{i}") * F.col(f"__r{i}"))).alias(f"__s{i}") for i in range(len(taxa))))
     f = features.kmer_frequencies(contigs, key, 4)
     own = f.groupBy(key).agg(F.sqrt(F.sum(F.col("freq") * F.col("freq"))).alias("size"))
-    norm = reference.groupBy("taxon").agg(F.sqrt(F.sum(F.col("ref") * F.col("ref"))).alias("ref_size"))
-    dot = f.join(F.broadcast(reference), "mer").groupBy(key, "taxon").agg(F.sum(F.col("freq") * F.col("ref")).alias("dot"))
-    score = F.round(F.col("dot") / (F.col("size") * F.col("ref_size")), 9)
-    scored = dot.join(own, key).join(F.broadcast(norm), "taxon").select(key, "taxon", score.alias("confidence"))
-    best = scored.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "taxon"))).alias("a"))  # one entry a reference taxon
-    top = best.select(key, F.get("a", F.lit(0))["taxon"].alias("taxon"), (-F.get("a", F.lit(0))["c"]).alias("confidence"), F.round(F.get("a", F.lit(1))["c"] - F.get("a", F.lit(0))["c"], 9).alias("margin"))
+    dot = f.join(F.broadcast(wide), "mer").groupBy(key).agg(*(F.sum(F.col("freq") * F.col(f"__r{i}")).alias(f"__d{i}") for i in range(len(taxa))))
+    score = lambda i: F.round(F.col(f"__d{i}") / (F.col("size") * F.col(f"__s{i}")), 9)
+    best = F.array_sort(F.array(*(F.struct((-score(i)).alias("c"), F.lit(t).alias("taxon")) for i, t in enumerate(taxa))))
+    top = dot.join(own, key).crossJoin(F.broadcast(size)).select(key, best.alias("a"))
+    top = top.select(key, F.get("a", F.lit(0))["taxon"].alias("taxon"), (-F.get("a", F.lit(0))["c"]).alias("confidence"), F.round(F.get("a", F.lit(1))["c"] - F.get("a", F.lit(0))["c"], 9).alias("margin"))
     return top.where(F.col("confidence") >= least)
 
 

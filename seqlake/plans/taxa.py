@@ -97,7 +97,7 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_CLS} SELECT contig_id, taxon, confidence, margin FROM cls WHERE confidence >= 0.6")
 def taxa_classification(spark: SparkSession, d: str) -> DataFrame:
-    """JN6, ML8, ML9, ML10, ML11, ML18, SF12, SF13, SF30, WN7."""
+    """JN6, ML9, ML10, ML11, SF12, SF13, SF30, WN7."""
     return _classified(spark, d)
 
 

@@ -1,6 +1,8 @@
 """Queries against DuckDB on the smallest tables; operators against goldens and plain Python."""
 
 import glob
+import itertools
+import math
 import os
 import random
 
@@ -148,6 +150,22 @@ def test_kmeans_ends(spark):
     assert binning.seeds(v.where("id < 0"), "id", 3) == []
 
 
+def test_taxa_are_the_references(spark):
+    assert len(binning.TAXA) == 47 and binning.TAXA["Escherichia coli"] == 0.51 and "Plasmodium falciparum" not in binning.TAXA
+    r = random.Random(7)
+    rows = [(i, "".join(r.choices("ACGT", [(1 - g) / 2, g / 2, g / 2, (1 - g) / 2], k=3000))) for i, g in enumerate((0.2, 0.45, 0.55, 0.8))]
+    weight = lambda m, g: (g if sum(b in "GC" for b in m) > 2 else 1 - g) / 128
+    mers = ["".join(m) for m in itertools.product("ACGT", repeat=4)]
+    want = {}
+    for i, s in rows:
+        n = [sum(s.startswith(m, p) for p in range(len(s) - 3)) for m in mers]
+        cos = {t: math.sumprod(n, w) / math.sqrt(math.sumprod(n, n) * math.sumprod(w, w)) for t, g in binning.TAXA.items() for w in [[weight(m, g) for m in mers]]}
+        best = sorted((-round(c, 9), t) for t, c in cos.items())
+        want[i] = (best[0][1], round(-best[0][0], 6), round(best[1][0] - best[0][0], 6))
+    got = binning.classify(spark.createDataFrame(rows, "id long, seq string"), "id", binning.profiles(spark), 0.0).collect()
+    assert {x.id: (x.taxon, round(x.confidence, 6), round(x.margin, 6)) for x in got} == want
+
+
 def test_empty_tables(spark):
     r = spark.createDataFrame([], "read_id long, doc_id long, seq string, q array<long>")
     assert kmers.count(r, 3).count() == 0 and qc.cascade(r).count() == 0 and kmers.minimizers(r, 3, 2).count() == 0
