@@ -115,10 +115,75 @@ def pattern_columns(s: Column) -> list[Column]:
     return [S.cpg(s), 1 - S.entropy(s), *(S.ratio(S.longest_run(s, b), n) for b in S.BASES), *(S.lag_match(s, p) for p in (2, 3, 4))]
 
 
-def vectors(contigs: DataFrame, key: str, size: int = 64) -> DataFrame:
-    """(key, features): bases, patterns and complexity, filled up with zeros to `size`."""
-    s = F.col("seq")
+#: Codons of the reference's table in its order of amino acids (F, L, S, Y, C, W), and how many each has.
+CODONS, SYNONYMS = ("TTT", "TTC", "TTA", "TTG", "TCT", "TCC", "TCA", "TCG", "TAT", "TAC", "TGT", "TGC", "TGG"), (2, 2, 4, 2, 2, 1)
+#: Values of the sequence part, filled up with zeros, and of the k-mer part, cut.
+SEQUENCE_DIM, KMER_DIM, SIZES = 100, 64, (3, 4, 5, 6)
+_EMPTY = ((1 << 64) - 1) % 10_000
+
+
+def _codes(s: str) -> np.ndarray:
+    """0 to 3 for the bases, -1 for other letters."""
+    place = np.full(256, -1, np.int64)
+    place[np.frombuffer(S.BASES.encode(), np.uint8)] = range(4)
+    return place[np.frombuffer(s.encode(), np.uint8)]
+
+
+def _packed(x: np.ndarray, k: int) -> np.ndarray:
+    """Counts of the clean k-mers by their packed value."""
+    n = len(x) - k + 1
+    if n < 1:
+        return np.zeros(4**k, np.int64)
+    v, ok = np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(k):
+        v, ok = v * 4 + x[i : i + n], ok & (x[i : i + n] >= 0)
+    return np.bincount(v[ok], minlength=4**k)
+
+
+def count_values(s: str) -> list[float]:
+    """16 shares of dinucleotides, 13 codon usages over all frames, and for k = 3 to 6 the spectrum and the signature, cut at KMER_DIM."""
+    x = _codes(s)
+    pairs, triples = _packed(x, 2), _packed(x, 3)
+    out = list(pairs / max(pairs.sum(), 1))
+    at = 0
+    for size in SYNONYMS:
+        own = np.array([triples[int(np.dot(_codes(c), (16, 4, 1)))] for c in CODONS[at : at + size]])
+        out += list(own * size / max(own.sum(), 1))
+        at += size
+    kmer = []
+    for k in SIZES:
+        counts = _packed(x, k)
+        seen = np.flatnonzero(counts)
+        spectrum = np.bincount(np.minimum(counts[seen], 10), minlength=11)[1:]
+        kmer += list(spectrum / max(spectrum.sum(), 1))
+        kmer += [(int(((seen * a + b) % PRIME).min()) % 10_000 if len(seen) else _EMPTY) / 10_000 for a, b in HASHES]
+    return [float(v) for v in out + kmer[:KMER_DIM]]
+
+
+def fractal(n: Column) -> Column:
+    """log2(boxes) / log2(1 / box) of the last box size of 1, 6, .. 96 with more than one box, at most 2; 0 below two letters."""
+    box = 1 + 5 * F.floor((F.least(n - 1, F.lit(100)) - 1) / 5)
+    return F.when(n < 2, 0.0).when(n < 7, 2.0).otherwise(-F.log2(F.ceil(n / box).cast("double")) / F.log2(box.cast("double")))
+
+
+def vectors(contigs: DataFrame, key: str) -> DataFrame:
+    """(key, features): 20 values of composition, 13 of codon usage, 12 of patterns, 8 of complexity, filled up with zeros to
+    SEQUENCE_DIM, then KMER_DIM of spectra and signatures. Null counts as empty."""
+    s = F.coalesce("seq", F.lit(""))
     n = F.char_length(s)
-    parts = [*(S.ratio(S.count_of(s, b), n) for b in S.BASES), *pattern_columns(s), S.entropy(s), S.run_length_cost(s), *(S.distinct_share(s, k) for k in (3, 4, 5, 6))]
-    wide = contigs.select(key, *(p.alias(f"__f{i}") for i, p in enumerate(parts)))
-    return wide.select(key, F.concat(F.array(*(F.col(f"__f{i}") for i in range(len(parts)))), F.array_repeat(F.lit(0.0), size - len(parts))).alias("features"))
+
+    @F.pandas_udf("array<double>")
+    def run(seq: pd.Series) -> pd.Series:
+        return seq.map(lambda x: [tandem_share(x), inverted_share(x), direct_share(x), *count_values(x)])
+
+    bases, patterns = [S.ratio(S.count_of(s, b), n) for b in S.BASES], pattern_columns(s)
+    complexity = [S.entropy(s), S.run_length_cost(s), *(S.distinct_share(s, k) for k in SIZES), fractal(n)]
+    parts = [*bases, *patterns, *complexity]
+    wide = contigs.select(key, run(s).alias("__run"), *(p.cast("double").alias(f"__f{i}") for i, p in enumerate(parts)))
+    f = lambda *at: F.array(*(F.col(f"__f{i}") for i in at))
+    run_part = lambda start, size: F.slice("__run", start, size)
+    first = len(bases) + len(patterns)
+    entropy, cost, *diversity, boxes = range(first, len(parts))
+    pieces = [f(*range(4)), run_part(4, 16), run_part(20, 13), run_part(1, 3), f(*range(4, first)), f(entropy, diversity[-1], cost, *diversity, boxes)]
+    known = 4 + 16 + 13 + 3 + len(patterns) + 8
+    return wide.select(key, F.concat(*pieces, F.array_repeat(F.lit(0.0), SEQUENCE_DIM - known), run_part(33, KMER_DIM)).alias("features"))

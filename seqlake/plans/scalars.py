@@ -137,5 +137,5 @@ def feature_columns(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """SF28, SF29, SF43, SF44, ML17: the assembled feature vector of each contig."""
+    """SF25, SF28, SF29, SF43, SF44, ML17: the assembled feature vector of each contig, 100 values of the sequence and 64 of its k-mers."""
     return features.vectors(V.contigs(spark, d), "contig_id")

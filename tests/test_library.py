@@ -1,5 +1,6 @@
 """Queries against DuckDB on the smallest tables; operators against goldens and plain Python."""
 
+import collections
 import glob
 import itertools
 import math
@@ -115,6 +116,48 @@ def test_repeat_scans():
     assert features_.inverted_share("TTACGTCC") == 0.5 and features_.inverted_share("") == 0
 
 
+def plain_vector(s):
+    """The 100 + 64 layout of the feature vector in plain Python."""
+    n = len(s)
+    grams = lambda k: [s[i : i + k] for i in range(n - k + 1)]
+    share = lambda part, of: part / of if of else 0.0
+    clean = lambda k: collections.Counter(m for m in grams(k) if set(m) <= set("ACGT"))
+    pairs, codons = clean(2), clean(3)
+    out = [share(s.count(b), n) for b in "ACGT"] + [share(pairs["".join(p)], sum(pairs.values())) for p in itertools.product("ACGT", repeat=2)]
+    for family in ("TTT TTC", "TTA TTG", "TCT TCC TCA TCG", "TAT TAC", "TGT TGC", "TGG"):
+        f = family.split()
+        out += [share(codons[c] * len(f), sum(codons[x] for x in f)) for c in f]
+    p = [share(s.count(b), sum(s.count(x) for x in "ACGT")) for b in "ACGT"]
+    entropy = -sum(x * math.log2(x) for x in p if x) / 2
+    out += [features_.tandem_share(s), features_.inverted_share(s), features_.direct_share(s), share(s.count("CG"), n - 1), 1 - entropy]
+    runs = [(b, len(list(g))) for b, g in itertools.groupby(s)]
+    out += [share(max((x for c, x in runs if c == b), default=0), n) for b in "ACGT"]
+    out += [share(sum(s[i] == s[i + lag] for i in range(n - lag)), max(n - lag, 0)) for lag in (2, 3, 4)]
+    diversity = [share(len(set(grams(k))), len(grams(k))) for k in (3, 4, 5, 6)]
+    boxes = 0.0
+    for box in range(1, min(n, 100) + 1, 5):
+        if -(-n // box) > 1:
+            boxes = 2.0 if box == 1 else min(2.0, math.log2(-(-n // box)) / math.log2(1 / box))
+    out += [entropy, diversity[3], share(sum(1 + (x > 1) for _, x in runs), n), *diversity, boxes]
+    kmer = []
+    for k in (3, 4, 5, 6):
+        c = clean(k)
+        kmer += [share(sum(min(x, 10) == i for x in c.values()), len(c)) for i in range(1, 11)]
+        packed = [sum("ACGT".index(b) * 4 ** (k - 1 - i) for i, b in enumerate(m)) for m in c]
+        kmer += [min(((x * a + b) % features_.PRIME for x in packed), default=2**64 - 1) % 10_000 / 10_000 for a, b in features_.HASHES]
+    return out + [0.0] * (100 - len(out)) + kmer[:64]
+
+
+def test_feature_vectors_hold_all_parts(spark):
+    r = random.Random(5)
+    seqs = ["".join(r.choices("ACGT", [4, 3, 2, 3], k=n)) for n in (1200, 101, 7, 6, 2)] + ["ACGNTTTCCGATTTN" * 9]
+    got = features_.vectors(spark.createDataFrame(list(enumerate(seqs)), "id int, seq string"), "id").collect()
+    assert len(got) == len(seqs)
+    for row in got:
+        assert len(row.features) == 164 and row.features == pytest.approx(plain_vector(seqs[row.id]), abs=1e-9)
+    assert [len(x.features) for x in features_.vectors(spark.createDataFrame([(1, ""), (2, None)], "id int, seq string"), "id").collect()] == [164, 164]
+
+
 def test_files_round_trip(spark, tmp_path):
     reads = spark.createDataFrame([(i, "ACGT" * 5, [30] * 20) for i in range(25)], "read_id long, seq string, q array<long>")
     sinks.fastq(reads).coalesce(1).write.text(str(tmp_path / "r"))
