@@ -52,7 +52,7 @@ def graph_peeled(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_G}, {_D} SELECT count(*) AS nodes, sum(outdeg)::BIGINT AS edges, round(sum(outdeg) / (count(*)::DOUBLE * (count(*) - 1)), 12) AS density, round(avg(indeg + outdeg), 9) AS mean_degree, round(var_pop(indeg + outdeg), 9) AS var_degree, min(indeg + outdeg) AS min_degree, max(indeg + outdeg) AS max_degree FROM deg")
 def graph_summary(spark: SparkSession, d: str) -> DataFrame:
-    """GR13, GR14, GR15, GR18, GR20."""
+    """GR13, GR14, GR15: one row of figures of the whole graph."""
     return graph.summary(*_graph(spark, d)).withColumns({"density": F.round("density", 12), "mean_degree": F.round("mean_degree", 9), "var_degree": F.round("var_degree", 9)})
 
 
