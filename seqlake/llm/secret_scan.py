@@ -1,6 +1,7 @@
 """Secrets: high-recall candidates, and a random forest that takes false positives out. DataFrame functions only.
 
-Candidates are runs of at least 16 key characters with a digit among them, quoted strings without spaces, and private key blocks. Their
+Candidates are runs of at least 16 key characters with a digit among them (a name before an equals sign is apart from its value),
+unquoted values of at least 8 characters after a name like token or password, quoted strings without spaces, and private key blocks. Their
 features: length, shares of character classes, transitions between classes and between vowels and consonants, distinct characters,
 coverage by a dictionary, words of the path, and neighbouring words and signs. The forest is fitted on the driver from
 labelled findings (a table of at most FINDINGS rows, generated by rule unless given), its trees become CASE
@@ -21,7 +22,18 @@ from pyspark.sql import functions as F
 
 from . import spans, trees
 
-CANDIDATE = r"""-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+|(?<=["'])[^"'\s]{8,80}(?=["'])"""
+#: Ends of names whose unquoted value is a candidate whatever its characters, and the signs between both.
+_NAMES = ("token", "secret", "password", "passwd", "pwd", "passphrase", "api[_-]key", "apikey", "access[_-]key", "secret[_-]key", "private[_-]key", "credentials", "credential", "client[_-]id", "auth")
+_SIGNS = ("[=:]", "[=:] ", " [=:] ", " [=:]", ":=", " := ")
+#: A lookbehind has a fixed width each, so that every engine takes it; the first one rules out nearly all places.
+_NAMED = "(?:(?<=[=:])|(?<=[=:] ))(?i:" + "|".join(f"(?<={n}{x})" for n in _NAMES for x in _SIGNS) + ")"
+CANDIDATE = (
+    r"""-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"""
+    + f"""|{_NAMED}"""
+    + r"""[^\s"'&;,]{7,399}[^\s"'&;,.)\]}>]"""
+    + r"""|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:=++(?![A-Za-z0-9+/_-]))?"""
+    + r"""|(?<=["'])[^"'\s]{8,80}(?=["'])"""
+)
 THRESHOLD = 0.5
 #: Labelled findings that the fit uses at most.
 FINDINGS = 6000
@@ -74,11 +86,14 @@ def findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     name, lead = pick("k", "token", "secret", "api_key", "password", "auth_token", "access_key", "client_secret"), pick("l", "the of and ", "= null; ", "in a ", "", "\n", "and on 12 ")
     assign = F.concat(lead, name, pick("s", " = ", "=", ": ", " := "), pick("q", '"', '"', "'", ""))
     close = pick("q", '"', '"', "'", "")
-    secret = F.element_at(F.array(hexa, F.substring(plain, F.lit(1), size), F.concat(pick("p", "AKIA", "ghp_", "sk_live_", "xoxb-"), F.substring(F.upper(plain), F.lit(1), size)), F.substring(F.sha2(hexa, 256), F.lit(1), F.greatest(size, F.lit(32)))), (F.pmod(F.xxhash64("id", F.lit("t")), F.lit(4)) + 1).cast("int"))
+    # Short values or values without digits stand only after a name; words and code there are no secrets.
+    loose = F.substring(F.translate(plain, "0123456789", "kQ!z$Rw#mX"), F.lit(1), F.pmod(F.xxhash64("id", F.lit("o")), F.lit(17)).cast("int") + 8)
+    secret = F.element_at(F.array(hexa, F.substring(plain, F.lit(1), size), F.concat(pick("p", "AKIA", "ghp_", "sk_live_", "xoxb-"), F.substring(F.upper(plain), F.lit(1), size)), F.substring(F.sha2(hexa, 256), F.lit(1), F.greatest(size, F.lit(32))), loose), (F.pmod(F.xxhash64("id", F.lit("t")), F.lit(5)) + 1).cast("int"))
     innocent = F.concat(lead, pick("i", "sha1: ", "commit ", "md5=", "checksum ", "uuid: ", "integrity=", "etag: \"", "order ", "revision "))
     digits = F.regexp_replace(F.sha2(plain, 256), "[a-f]", "")
     number = F.substring(digits, F.lit(1), size)
-    case = F.pmod(F.xxhash64("id", F.lit("c")), F.lit(8))
+    word = F.concat(pick("v1", "required", "optional", "disabled", "undefined", "generated", "inherited", "authentication", "verification", "anything", "os.environ.get", "settings.load", "self.provider"), pick("v2", "", "", "-name", ".value", "_field"))
+    case = F.pmod(F.xxhash64("id", F.lit("c")), F.lit(9))
     wrong = (
         F.when(case == 0, F.struct(hexa.alias("token"), innocent.alias("before"), F.lit(" ").alias("after")))
         .when(case == 1, F.struct(F.concat(prose, F.lit("4"), prose).alias("token"), lead.alias("before"), F.lit(" ").alias("after")))
@@ -87,10 +102,11 @@ def findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         .when(case == 4, F.struct(F.concat(F.substring(hexa, 1, 8), F.lit("-"), F.substring(hexa, 9, 4), F.lit("-"), F.substring(hexa, 13, 4), F.lit("-"), F.substring(hexa, 17, 12)).alias("token"), innocent.alias("before"), F.lit("\n").alias("after")))
         .when(case == 5, F.struct(prose.alias("token"), F.concat(lead, pick("j", 'class="', "title='", 'said "')).alias("before"), close.alias("after")))
         .when(case == 6, F.struct(F.concat(F.lit("example"), F.substring(plain, 1, 12)).alias("token"), assign.alias("before"), close.alias("after")))
+        .when(case == 7, F.struct(word.alias("token"), assign.alias("before"), close.alias("after")))
         .otherwise(F.struct(F.concat(prose, F.lit("-2024-"), prose).alias("token"), pick("u", "https://a.example/", "/en/", " ").alias("before"), F.lit(" ").alias("after")))
     )
     # Secrets without any keyword beside them are rarer, and stand in configuration.
-    right = F.struct(secret.alias("token"), F.when(F.pmod(F.xxhash64("id", F.lit("b")), F.lit(10)) < 8, assign).otherwise(F.concat(lead, pick("y", 'key="', "Bearer ", "x-auth: "))).alias("before"), close.alias("after"))
+    right = F.struct(secret.alias("token"), F.when((F.pmod(F.xxhash64("id", F.lit("b")), F.lit(10)) < 8) | (F.pmod(F.xxhash64("id", F.lit("t")), F.lit(5)) == 4), assign).otherwise(F.concat(lead, pick("y", 'key="', "Bearer ", "x-auth: "))).alias("before"), close.alias("after"))
     base = spark.range(rows, numPartitions=1).withColumn("label", (F.col("id") % 2).cast("int"))
     return base.select(F.when(F.col("label") == 1, right).otherwise(wrong).alias("f"), pick("path", "src3", "app/config.yml", "src/test/a.py", "README.md", "lib/x.js", "src0").alias("path"), "label").select("f.*", "path", "label")
 
@@ -119,7 +135,7 @@ def scan(docs: DataFrame, path: Column, model: tuple[list, list[str]] | None = N
     step = step.withColumn("__scan_found", spans.matches(c("text"), CANDIDATE))
     step = step.withColumn("__scan_between", spans.around(c("text"), CANDIDATE, c("found")))
     step = step.withColumns({"__scan_near": F.transform(c("between"), lambda p: F.struct(F.right(p, F.lit(40)).alias("end"), F.left(p, F.lit(40)).alias("start"))), "__scan_starts": spans.starts(c("found"), c("between"))})
-    seen = F.transform(c("found"), lambda m, i: F.struct(m.alias("token"), F.get(c("near"), i)["end"].alias("before"), F.get(c("near"), i + 1)["start"].alias("after")))
+    seen = F.transform(c("found"), lambda m, i: F.struct(m.alias("token"), F.right(F.concat(F.when(i > 0, F.right(F.get(c("found"), i - 1), F.lit(40))).otherwise(F.lit("")), F.get(c("near"), i)["end"]), F.lit(40)).alias("before"), F.get(c("near"), i + 1)["start"].alias("after")))
     step = step.withColumn("__scan_seen", F.when(F.size(c("found")) > 0, seen))
     step = step.withColumn("__scan_facts", F.transform(c("seen"), lambda s: F.struct(*(v.alias(n) for n, v in features(s["token"], s["before"], s["after"], c("path"))))))
     step = step.withColumn("__scan_scores", F.expr(f"transform(__scan_facts, f -> {trees.total(forest, names, 'f')} / {len(forest)})"))

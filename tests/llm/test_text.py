@@ -235,6 +235,30 @@ def test_added_spans(spark):
 # Secrets
 
 
+def test_unquoted_secrets_in_texts(spark):
+    r = random.Random(11)
+    mixed = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    forms = [
+        ("API_KEY={}\n", lambda: "sk_live_" + mixed(24)), ("see https://a.example/cb?x=1&access_token={}&lang=en now", lambda: mixed(32)), ("oauth2_client_secret={}\n", lambda: mixed(40)),
+        ("export DB_PASSWORD={}\n", lambda: mixed(6) + "!" + mixed(3) + "$" + mixed(2)), ("password: {}\n", lambda: "".join(r.choice("bcdfghkQRSTVWXZ!$#") for _ in range(14))), ("secret={} \n", lambda: mixed(12)),
+    ]
+    rows = []
+    for i in range(240):
+        form, make = forms[i % len(forms)]
+        value = make()
+        rows.append((i, "the words before it\n" + form.format(value) + "and the words after", value))
+    df = spark.createDataFrame(rows, "doc_id long, text string, value string")
+    out = secret_scan.scan(df, F.lit("app/.env")).collect()
+    exact = [x for x in out if x.value in [x.text[c.start : c.end] for c in x._scan.candidates]]
+    assert len(exact) == len(rows)
+    hit = {f: [] for f in range(len(forms))}
+    for x in out:
+        hit[x.doc_id % len(forms)].append(x.value not in x._scan.redacted)
+    assert all(sum(h) >= 0.9 * len(h) for h in hit.values())
+    plain = spark.createDataFrame([(1, "password: required-name and token: undefined, the secret = disabled here")], "doc_id long, text string")
+    assert "[SECRET]" not in secret_scan.scan(plain, F.lit("src")).first()._scan.redacted
+
+
 def test_secret_candidates_and_findings(spark):
     rows = [(1, 'x token = "11acdfb36bb72224148e6160f674b4be45601bff" é𝒳 4785380592391139$$$', "src1"), (2, None, None), (3, "", "a"), (4, "sha1: 11acdfb36bb72224148e6160f674b4be45601bff thtion4erandnthe12", "a"), (9, "a1" * 60000, "q"), (10, " ".join(f"k{i:015d}" for i in range(3000)), "q")]
     df = spark.createDataFrame(rows, "doc_id long, text string, src string").withColumn("found", F.lit(1))
