@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,21 +21,27 @@ RANGES = 10_000
 
 
 def seeds(vectors: DataFrame, key: str, k: int) -> list[list[float]]:
-    """The vectors at ranks floor(i * n / k) by a unique integer key: the deterministic start. Counts of key ranges show in
-    which range each rank lies; only the rows of these ranges are ordered."""
+    """The vectors at ranks floor(i * n / k) by a unique integer key: the deterministic start."""
     lo, hi, n = vectors.agg(F.min(key), F.max(key), F.count("*")).first()
     k = min(k, MOST_BINS, n)
     if not k:
         return []
+    ranks = [i * n // k for i in range(k)]
+    got = _at_ranks(vectors, key, lo, hi, ranks)
+    return [got[r] for r in ranks]
+
+
+def _at_ranks(vectors: DataFrame, key: str, lo: int, hi: int, wanted: list[int]) -> dict[int, list[float]]:
+    """The vectors at ranks by a unique integer key from lo to hi. Counts of key ranges show in which range each rank lies; only
+    the rows of these ranges are ordered."""
     part = F.floor((F.col(key) - lo) / ((hi - lo) // RANGES + 1))
     counts = vectors.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n"))
-    ranks = F.array(*(F.lit(i * n // k).cast("long") for i in range(k)))
+    ranks = F.array(*(F.lit(r).cast("long") for r in wanted))
     held = before.withColumn("rank", F.explode(F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))))
     rows = vectors.select(key, "v", part.alias("part")).join(F.broadcast(held.select("part", "before").distinct()), "part")
     placed = rows.withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1)
-    got = {r["rank"]: list(r["v"]) for r in placed.join(F.broadcast(held.select("part", "rank")), ["part", "rank"]).collect()}
-    return [got[i * n // k] for i in range(k)]
+    return {r["rank"]: list(r["v"]) for r in placed.join(F.broadcast(held.select("part", "rank")), ["part", "rank"]).collect()}
 
 
 def assign(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
@@ -76,6 +84,34 @@ def inertia(vectors: DataFrame, key: str, most: int) -> DataFrame:
     return sums.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"`{k}`").alias("inertia")) for k in out))).alias("e")).select("e.*")
 
 
+def choose_bins(vectors: DataFrame, key: str) -> tuple[int, list[tuple[int, float]]]:
+    """(the chosen number of bins, (k, inertia) for each k from 2 to min(MOST_BINS, n / 3)): the k of the largest drop of inertia
+    from k - 1, the least such k; 2 where nothing drops, 1 for at most two vectors. All k in one pass over the vectors; the seeds
+    of all k, at most MOST_BINS * (MOST_BINS + 1) / 2, go to the tasks."""
+    lo, hi, n = vectors.agg(F.min(key), F.max(key), F.count("*")).first()
+    if n <= 2:
+        return 1, []
+    ks = range(2, max(min(MOST_BINS, n // 3), 2) + 1)
+    ranks = sorted({i * n // k for k in ks for i in range(k)})
+    got = _at_ranks(vectors, key, lo, hi, ranks)
+    place = {r: i for i, r in enumerate(ranks)}
+    centres, own = np.array([got[r] for r in ranks], float), [[place[i * n // k] for i in range(k)] for k in ks]
+
+    @F.pandas_udf("array<double>")
+    def near(v: pd.Series) -> pd.Series:
+        x = np.array(v.tolist(), float)
+        d = np.array([((x - c) ** 2).sum(axis=1) for c in centres])
+        return pd.Series(list(np.array([d[i].min(axis=0) for i in own]).T))
+
+    sums = vectors.select(near("v").alias("d")).agg(*(F.sum(F.get("d", F.lit(i))).alias(f"k{k}") for i, k in enumerate(ks))).first()
+    found = list(zip(ks, map(float, sums), strict=True))
+    best, most = 2, 0.0
+    for (_, a), (k, b) in zip(found, found[1:], strict=False):
+        if a - b > most:
+            best, most = k, a - b
+    return best, found
+
+
 def merge_map(stats: DataFrame) -> DataFrame:
     """(bin, into): bins of like mean and variance of coverage; of several that match, the last; not transitive. Bins are at most MOST_BINS."""
     a, b = stats.alias("a"), stats.alias("b")

@@ -45,14 +45,21 @@ def bin_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(" UNION ALL ".join(f"(WITH {_V}, {_seeds(k)}, near AS (SELECT vec_id, min({_DIST}) AS d FROM v, s GROUP BY 1) SELECT {k} AS k, round(sum(d * d), 4) AS inertia FROM near)" for k in range(2, 6)))
 def bin_count_choice(spark: SparkSession, d: str) -> DataFrame:
-    """ML3: inertia by number of bins, from which the largest drop is chosen."""
+    """Inertia for 2 to 5 bins, the first part of ML3, beside its SQL; `bin_count_chosen` has all k and the choice."""
     return binning.inertia(_vectors(spark, d), "vec_id", 5).select("k", F.round("inertia", 4).alias("inertia"))
 
 
+@query()
+def bin_count_chosen(spark: SparkSession, d: str) -> DataFrame:
+    """ML3: inertia for each k up to min(50, n / 3), and whether k is chosen by the largest drop."""
+    best, found = binning.choose_bins(_vectors(spark, d), "vec_id")
+    return spark.createDataFrame([(k, round(x, 4), k == best) for k, x in found or [(1, 0.0)]], "k int, inertia double, chosen boolean")
+
+
 @query()
 def bin_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    """ML4, ML7 until centroids stay."""
-    return binning.kmeans(_vectors(spark, d), "vec_id", BINS, 30)[0].groupBy("bin").agg(F.count("*").alias("n"))
+    """ML4, ML7 until centroids stay, in at most 100 rounds."""
+    return binning.kmeans(_vectors(spark, d), "vec_id", BINS)[0].groupBy("bin").agg(F.count("*").alias("n"))
 
 
 _BC = f"{V.CONTIGS_SQL}, b AS (SELECT *, (contig_id % 12)::INTEGER AS bin FROM contigs)"

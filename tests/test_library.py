@@ -209,6 +209,20 @@ def test_taxa_are_the_references(spark):
     assert {x.id: (x.taxon, round(x.confidence, 6), round(x.margin, 6)) for x in got} == want
 
 
+def test_bin_count_is_chosen_beyond_five(spark):
+    r = random.Random(3)
+    v = [[1000.0 * (i == 10) + r.random(), r.random()] for i in range(64)]  # the tenth is a seed for no k below 6
+    n, want = len(v), []
+    for k in range(2, n // 3 + 1):
+        want.append((k, sum(min(math.dist(x, v[i * n // k]) ** 2 for i in range(k)) for x in v)))
+    drops = [(a[1] - b[1], -b[0]) for a, b in itertools.pairwise(want)]
+    best, got = binning.choose_bins(spark.createDataFrame([(i * 3, x) for i, x in enumerate(v)], "id long, v array<double>"), "id")
+    assert [k for k, _ in got] == [k for k, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want])
+    assert best == -max(drops)[1] > 5
+    few = spark.createDataFrame([(i, [float(i)]) for i in range(3)], "id long, v array<double>")
+    assert binning.choose_bins(few, "id")[0] == 2 and binning.choose_bins(few.limit(2), "id")[0] == 1
+
+
 def test_empty_tables(spark):
     r = spark.createDataFrame([], "read_id long, doc_id long, seq string, q array<long>")
     assert kmers.count(r, 3).count() == 0 and qc.cascade(r).count() == 0 and kmers.minimizers(r, 3, 2).count() == 0
