@@ -5,7 +5,11 @@ import glob
 import itertools
 import math
 import os
+import pathlib
 import random
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -260,3 +264,12 @@ def test_configuration(tmp_path):
     with pytest.raises(ValueError):
         config.load(str(tmp_path / "d.toml"))
     assert config.parse_range("15-31") == (15, 31) and config.short(1_234_567) == "1.2M"
+
+
+def test_entry_point_without_the_corpus_subpackage(tmp_path):
+    top = pathlib.Path(__file__).resolve().parents[1]
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(top / name, tmp_path / name)
+    shutil.copytree(top / "seqlake", tmp_path / "seqlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert q.keys() >= e.oracle_sql().keys() and 'kmer_spectrum' in q and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
