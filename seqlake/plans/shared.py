@@ -12,6 +12,9 @@ def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; one of our own only where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="seqlake-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
