@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels
+
 #: Bytes of a batch that goes to Python at once, unless the session sets its own: what an executor holds twice for each task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: A side is broadcast only if its written size is at most this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
@@ -27,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         kept = sc._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             return kept.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="seqlake-")
         sc.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -54,21 +58,29 @@ def ship(spark: SparkSession) -> None:
     sc._seqlake_shipped = True
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends, a lost executor loses nothing."""
+#: Parquet's row groups of tables of long binary values: a reader holds the values of a group, whatever their number.
+BLOB_GROUP = 1 << 20
+
+
+def cut(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: lineage ends, a lost executor loses nothing. group: bytes of a row group."""
     spark = df.sparkSession
     to = scratch(spark, name)
-    df.write.parquet(to)
+    (df.write.option("parquet.block.size", group) if group else df.write).parquet(to)
     return spark.read.schema(df.schema).parquet(to)
 
 
-def drop_written(df: DataFrame) -> None:
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder, once nothing reads it any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_written(*tables: DataFrame) -> None:
     """Remove what cut() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        p = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for df in tables:
+        for f in df.inputFiles()[:1]:
+            remove_path(df.sparkSession, f.rsplit("/", 1)[0])
 
 
 def written_bytes(df: DataFrame) -> int:
@@ -96,6 +108,7 @@ def arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatc
         for batch in batches:
             if batch.num_rows:
                 yield from work(batch)
+        kernels.give_back()
 
     return df.mapInArrow(run, schema)
 

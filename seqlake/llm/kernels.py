@@ -1,4 +1,8 @@
-"""Array kernels shared by the operators: text batches as bytes, words as slices, polynomial fingerprints.
+"""Array kernels shared by the operators: text batches as bytes, words as slices, fingerprints.
+
+Words are fingerprinted block by block through a bijective mixer (no sum of powers, so no words of a regular structure
+collide). The rolling polynomial modulo 2^64 serves only where equal fingerprints of different bytes cost time and
+never change a result: picking window minimisers, proposing candidates, finding cache entries that are checked.
 
 Every kernel works on one bounded chunk of whole texts laid end to end, so its memory is a constant times
 the chunk, whatever the batch holds. A single text longer than a chunk makes a chunk of its own.
@@ -6,12 +10,17 @@ the chunk, whatever the batch holds. A single text longer than a chunk makes a c
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 #: Texts are processed in chunks of about this many UTF-8 bytes.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
+#: Longer words are hashed one by one.
+LONG_WORD = 64
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
@@ -37,6 +46,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def blocks8(data: np.ndarray) -> np.ndarray:
+    """At each byte the eight bytes from there as one little-endian word, zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Fingerprints of the slices [start, end): eight bytes a round through the mixer, their length first."""
+    size = end - start
+    h = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(salt))
+    if not len(h):
+        return h
+    at = blocks8(data)
+    live = np.arange(len(h))
+    for k in range(0, LONG_WORD, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        part = at[start[live] + k] & LOW_BYTES[np.minimum(size[live] - k, 8)]
+        h[live] = mix((h[live] ^ part) + U64(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), salt)
+    return h
+
+
+def digests128(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit fingerprints of the slices, an array of two int64 columns."""
+    view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+
+def give_back() -> None:
+    """Free memory of this worker returns to the system, which other workers need."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        return
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """F with F[j] - F[i] = sum of key(byte) * P^position over [i, j)."""
     p, _ = powers(len(data) + 1)
@@ -47,7 +100,7 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 
 def slice_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Fingerprints of the slices [start, end), equal for equal bytes wherever they stand."""
+    """Fingerprints of the slices [start, end), equal for equal bytes wherever they stand; see above for what they are not."""
     _, q = powers(len(sums))
     return mix((sums[end] - sums[start]) * q[start] + (end - start).astype(U64))
 
