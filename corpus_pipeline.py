@@ -26,12 +26,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words to a shingle, similarity 0.8): that of the smallest id, and one of rows that repeat."""
+    """One document of each group of near-duplicates (five words to a shingle, similarity 0.8): that of the smallest id.
+
+    Of rows with equal id and text (null counts as empty) one stays: a text before null, then the least lang, source and n_chars, null first."""
     found = minhash.near_duplicates(docs, width=5, percent=80)
     kept = found.where("kept").select("k1", "k2", "component_id").distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumns({"k1": F.xxhash64(F.col("doc_id").cast("string"), text), "k2": F.hash(text, F.col("doc_id").cast("string"))})
-    return keyed.join(cut(kept, "pipeline-kept"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*COLUMNS)
+    return keyed.join(cut(kept, "pipeline-kept"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min_by(F.struct(*COLUMNS), F.struct(F.col("text").isNull(), "lang", "source", "n_chars")).alias("r")).select("r.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
