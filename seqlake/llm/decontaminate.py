@@ -13,13 +13,11 @@ for itself and a shard is searched block by block.
 Words are runs of [0-9a-z] and of all non-ASCII characters, A-Z lower-cased. A window is `n` words in a row, or a whole
 item that has fewer, but not none. Null texts have no words, so nothing is hit and nothing is contaminated; an empty
 benchmark hits nothing. Rows that repeat give repeated results; items that share an id count as one; a null id reads as
-the empty string. Symbols are told apart by 64-bit fingerprints of the words.
+the empty string. Words are compared by their bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +27,7 @@ from . import kernels as K
 from .common import arrow
 
 #: Benchmark text in one broadcast block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Documents in one FM-index.
 SHARD_BYTES = 4 << 20
 #: Every so many suffix positions are kept.
@@ -39,42 +37,73 @@ WORD = K.byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
 
 def words_of(data: np.ndarray, off: np.ndarray):
-    """(fingerprints, starts, ends, first word of each text and the end) of the words of texts laid end to end."""
+    """(lower-cased bytes, starts, ends, first word of each text and the end) of the words of texts laid end to end."""
     low = K.lower_ascii(data)
     s, e, first = K.word_slices(low, off, WORD)
-    return K.slice_hash(K.prefix_sums(low), s, e) if len(s) else np.zeros(0, np.uint64), s, e, first
+    return low, s, e, first
 
 
 class Phrases:
-    """The windows of one block of items: a vocabulary, distinct windows by length, and the items that have each."""
+    """The windows of one block of items: a vocabulary, distinct windows by length, and the items that have each.
+
+    Fingerprints find a word in the vocabulary, its bytes decide: the salt is one under which the vocabulary's own words
+    are all different, and a text's word is only taken for one of them if it has the same bytes."""
 
     def __init__(self, items: list[tuple[str, str]], n: int):
         data, off = K.raw(pa.array([t for _, t in items], pa.large_string()))
-        h, _, _, first = words_of(data, off)
-        self.vocabulary = np.unique(h)
-        symbols = np.searchsorted(self.vocabulary, h) + 1
-        seen: dict[tuple, int] = {}
-        self.items: list[set[str]] = []
-        for k, (name, _) in enumerate(items):
-            word = symbols[first[k] : first[k + 1]].tolist()
-            for i in range(max(1, len(word) - n + 1)) if word else ():
-                w = tuple(word[i : i + n])
-                if w not in seen:
-                    seen[w] = len(self.items)
-                    self.items.append(set())
-                self.items[seen[w]].add(name)
-        by: dict[int, list[tuple[int, tuple]]] = {}
-        for w, i in seen.items():
-            by.setdefault(len(w), []).append((i, w))
-        self.windows = {m: (np.array([i for i, _ in v]), np.array([w for _, w in v])) for m, v in by.items()}
-
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        """1 + place in the vocabulary; 0 outside."""
-        if not len(self.vocabulary):
-            return np.zeros(len(h), np.int64)
+        low, s, e, first = words_of(data, off)
+        place: dict[bytes, int] = {}
+        which = np.array([place.setdefault(low[a:b].tobytes(), len(place)) for a, b in zip(s.tolist(), e.tolist(), strict=True)], np.int64)
+        size = np.array([len(w) for w in place], np.int64)
+        self.bytes = np.frombuffer(b"".join(place), np.uint8)
+        start = np.cumsum(size) - size
+        for self.salt in range(100):
+            h = K.word_hash(self.bytes, start, start + size, self.salt)
+            order = np.argsort(h)
+            self.vocabulary = h[order]
+            if not len(h) or (self.vocabulary[1:] != self.vocabulary[:-1]).all():
+                break
+        self.start, self.size = start[order], size[order]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(1, len(order) + 1, dtype=np.int32)
+        self.words = rank[which] if len(which) else np.zeros(0, np.int32)
+        self.names = [name for name, _ in items]
+        count = np.diff(first)
+        long = np.minimum(count, n)
+        #: By length of window: where each distinct window stands in `words`, and from where to where its items stand in a list.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for m in np.unique(long[long > 0]).tolist():
+            own = np.flatnonzero(long == m)
+            many = count[own] - m + 1
+            item = np.repeat(own, many)
+            at = first[item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+            key = self.words[at].astype(np.int64)
+            for j in range(1, m):
+                key = np.unique(key * (len(place) + 1) + self.words[at + j], return_inverse=True)[1]
+            pair, one = np.unique(key * len(items) + item, return_index=True)
+            bounds = np.flatnonzero(np.append(True, pair[1:] // len(items) != pair[:-1] // len(items))) if len(pair) else np.zeros(0, np.int64)
+            self.windows[m] = (at[one[bounds]], np.append(bounds, len(pair)), (pair % len(items)).astype(np.int32))
+
+    def symbols(self, low: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """1 + place in the vocabulary of each word; 0 outside."""
+        out = np.zeros(len(s), np.int64)
+        if not len(self.vocabulary) or not len(s):
+            return out
+        h = K.word_hash(low, s, e, self.salt)
         at = np.searchsorted(self.vocabulary, h)
         at[at == len(self.vocabulary)] = 0
-        return np.where(self.vocabulary[at] == h, at + 1, 0)
+        who = np.flatnonzero((self.vocabulary[at] == h) & (self.size[at] == e - s))
+        if not len(who):
+            return out
+        at, n = at[who], (e - s)[who]
+        mine, theirs, wrong = K.blocks8(low), K.blocks8(self.bytes), np.zeros(len(who), bool)
+        live = np.arange(len(who))
+        for k in range(0, int(n.max()), 8):  # eight bytes a round; only long words stay for more rounds
+            live = live[n[live] > k]
+            mask = K.LOW_BYTES[np.minimum(n[live] - k, 8)]
+            wrong[live] |= (mine[s[who[live]] + k] & mask) != (theirs[self.start[at[live]] + k] & mask)
+        out[who[~wrong]] = at[~wrong] + 1
+        return out
 
 
 def suffix_array(s: np.ndarray, bits: int) -> np.ndarray:
@@ -149,17 +178,17 @@ class FMIndex:
             at = np.where((c >> b) & 1 == 0, below, self.border[level] + at - below)
         return at - self.start[c]
 
-    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rows of phrases that occur, their interval's start, end)."""
-        who = np.arange(len(phrases))
-        c = phrases[:, -1]
+    def search(self, words: np.ndarray, at: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of the phrases words[at : at + m] occur, their interval's start, end)."""
+        who = np.arange(len(at))
+        c = words[at + m - 1]
         lo, hi = self.first[c], self.first[c + 1]
-        for j in range(phrases.shape[1] - 2, -1, -1):
+        for j in range(m - 2, -1, -1):
             live = hi > lo
             who, lo, hi = who[live], lo[live], hi[live]
             if not len(who):
                 break
-            c = phrases[who, j]
+            c = words[at[who] + j]
             lo, hi = self.first[c] + self.rank(c, lo), self.first[c] + self.rank(c, hi)
         live = hi > lo
         return who[live], lo[live], hi[live]
@@ -181,13 +210,13 @@ class FMIndex:
         return out
 
 
-def hits(block: Phrases, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mask of hit words, documents, windows) of one shard: the pairs of a document and a window that occurs in it."""
-    n = len(h)
+def hits(block: Phrases, low: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mask of hit words, documents, items) of one shard: the pairs of a document and an item with a window that occurs in it."""
+    n = len(start)
     covered = np.zeros(n + 1, np.int64)
     docs, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if n and block.windows:
-        s = block.symbols(h)
+        s = block.symbols(low, start, end)
         # A terminator before each document and after the last; runs of terminators count once.
         at = np.unique(first)
         seq = np.insert(s, at, 0)
@@ -196,8 +225,8 @@ def hits(block: Phrases, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
         keep[1:] = (seq[1:] > 0) | (seq[:-1] > 0)
         seq, word = seq[keep], word[keep]
         index = FMIndex(seq, max(1, int(len(block.vocabulary)).bit_length()))
-        for m, (names, phrases) in block.windows.items():
-            who, lo, hi = index.search(phrases)
+        for m, (place, bounds, items) in block.windows.items():
+            who, lo, hi = index.search(block.words, place, m)
             size = hi - lo
             if not len(who):
                 continue
@@ -205,8 +234,11 @@ def hits(block: Phrases, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
             where = word[index.locate(rows)]
             np.add.at(covered, where, 1)
             np.add.at(covered, where + m, -1)
-            docs.append(np.searchsorted(first, where, side="right") - 1)
-            which.append(np.repeat(names[who], size))
+            pair = np.unique((np.searchsorted(first, where, side="right") - 1) * len(place) + np.repeat(who, size))
+            doc, window = pair // len(place), pair % len(place)
+            many = bounds[window + 1] - bounds[window]
+            docs.append(np.repeat(doc, many))
+            which.append(items[np.repeat(bounds[window] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))])
     return np.cumsum(covered[:-1]) > 0, np.concatenate(docs), np.concatenate(which)
 
 
@@ -234,15 +266,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_
 
     def work(batch: pa.RecordBatch):
         for i, data, off in K.chunks(batch.column(len(columns)), shard_bytes):
-            h, s, e, first = words_of(data, off)
+            low, s, e, first = words_of(data, off)
             texts = len(off) - 1
-            mask, found = np.zeros(len(h), bool), [set() for _ in range(texts)]
+            mask, found = np.zeros(len(s), bool), [set() for _ in range(texts)]
             for b in blocks:
-                hit, d, w = hits(b.value, h, first)
+                hit, d, w = hits(b.value, low, s, e, first)
                 mask |= hit
-                pairs = np.unique(np.stack([d, w]), axis=1) if len(d) else np.zeros((2, 0), np.int64)
-                for x, y in pairs.T.tolist():
-                    found[x] |= b.value.items[y]
+                for x in np.unique(d * len(b.value.names) + w).tolist():
+                    found[x // len(b.value.names)].add(b.value.names[x % len(b.value.names)])
+                if len(blocks) > 1:
+                    del b._value  # a worker holds one block at a time and reads the next from its local copy
             sums = np.concatenate([[0], np.cumsum(mask)])
             n_hit, n_words = sums[first[1:]] - sums[first[:-1]], np.diff(first)
             spans: list[list[dict]] = [[] for _ in range(texts)]
@@ -258,7 +291,3 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_
 
     return arrow(chosen, work, f"{schema}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>, contaminated boolean")
 
-
-def digest(items: list[str]) -> str:
-    """Of a sorted list of item ids, as the query derives it."""
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
