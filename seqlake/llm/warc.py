@@ -13,7 +13,8 @@ reachable; a magic line inside a payload starts nothing that the chain reaches.
 several pieces, which are joined again for these records only.
 
 Null payloads are empty; an empty payload is a payload like any other. Rows that share page id and payload are all
-responses if theirs is the largest id. A null page id or url is written as an empty header value and read as null.
+responses if theirs is the largest id. Page ids are escaped, so any text comes back, and null apart from empty; line breaks
+in a url become blanks, and a null url reads as an empty one does, as null.
 Further columns are not read. An empty table writes no records and reads as no rows.
 """
 
@@ -55,7 +56,7 @@ def write(pages: DataFrame, to: str, min_bytes: int = 0, id_col: str = "page_id"
     revisit = F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("id"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(GAP))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), _clean(c), F.lit(">"))
+    urn = lambda c: F.when(c.isNull(), "<urn:page>").otherwise(F.concat(F.lit("<urn:page:"), F.url_encode(c.cast("string")), F.lit(">")))
     line = lambda name, c: F.concat(F.lit(f"{name}: "), c, F.lit("\r\n"))
     record = F.concat(
         F.lit(MAGIC),
@@ -91,11 +92,12 @@ def _placed(pieces: DataFrame, *columns: str) -> DataFrame:
 def _header(value: Column) -> dict[str, Column]:
     """Fields of a record that follows its magic line."""
     head = F.concat(F.lit("\r\n"), F.substring_index(value, GAP, 1), F.lit("\r\n"))
+    urn = lambda c: F.when(c.startswith("<urn:page:"), F.try_url_decode(F.regexp_extract(c, "^<urn:page:(.*)>$", 1)))
     get = lambda name: F.regexp_extract(head, f"(?i)\\r\\n{name}:[ \\t]*([^\\r\\n]*)", 1)
     return {
         "type": F.lower(get("WARC-Type")),
-        "id": F.regexp_extract(get("WARC-Record-ID"), "^<urn:page:(.*)>$", 1),
-        "refers": F.regexp_extract(get("WARC-Refers-To"), "^<urn:page:(.*)>$", 1),
+        "id": urn(get("WARC-Record-ID")),
+        "refers": urn(get("WARC-Refers-To")),
         "uri": get("WARC-Target-URI"),
         "digest": F.regexp_extract(get("WARC-Payload-Digest"), "^sha1:(.*)$", 1),
         "payload_len": get("WARC-Payload-Length").try_cast("long"),
@@ -144,7 +146,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     empty = lambda c: F.when(F.col(c) != "", F.col(c))
     visit = F.col("type") == "revisit"
     return plain.select(
-        "file", "off", "type", empty("id").alias("id"), empty("refers").alias("refers"), empty("uri").alias("uri"), "digest",
+        "file", "off", "type", "id", "refers", empty("uri").alias("uri"), "digest",
         F.when(visit, F.col("payload_len")).otherwise(F.greatest(F.lit(0), F.col("head") + F.col("length") - F.col("body"))).alias("payload_bytes"),
         F.when(visit, F.col("digest")).otherwise(F.col("sha")).alias("payload_digest"),
     )
