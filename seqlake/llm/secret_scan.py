@@ -8,8 +8,8 @@ labelled findings (a table of at most FINDINGS rows, generated by rule unless gi
 expressions, and a candidate is a secret if their mean is at least THRESHOLD. Everything happens within a row:
 no shuffle, and texts are read once.
 
-Null text has no candidates; a null path counts as empty. Repeated rows have equal results; all columns stay, under their names. An empty
-table gives no rows. Offsets are code points.
+Null text has no candidates; a null path counts as empty. Repeated rows have equal results; all columns stay, under their names, but
+for one named _scan, which gives way. An empty table gives no rows. Offsets are code points.
 """
 
 from __future__ import annotations
@@ -128,10 +128,9 @@ def fit(labelled: DataFrame, rows: int = FINDINGS) -> tuple[list, list[str]]:
 def scan(docs: DataFrame, path: Column, model: tuple[list, list[str]] | None = None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of docs, and a struct `_scan` with candidates (start, end, score) and the text redacted at the secrets."""
     forest, names = model or _fitted(docs.sparkSession)
-    own = docs.columns
     c = lambda name: F.col(f"__scan_{name}")
     # One column for each step: steps that are used more than once are computed once.
-    step = docs.withColumns({"__scan_text": F.coalesce(docs[text_col].cast("string"), F.lit("")), "__scan_path": F.coalesce(path.cast("string"), F.lit(""))})
+    step = spans.apart(docs, __scan_text=F.coalesce(docs[text_col].cast("string"), F.lit("")), __scan_path=F.coalesce(path.cast("string"), F.lit("")))
     step = step.withColumn("__scan_found", spans.matches(c("text"), CANDIDATE))
     step = step.withColumn("__scan_between", spans.around(c("text"), CANDIDATE, c("found")))
     step = step.withColumns({"__scan_near": F.transform(c("between"), lambda p: F.struct(F.right(p, F.lit(40)).alias("end"), F.left(p, F.lit(40)).alias("start"))), "__scan_starts": spans.starts(c("found"), c("between"))})
@@ -145,7 +144,7 @@ def scan(docs: DataFrame, path: Column, model: tuple[list, list[str]] | None = N
     empty = F.array().cast("array<struct<start: bigint, end: bigint, score: double>>")
     some = F.size(c("found")) > 0
     out = F.struct(F.when(some, rows).otherwise(empty).alias("candidates"), F.when(some & F.exists(c("scores"), lambda s: s >= threshold), redacted).otherwise(c("text")).alias("redacted"))
-    return step.select(*(F.col(f"`{x}`") for x in own), out.alias("_scan"))
+    return spans.together(step, docs, "_scan", out)
 
 
 def secrets(threshold: float = THRESHOLD) -> Column:

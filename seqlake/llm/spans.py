@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,13 @@ def starts(found: Column, between: Column) -> Column:
     long = lambda a: F.transform(a, lambda x: F.char_length(x).cast("long"))
     steps = F.zip_with(long(F.slice(between, F.lit(1), F.size(found))), long(found), lambda p, m: p + m)
     return F.when(F.size(found) > 0, F.zip_with(offsets(steps), F.slice(between, F.lit(1), F.size(found)), lambda a, p: a + F.char_length(p)))
+
+
+def apart(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of docs as one struct `__own`, beside new columns: no name of docs can clash with a working column."""
+    return docs.select(F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("__own"), *(v.alias(k) for k, v in columns.items()))
+
+
+def together(step: DataFrame, docs: DataFrame, name: str, value: Column) -> DataFrame:
+    """The columns of docs and `name`; a column of docs that has this name gives way."""
+    return step.select(*(F.col("__own")[c].alias(c) for c in docs.columns if c != name), value.alias(name))
