@@ -8,14 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, media, minhash, pii, secret_scan, suffix_index, toxicity, warc
+from . import bpe, decontaminate, licenses, media, minhash, pii, secret_scan, sql, suffix_index, toxicity, warc
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.scan(table(spark, sf_dir, "documents"))
     every = F.array_sort(F.concat("_pii.base", "_pii.more"))
-    return out.select("doc_id", *(pii.count(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.listed(F.col("_pii.base")), 256).alias("base_sha256"), pii.listed(every).alias("spans"))
+    return out.select("doc_id", *(pii.count(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.listed(F.col("_pii.base")), 256).alias("base_sha256"), pii.listed(every).alias("spans"), F.col("_pii.scored").alias("n_scored"), F.size("_pii.more").cast("long").alias("n_added"))
 
 
 def op7_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import textwrap
 import zlib
 
 import pytest
@@ -32,6 +33,13 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(df.where("page_id in (1, 4)"), min_bytes=9).where("record_type = 'revisit'").count() == 0
 
 
+def test_archives_of_pages_with_text_ids(spark):
+    rows = [("a\nb", "x"), ("", "x"), (None, "y"), ("é %41>", "z"), ("a b", "")]
+    df = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id string, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()}
+    assert got == {"a\nb": (1, "response", None), "": (1, "revisit", "a\nb"), None: (1, "response", None), "é %41>": (1, "response", None), "a b": (0, "response", None)}
+
+
 def test_chain_skips_what_it_does_not_reach(spark):
     rows = [("f", 0, 100), ("f", 40, 100), ("f", 100, 300), ("f", 150, 200), ("f", 200, 300), ("f", 300, 400), ("g", 0, None), ("g", 7, 9)]
     got = warc.chain(spark.createDataFrame(rows, "file string, off long, succ long")).select("file", "off").collect()
@@ -77,6 +85,22 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0), F.col("p")).count() == 0
 
 
+def test_licence_files_and_wrapped_notices(spark):
+    wrap = lambda t, n=70: "\n".join(textwrap.wrap(t, n))
+    warranty = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    notice = "# Copyright 2020 The Authors\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an \"AS IS\" BASIS.\nimport os\n"
+    gpl = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version {} of the License, or\n# (at your option) any later version.\n"
+    want = {
+        "MIT": wrap("MIT License\n\nCopyright (c) 2021 Somebody\n\n" + licenses.FILES["MIT"][12:]),
+        "ISC": wrap(licenses.FILES["ISC"]), "BSD-2-Clause": wrap("Copyright (c) 2019, Somebody " + licenses.FILES["BSD-2-Clause"] + " " + warranty), "BSD-3-Clause": wrap("Copyright (c) 2019, Somebody " + licenses.FILES["BSD-3-Clause"] + " " + warranty),
+        "GPL-2.0": wrap(licenses.FILES["GPL-2.0"]), "GPL-3.0": wrap(licenses.FILES["GPL-3.0"]), "LGPL-3.0": wrap(licenses.FILES["LGPL-3.0"]), "AGPL-3.0": wrap(licenses.FILES["AGPL-3.0"]), "Apache-2.0": notice,
+    }
+    rows = [(k, v, f"d{i}/text{i}") for i, (k, v) in enumerate(want.items())] + [("GPL-2.0", gpl.format(2), "n/a"), ("GPL-3.0", gpl.format(3), "n/b")]
+    rows += [("MIT", "no words of it", "d0/x/y.py")]  # d0/text0 is a licence file by its content
+    got = licenses.scan(spark.createDataFrame([(*r, 1) for r in rows], "name string, text string, p string, _license int"), F.col("p")).collect()
+    assert [(r.name, r._license.license) for r in got if r.name != r._license.license] == []
+
+
 def test_pipeline_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")

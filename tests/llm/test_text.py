@@ -267,6 +267,20 @@ def test_added_spans(spark):
     assert [t[int(a) : int(b)] for _, a, b in (x.split(":") for x in more.split(","))] == ["743-555-3824", "123-45-6789", "jane (at) mail (dot) com"]
 
 
+def test_candidates_that_fail_a_base_test(spark):
+    t = "pay with card 4785 3805 9239 1130 and not page 4785, +1 555 3824"
+    got = pii.scan(spark.createDataFrame([(1, t, 5, 6)], "doc_id long, text string, _pii int, __pii_text int")).first()
+    assert got["__pii_text"] == 6 and not got._pii.base and got._pii.scored >= 2
+    assert "4785 3805 9239 1130" in [t[x.start : x.end] for x in got._pii.more]
+    assert not any(t[x.start : x.end] == "4785" for x in got._pii.more)
+
+
+def test_working_columns_do_not_clash(spark):
+    row = (1, 'token = "11acdfb36bb72224148e6160f674b4be45601bff"', 3, 4)
+    got = secret_scan.scan(spark.createDataFrame([row], "doc_id long, text string, _scan int, __scan_found int"), F.lit("a")).first()
+    assert got["__scan_found"] == 4 and got._scan.redacted == 'token = "[SECRET]"'
+
+
 # Secrets
 
 
