@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
@@ -16,6 +16,11 @@ MOST_BINS = 50
 TAXA = {"Bacteroides fragilis": 0.43, "Bacteroides thetaiotaomicron": 0.43, "Faecalibacterium prausnitzii": 0.57, "Bifidobacterium longum": 0.6, "Bifidobacterium adolescentis": 0.59, "Lactobacillus acidophilus": 0.35, "Lactobacillus plantarum": 0.45, "Akkermansia muciniphila": 0.56, "Prevotella copri": 0.47, "Ruminococcus bromii": 0.49, "Escherichia coli": 0.51, "Salmonella enterica": 0.52, "Klebsiella pneumoniae": 0.57, "Enterobacter cloacae": 0.55, "Shigella flexneri": 0.51, "Yersinia pestis": 0.48, "Staphylococcus aureus": 0.33, "Staphylococcus epidermidis": 0.32, "Streptococcus pneumoniae": 0.4, "Streptococcus pyogenes": 0.39, "Enterococcus faecalis": 0.38, "Clostridium difficile": 0.29, "Clostridium botulinum": 0.28, "Listeria monocytogenes": 0.38, "Bacillus subtilis": 0.44, "Bacillus anthracis": 0.35, "Bacillus cereus": 0.35, "Pseudomonas aeruginosa": 0.66, "Pseudomonas putida": 0.62, "Pseudomonas fluorescens": 0.6, "Acinetobacter baumannii": 0.39, "Burkholderia cepacia": 0.67, "Mycobacterium tuberculosis": 0.66, "Haemophilus influenzae": 0.38, "Neisseria meningitidis": 0.51, "Bordetella pertussis": 0.68, "Legionella pneumophila": 0.38, "Rhizobium leguminosarum": 0.61, "Agrobacterium tumefaciens": 0.59, "Streptomyces coelicolor": 0.72, "Azotobacter vinelandii": 0.66, "Vibrio cholerae": 0.48, "Shewanella oneidensis": 0.46, "Prochlorococcus marinus": 0.31, "Mycoplasma pneumoniae": 0.4, "Helicobacter pylori": 0.39, "Campylobacter jejuni": 0.31}
 
 
+def taxon_id(name: Column) -> Column:
+    """Number of a reference taxon, from 1 in the order of names; 0 for another name."""
+    return F.array_position(F.array(*(F.lit(n) for n in sorted(TAXA))), name)
+
+
 #: Ranges of keys that are counted to find a rank.
 RANGES = 10_000
 

@@ -169,3 +169,35 @@ def nx(contigs: DataFrame, share: float, partition: str | None = None) -> DataFr
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     run = by.withColumn("cum", F.sum("bases").over(w.orderBy(F.desc("len")))).withColumn("total", F.sum("bases").over(w))
     return run.where(F.col("cum") >= F.floor(F.col("total") * share)).groupBy(*keys).agg(F.max("len").alias("nx"))
+
+
+def upper_median(rows: DataFrame, column: str) -> DataFrame:
+    """(median): the upper median of a column, by counts of its values and never a list of all."""
+    by = rows.groupBy(column).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(F.lit(0))  # a row for each distinct value
+    cum = by.withColumn("cum", F.sum("n").over(w.orderBy(column))).withColumn("total", F.sum("n").over(w))
+    return cum.where(F.col("cum") > F.floor(F.col("total") / 2)).agg(F.min(column).alias("median"))
+
+
+def coverage_bins(contigs: DataFrame) -> DataFrame:
+    """(contig_id, bin): greedy bins by coverage in the order of ids. Contigs within half of the upper median are bin 0; any other goes to the
+    first bin whose first member's coverage is within 0.7 to 1.3 times, or founds one. Only a founder decides, so each round finds
+    the next founder by one aggregation over those that no bin takes yet; bins are as few as powers of 1.3 in the range of coverages."""
+    middle = upper_median(contigs, "coverage").first()["median"]
+    if middle is None:
+        return contigs.select("contig_id", F.lit(0).alias("bin"))
+    near = F.col("coverage").between(0.5 * middle, 1.5 * middle)
+    values = contigs.where(~near).groupBy("coverage").agg(F.min("contig_id").alias("i")).persist()
+    founders: list[float] = []
+    taken = lambda c, b: (c / F.lit(b)).between(0.7, 1.3)
+    while True:
+        left = values
+        for b in founders:
+            left = left.where(~taken(F.col("coverage"), b))
+        row = left.agg(F.min_by("coverage", "i").alias("c")).first()
+        if row["c"] is None:
+            break
+        founders.append(row["c"])
+    values.unpersist()
+    bins = F.coalesce(*(F.when(taken(F.col("coverage"), b), k + 1) for k, b in enumerate(founders)), F.lit(0))
+    return contigs.select("contig_id", F.when(near, 0).otherwise(bins).alias("bin"))

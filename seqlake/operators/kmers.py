@@ -67,7 +67,8 @@ def search(queries: DataFrame, indexed: DataFrame, query_key: str, key: str, top
     query and target, counted within tasks first; top: a report of the best of each query, ties by target."""
     q = queries.select(F.col(query_key).alias("query"), "mer").distinct()
     size = q.groupBy("query").agg(F.count("*").alias("size"))
-    hits = indexed.groupBy("mer", F.col(key).alias("target")).agg(F.count("*").alias("c"))
+    # Only k-mers of queries can match: the index is cut down to them before it is counted.
+    hits = indexed.join(q.select("mer").distinct(), "mer", "left_semi").groupBy("mer", F.col(key).alias("target")).agg(F.count("*").alias("c"))
     found = q.join(hits, "mer").groupBy("query", "target").agg(F.sum("c").alias("matches"))
     out = found.join(size, "query").withColumn("score", F.col("matches") / F.col("size"))
     if top:
@@ -90,3 +91,20 @@ def merge_samples(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
 def sketch(reads: DataFrame, key: str, k: int) -> DataFrame:
     """(key, sketch): HyperLogLog of the distinct k-mers; hll_union_agg merges them."""
     return reads.select(key, F.explode(S.clean_kmers(F.col("seq"), k)).alias("mer")).groupBy(key).agg(F.hll_sketch_agg("mer", F.lit(12)).alias("sketch"))
+
+
+def choose_k(stats: DataFrame, budget_mb: int = 2048, least: int = 15, most: int = 127) -> DataFrame:
+    """Adds k, by mean_len, gc_pct and complexity, and k_in_memory, the same within a table of 4^k counters of 12 bytes and the bounds."""
+    by_length = F.when(F.col("mean_len") < 50, 15).when(F.col("mean_len") < 100, 21).when(F.col("mean_len") < 200, 31).otherwise(41)
+    by_gc = F.when((F.col("gc_pct") < 30) | (F.col("gc_pct") > 70), -4).otherwise(0)
+    by_entropy = F.when(F.col("complexity") < 0.5, -6).when(F.col("complexity") > 0.8, 4).otherwise(0)
+    fits = F.floor(F.log2(F.lit(budget_mb * 1048576.0 / 12)) / 2).cast("int")
+    with_k = stats.withColumn("k", by_length + by_gc + by_entropy)
+    return with_k.withColumn("k_in_memory", F.least(F.greatest(F.least("k", fits), F.lit(least)), F.lit(most)))
+
+
+def cleanup(nodes: DataFrame, edges: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Nodes without those of a coverage below `least` that no edge touches, and the edges, which stay."""
+    touched = edges.select(F.col("src").alias("mer")).unionByName(edges.select(F.col("dst").alias("mer"))).distinct()
+    weak = nodes.where(F.col("coverage") < least).join(touched, "mer", "left_anti").select("mer")
+    return nodes.join(weak, "mer", "left_anti"), edges

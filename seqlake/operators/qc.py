@@ -13,12 +13,22 @@ from ..functions import seq as S
 ADAPTERS = {
     "truseq_r1": "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA",
     "truseq_r2": "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT",
-    "nextera": "CTGTCTCTTATACACATCT",
     "small_rna": "TGGAATTCTCGGGTGCCAAGG",
+    "nextera": "CTGTCTCTTATACACATCT",
+    "small_dna_1": "CTGTAGGCACCATCAATCGT",
+    "small_dna_2": "CTGTCTCTTATACACATCT",
+    "small_dna_3": "ATGTGTATAAGAGACA",
 }
-#: (least mean quality, least window quality, least length) of each preset; none switches filters off.
-PRESETS = {"strict": (25, 20, 75), "standard": (18, 15, 50), "lenient": (15, 10, 30), "none": (0, 0, 0)}
+#: Fixed values: (least mean quality, least window quality, least length) of each preset; none switches filters off.
+PRESETS = {"strict": (25, 20, 75), "standard": (18, 15, 50), "lenient": (12, 10, 30), "none": (0, 0, 1)}
 TAIL, OVERLAP, ERRORS = 50, 8, 0.1
+#: Fixed values: (adapters in order, least overlap, share of mismatches) of each preset.
+ADAPTER_PRESETS = {
+    "strict": (("truseq_r1", "truseq_r2", "small_rna", "small_dna_1", "small_dna_2", "small_dna_3", "nextera"), 10, 0.05),
+    "standard": (tuple(ADAPTERS), OVERLAP, ERRORS),
+    "lenient": (("truseq_r1", "truseq_r2", "small_dna_1", "small_dna_2", "small_dna_3"), 6, 0.15),
+    "none": ((), 100, 0.0),
+}
 
 
 def mean_quality(q: Column) -> Column:
@@ -41,12 +51,11 @@ def trim_bounds(q: Column, w: int = 4, least: int = 15) -> Column:
     return F.struct(F.when(found, first - 1).otherwise(0).cast("long").alias("start"), F.when(found, F.size(q) - last + 1).otherwise(F.size(q)).cast("long").alias("end"))
 
 
-_CODES = [np.frombuffer(a.encode(), np.uint8) for a in ADAPTERS.values()]
-
-
-def find_adapters(seqs: list[str | None]) -> np.ndarray:
-    """A row (adapter's number, place, overlap, mismatches) for each read, -1 without a match: adapters in order, longer overlaps
-    first, then places from the left of the tail. Tails of all reads are compared at once, place by place."""
+def find_adapters(seqs: list[str | None], preset: str = "standard") -> np.ndarray:
+    """A row (adapter's number, place, overlap, mismatches) for each read, -1 without a match: adapters in the preset's order, longer
+    overlaps first, then places from the left of the tail. Tails of all reads are compared at once, place by place."""
+    names, overlap, errors = ADAPTER_PRESETS[preset]
+    codes = [(list(ADAPTERS).index(x), np.frombuffer(ADAPTERS[x].encode(), np.uint8)) for x in names]
     tails = [(s or "")[-TAIL:].encode() for s in seqs]
     size = np.array([len(x) for x in tails], np.int64)
     grid = np.zeros((len(tails), TAIL), np.uint8)
@@ -54,38 +63,40 @@ def find_adapters(seqs: list[str | None]) -> np.ndarray:
         grid[i, : len(x)] = np.frombuffer(x, np.uint8)
     out = np.full((len(tails), 4), -1, np.int64)
     lo = np.array([len(s or "") for s in seqs], np.int64) - size
-    for number, a in enumerate(_CODES):
+    for number, a in codes:
         open_ = np.flatnonzero(out[:, 0] < 0)
         best = np.zeros(len(open_), np.int64)
         wrong = np.zeros(len(open_), np.int64)
-        for p in range(TAIL - OVERLAP + 1):
+        for p in range(TAIL - overlap + 1):
             w = min(len(a), TAIL - p)
-            miss = np.cumsum(grid[open_, p : p + w] != a[:w], axis=1)[:, OVERLAP - 1 :]
-            o = np.arange(OVERLAP, w + 1)
-            ok = (miss <= (ERRORS * o + 1e-9).astype(np.int64)) & (o <= (size[open_] - p)[:, None])
+            miss = np.cumsum(grid[open_, p : p + w] != a[:w], axis=1)[:, overlap - 1 :]
+            if not miss.shape[1]:
+                break
+            o = np.arange(overlap, w + 1)
+            ok = (miss <= (errors * o + 1e-9).astype(np.int64)) & (o <= (size[open_] - p)[:, None])
             longest = np.where(ok, o, 0).max(1)
             key = np.where(longest > 0, longest * 100 + 99 - p, 0)
             better = key > best
             best[better] = key[better]
-            wrong[better] = miss[better, longest[better] - OVERLAP]
+            wrong[better] = miss[better, longest[better] - overlap]
         hit = best > 0
         rows = open_[hit]
         out[rows] = np.stack([np.full(len(rows), number), lo[rows] + 99 - best[hit] % 100, best[hit] // 100, wrong[hit]], 1)
     return out
 
 
-def find_adapter(seq: str) -> tuple[int, ...] | None:
+def find_adapter(seq: str, preset: str = "standard") -> tuple[int, ...] | None:
     """Of one read."""
-    row = tuple(find_adapters([seq])[0].tolist())
+    row = tuple(find_adapters([seq], preset)[0].tolist())
     return row if row[0] >= 0 else None
 
 
-def adapters(seq: Column) -> Column:
+def adapters(seq: Column, preset: str = "standard") -> Column:
     """struct(adapter, place, overlap, mismatches), null without a match; Arrow batches, for no built-in aligns with mismatches."""
 
     @F.pandas_udf("adapter int, place int, overlap int, mismatches int")
     def run(s: pd.Series) -> pd.DataFrame:
-        found = pd.DataFrame(find_adapters(s.tolist()), columns=["adapter", "place", "overlap", "mismatches"]).astype("Int32")
+        found = pd.DataFrame(find_adapters(s.tolist(), preset), columns=["adapter", "place", "overlap", "mismatches"]).astype("Int32")
         return found.mask(found["adapter"] < 0)
 
     return run(seq)
@@ -119,7 +130,7 @@ def cascade(reads: DataFrame, preset: str = "standard") -> DataFrame:
     step = reads.withColumn("mean_q", mean_quality(F.col("q"))).withColumn("bounds", trim_bounds(F.col("q"), 4, window))
     empty = F.col("bounds.end") <= F.col("bounds.start")
     cut = step.withColumn("trimmed", F.substring("seq", (F.col("bounds.start") + 1).cast("int"), (F.col("bounds.end") - F.col("bounds.start")).cast("int")))
-    cut = cut.withColumn("hit", adapters(F.col("trimmed"))).withColumn("final", F.when(F.col("hit.place").isNotNull(), F.left("trimmed", F.col("hit.place"))).otherwise(F.col("trimmed")))
+    cut = cut.withColumn("hit", adapters(F.col("trimmed"), preset)).withColumn("final", F.when(F.col("hit.place").isNotNull(), F.left("trimmed", F.col("hit.place"))).otherwise(F.col("trimmed")))
     status = (
         F.when(F.coalesce(F.col("mean_q"), F.lit(-1.0)) < least, "failed_quality").when(F.char_length("seq") < length, "failed_length").when(empty | (F.char_length("trimmed") < length), "failed_trim")
         .when(F.char_length("final") < length, "failed_adapter").otherwise("pass")
@@ -145,3 +156,14 @@ def median(q: Column) -> Column:
     s, n = F.sort_array(q), F.size(q)
     half = lambda i: F.element_at(s, i.cast("int"))
     return F.when(n > 0, (half(F.floor((n + 1) / 2)) + half(F.floor(n / 2) + 1)) / 2)
+
+
+def exact_adapter(seq: Column, least: int = 7) -> Column:
+    """Where a mate is cut: by adapters in order, at the first exact occurrence, else where the longest prefix of at least `least` bases
+    first occurs if that is at the read's end. Null without a match."""
+    n = F.char_length(seq)
+    found = []
+    for a in ADAPTERS.values():
+        found.append(F.when(F.instr(seq, a) > 0, F.instr(seq, a) - 1))
+        found += [F.when((F.instr(seq, a[:k]) > 0) & (F.instr(seq, a[:k]) + k - 1 == n), n - k) for k in range(len(a) - 1, least - 1, -1)]
+    return F.coalesce(*found)

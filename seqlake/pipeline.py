@@ -79,7 +79,7 @@ def analyze(spark: SparkSession, paths: list[str], to: str, c: settings.Config |
     run.stage("features", lambda: features.vectors(contigs, "contig_id"))
     classes = run.stage("classification", lambda: binning.classify(contigs, "contig_id", binning.profiles(spark), c.similarity))
     counts = run.stage("abundance", lambda: kmers.count(good, 4))
-    named = classes.select("contig_id", F.char_length("taxon").alias("taxonomy_id"), F.col("taxon").alias("taxonomy_name"), "confidence", F.concat(F.lit("Bacteria|"), F.col("taxon")).alias("lineage"))
+    named = classes.select("contig_id", binning.taxon_id(F.col("taxon")).alias("taxonomy_id"), F.col("taxon").alias("taxonomy_name"), "confidence", F.concat(F.lit("Bacteria|"), F.col("taxon")).alias("lineage"))
     for name, lines in {"contigs.fasta": sinks.fasta(contigs), "assembly.gfa": sinks.gfa(contigs, _links(contigs, c.k), c.k - 1), "classification.tsv": sinks.classification_tsv(named), "taxa.kraken": sinks.kraken(named), "taxa.krona": sinks.krona(named), "kmers.tsv": sinks.sketch_tsv(counts)}.items():
         run.text(name, lines)
     state = {r["status"]: r["n"] for r in checked.groupBy("status").agg(F.count("*").alias("n")).collect()}

@@ -17,7 +17,7 @@ K = 15
 _N = f"w AS (SELECT unnest({_kmers(K)}) AS mer FROM reads), nodes AS (SELECT mer, count(*) AS coverage FROM w GROUP BY 1 HAVING count(*) >= 2)"
 _E = f"e AS (SELECT mer[1:{K}] AS src, mer[2:{K + 1}] AS dst, count(*) AS weight FROM (SELECT unnest({_kmers(K + 1)}) AS mer FROM reads) GROUP BY ALL), edges AS (SELECT e.* FROM e SEMI JOIN nodes a ON a.mer = src SEMI JOIN nodes b ON b.mer = dst)"
 _G = f"{V.READS_SQL}, {_N}, {_E}"
-_D = "deg AS (SELECT n.mer, n.coverage, (SELECT count(*) FROM edges WHERE dst = n.mer) AS indeg, (SELECT count(*) FROM edges WHERE src = n.mer) AS outdeg FROM nodes n)"
+_D = "din AS (SELECT dst AS mer, count(*) AS c FROM edges GROUP BY 1), dout AS (SELECT src AS mer, count(*) AS c FROM edges GROUP BY 1), deg AS (SELECT n.mer, n.coverage, coalesce(i.c, 0) AS indeg, coalesce(o.c, 0) AS outdeg FROM nodes n LEFT JOIN din i USING (mer) LEFT JOIN dout o USING (mer))"
 _PEEL = "kept AS (SELECT mer, coverage FROM deg WHERE NOT ((indeg = 0 AND outdeg <= 1) OR (outdeg = 0 AND indeg <= 1)))"
 
 
@@ -88,6 +88,15 @@ def graph_clustering(spark: SparkSession, d: str) -> DataFrame:
     return graph.clustering(_graph(spark, d)[1]).withColumn("coefficient", F.round("coefficient", 9))
 
 
+@query(f"WITH {_G} SELECT mer, coverage FROM nodes WHERE coverage >= 3 OR mer IN (SELECT src FROM edges) OR mer IN (SELECT dst FROM edges)")
+def graph_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    """GR12: nodes of low coverage without an edge removed."""
+    from ..operators import kmers
+
+    nodes, edges = _graph(spark, d)
+    return kmers.cleanup(nodes, edges)[0].select("mer", "coverage")
+
+
 @query()
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
     """GR17: connected components."""
@@ -157,7 +166,7 @@ def sink_fasta(spark: SparkSession, d: str) -> DataFrame:
 def sink_gfa(spark: SparkSession, d: str) -> DataFrame:
     """SK2."""
     c = V.contigs(spark, d)
-    return sinks.gfa(c, sinks.consecutive(c.select("contig_id")), 0)
+    return sinks.gfa(c, sinks.consecutive(c.select("contig_id"), cut), 0)
 
 
 @query(f"WITH {V.SEQS_SQL} SELECT doc_id, length(seq) AS len FROM seqs ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 50")

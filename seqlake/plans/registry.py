@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import assembly, quality, scalars, spectra, stream, taxa  # noqa: F401
+    from . import assembly, pairs, quality, scalars, spectra, stream, taxa  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

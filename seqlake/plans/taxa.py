@@ -91,6 +91,7 @@ def bin_merge(spark: SparkSession, d: str) -> DataFrame:
     return binning.merge_map(s).select("bin", F.col("into").alias("merged_into"), (F.dense_rank().over(Window.orderBy("into")) - 1).alias("new_bin"))
 
 
+_TAXON_LIST = ", ".join(f"'{n}'" for n in sorted(binning.TAXA))
 _T = ", ".join(f"('{n}', {g}::DOUBLE)" for n, g in sorted(binning.TAXA.items()))
 _CLS = f"""{V.CONTIGS_SQL}, taxa(taxon, gc) AS (VALUES {_T}), mers AS (SELECT a || b || c || d AS mer FROM (VALUES ('A'), ('C'), ('G'), ('T')) t1(a), (VALUES ('A'), ('C'), ('G'), ('T')) t2(b), (VALUES ('A'), ('C'), ('G'), ('T')) t3(c), (VALUES ('A'), ('C'), ('G'), ('T')) t4(d)),
 ref AS (SELECT taxon, mer, CASE WHEN {_cnt('[GC]', 'mer')} > 2 THEN gc ELSE 1 - gc END / 128 AS ref FROM taxa, mers), w AS (SELECT contig_id, unnest({_kmers(4)}) AS mer FROM contigs), f AS (SELECT contig_id, mer, count(*)::DOUBLE AS freq FROM w GROUP BY ALL),
@@ -124,12 +125,12 @@ def taxa_ranks(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.when(F.col("g") == 0, "species").otherwise("genus").alias("rank"), F.coalesce("species", "genus").alias("name"), "n", "confidence")
 
 
-@query(f"WITH {_CLS} SELECT concat_ws(chr(9), contig_id, length(taxon), taxon, printf('%.4f', confidence), concat('Bacteria|', split_part(taxon, ' ', 1), '|', taxon)) AS line FROM cls WHERE confidence >= 0.6")
+@query(f"WITH {_CLS} SELECT concat_ws(chr(9), contig_id, list_position([{_TAXON_LIST}], taxon), taxon, printf('%.4f', confidence), concat('Bacteria|', split_part(taxon, ' ', 1), '|', taxon)) AS line FROM cls WHERE confidence >= 0.6")
 def sink_classification(spark: SparkSession, d: str) -> DataFrame:
     """JN4, SK7, SK13, SF37."""
     c = _classified(spark, d)
     line = F.concat(F.lit("Bacteria|"), F.split_part("taxon", F.lit(" "), F.lit(1)), F.lit("|"), F.col("taxon"))
-    return sinks.classification_tsv(c.select("contig_id", F.char_length("taxon").alias("taxonomy_id"), F.col("taxon").alias("taxonomy_name"), "confidence", line.alias("lineage")))
+    return sinks.classification_tsv(c.select("contig_id", binning.taxon_id(F.col("taxon")).alias("taxonomy_id"), F.col("taxon").alias("taxonomy_name"), "confidence", line.alias("lineage")))
 
 
 @query(f"WITH {_CLS}, n AS (SELECT taxon, count(*) AS n FROM cls WHERE confidence >= 0.6 GROUP BY 1) SELECT concat_ws(chr(9), printf('%.2f', 100.0 * n / sum(n) OVER ()), n, n, 'S', taxon) AS line FROM n")
@@ -147,7 +148,7 @@ def sink_krona(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_name AS name, r_name AS parent, concat_ws('|', r_name, n_name, s_name) AS lineage, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def store_lineage(spark: SparkSession, d: str) -> DataFrame:
-    """JN14, SC9, SC10, SC17: names of a dimension hierarchy joined into lineages; the fixed dimensions are small by definition and AQE broadcasts them by size."""
+    """JN14: names of a dimension hierarchy joined into lineages; the fixed dimensions are small by definition and AQE broadcasts them by size."""
     s, n, r = (V.table(spark, d, t) for t in ("supplier", "nation", "region"))
     j = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return j.select(F.col("n_name").alias("name"), F.col("r_name").alias("parent"), F.concat_ws("|", "r_name", "n_name", "s_name").alias("lineage"), "s_suppkey")
@@ -184,7 +185,7 @@ def _mates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {_MATES}, p AS (SELECT pair_id, k, a.seq AS r1, b.seq AS r2 FROM (SELECT * FROM m WHERE side = 0) a JOIN (SELECT * FROM m WHERE side = 1) b USING (pair_id, k)) SELECT pair_id, k, greatest(length(r1) + length(r2) + 200, 300) AS insert_size, concat(r1, repeat('N', 10), reverse(translate(r2, 'ACGT', 'TGCA'))) AS combined, length(r1) >= 50 AND length(r2) >= 50 AS valid FROM p")
 def mates_paired(spark: SparkSession, d: str) -> DataFrame:
-    """JN10, PF17, PF21, SF34, SF35, SF36, SE1."""
+    """JN10, SF34, SF35, SE1."""
     a, b = _mates(spark, d)
     n1, n2 = F.char_length("r1"), F.char_length("r2")
     p = a.join(b, ["pair_id", "k"])
@@ -193,14 +194,14 @@ def mates_paired(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_MATES} SELECT pair_id, k, length(seq) AS len FROM m a WHERE side = 0 AND NOT EXISTS (SELECT 1 FROM m b WHERE b.side = 1 AND b.pair_id = a.pair_id AND b.k = a.k)")
 def mates_single(spark: SparkSession, d: str) -> DataFrame:
-    """JN10, PF17: reads without a mate."""
+    """JN10: reads without a mate."""
     a, b = _mates(spark, d)
     return a.join(b, ["pair_id", "k"], "left_anti").select("pair_id", "k", F.char_length("r1").cast("long").alias("len"))
 
 
 @query(f"WITH {_MATES}, p AS (SELECT greatest(length(a.seq) + length(b.seq) + 200, 300) AS s FROM (SELECT * FROM m WHERE side = 0) a JOIN (SELECT * FROM m WHERE side = 1) b USING (pair_id, k)) SELECT s // 100 * 100 AS size, count(*) AS n, min(s) AS lo, max(s) AS hi FROM p GROUP BY 1")
 def mates_insert_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """AG23, AG24."""
+    """AG23: histogram of insert sizes."""
     a, b = _mates(spark, d)
     s = a.join(b, ["pair_id", "k"]).select(F.greatest(F.char_length("r1") + F.char_length("r2") + 200, F.lit(300)).cast("long").alias("s"))
     return s.groupBy((F.floor(F.col("s") / 100) * 100).alias("size")).agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"))

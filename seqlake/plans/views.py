@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 READ = 150
+#: More reads than a document can have: a string holds less than 2^31 bytes.
+MOST_READS = 100_000_000
 FROM, TO = ascii_uppercase + ascii_lowercase, ("ACGT" * 6 + "AC") * 2
 assert len(ascii_letters) == len(TO)
 
 SEQS_SQL = f"seqs AS (SELECT doc_id, source, lang, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{FROM}', '{TO}') AS seq FROM documents)"
-READS_SQL = f"{SEQS_SQL}, reads AS (SELECT doc_id * 10000 + i AS read_id, doc_id, source, substring(seq, i * {READ} + 1, {READ}) AS seq FROM seqs, unnest(range(0, (length(seq) + {READ - 1}) // {READ})) AS t(i))"
+READS_SQL = f"{SEQS_SQL}, reads AS (SELECT doc_id * {MOST_READS} + i AS read_id, doc_id, source, substring(seq, i * {READ} + 1, {READ}) AS seq FROM seqs, unnest(range(0, (length(seq) + {READ - 1}) // {READ})) AS t(i))"
 QUALITY_SQL = f"{READS_SQL}, quals AS (SELECT read_id, doc_id, seq, list_transform(range(1, length(seq) + 1), lambda i: ((ascii(substring(seq, i, 1)) * 7 + i * (doc_id % 97)) % 41)::BIGINT) AS q FROM reads)"
 CONTIGS_SQL = f"{SEQS_SQL}, contigs AS (SELECT doc_id AS contig_id, seq, length(seq) AS len, (2 + doc_id % 40)::DOUBLE AS coverage FROM seqs WHERE length(seq) >= 1000)"
 
@@ -40,7 +42,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_id, doc_id, source, seq."""
     s = sequences(spark, sf_dir).where(F.char_length("seq") > 0)
     parts = s.select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.char_length("seq") / READ).cast("int") - 1)).alias("i"))
-    return parts.select((F.col("doc_id") * 10000 + F.col("i")).alias("read_id"), "doc_id", "source", F.substring("seq", F.col("i") * READ + 1, F.lit(READ)).alias("seq"))
+    return parts.select((F.col("doc_id") * MOST_READS + F.col("i")).alias("read_id"), "doc_id", "source", F.substring("seq", F.col("i") * READ + 1, F.lit(READ)).alias("seq"))
 
 
 def quality_reads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,10 +47,12 @@ def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, header, seq: lines of a record joined. Records are split at '>' by the reader, so long files stay splittable."""
-    raw = spark.read.option("lineSep", ">").text(paths).where("value <> ''")
+    """file, header, seq: lines of a record joined. Records are split by the reader at '>' after a line's end, so long files
+    stay splittable and a header may hold that sign."""
+    raw = spark.read.option("lineSep", "\n>").text(paths).where("value <> ''")
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^>", "").alias("value"))
     head = F.split("value", "\n", 2)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.rtrim(head[0]).alias("header"), F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), "\\s", "").alias("seq"))
+    return raw.select("file", F.rtrim(F.regexp_replace(head[0], "\\r$", "")).alias("header"), F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), "\\s", "").alias("seq"))
 
 
 def reference_sequences(fasta: DataFrame) -> DataFrame:

@@ -64,6 +64,11 @@ def sketch_tsv(counts: DataFrame, top: int | None = None) -> DataFrame:
     return rows.select(F.concat_ws("\t", "mer", F.col("n").cast("string")).alias("line"))
 
 
-def consecutive(contigs: DataFrame) -> DataFrame:
-    """(src, dst) of contigs that follow each other by id."""
-    return contigs.select(F.col("contig_id").alias("src"), F.lead("contig_id").over(Window.orderBy("contig_id")).alias("dst")).where("dst is not null")
+def consecutive(contigs: DataFrame, cut) -> DataFrame:
+    """(src, dst) of contigs that follow each other by id. Ids are dealt by range and ordered within a range; only the least id of each range
+    meets the others, to follow the last one of the range before. cut: writes a table and reads it back, so the ranges stay."""
+    ids = cut(contigs.select(F.col("contig_id").alias("src")).repartitionByRange("src").withColumn("part", F.spark_partition_id()))
+    heads = ids.groupBy("part").agg(F.min("src").alias("head"))
+    after = heads.select("part", F.lead("head").over(Window.orderBy("part")).alias("next"))  # a row for each range
+    inner = ids.withColumn("dst", F.lead("src").over(Window.partitionBy("part").orderBy("src")))
+    return inner.join(F.broadcast(after), "part").select("src", F.coalesce("dst", "next").alias("dst")).where("dst is not null")

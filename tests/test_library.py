@@ -90,6 +90,26 @@ def test_adapter_goldens():
     assert qc.find_adapter(read) is None and qc.find_adapter("ACG") is None
 
 
+def test_adapter_presets():
+    read = "ACGTACGTACGTACGT"
+    assert [qc.find_adapter(read + a)[0] for a in qc.ADAPTERS.values()] == [0, 0, 2, 3, 4, 3, 6]  # both TruSeq adapters start alike
+    assert qc.find_adapter(read + qc.ADAPTERS["truseq_r1"][:6], "lenient") == (0, 16, 6, 0) and qc.find_adapter(read + qc.ADAPTERS["truseq_r1"][:6]) is None
+    assert qc.find_adapter(read + qc.ADAPTERS["truseq_r1"][:9], "strict") is None and qc.find_adapter(read + "AGATCGGAAG", "none") is None
+    assert qc.find_adapter(read + qc.ADAPTERS["nextera"], "strict")[0] == list(qc.ADAPTERS).index("small_dna_2")
+
+
+def test_mates_are_cut_at_exact_adapters(spark):
+    a = qc.ADAPTERS["truseq_r1"]
+    assert [one(spark, x, qc.exact_adapter) for x in ("ACGT" + a + "TT", "ACGT" + a[:8], "ACGT" + a[:6], a[:9] + "T" + a[:9], "")] == [4, 4, None, None, None]
+
+
+def test_coverage_bins(spark):
+    cov = [10, 10, 10, 11, 9, 40, 41, 100, 39, 70, 3]
+    df = spark.createDataFrame([(i, float(c)) for i, c in enumerate(cov)], "contig_id long, coverage double")
+    assert [r.bin for r in graph.coverage_bins(df).orderBy("contig_id").collect()] == [0, 0, 0, 0, 0, 1, 1, 2, 1, 2, 3]
+    assert graph.coverage_bins(df.limit(0)).count() == 0
+
+
 def test_cascade_reasons(spark):
     rows = [(1, "ACGT" * 18, [40] * 72), (2, "ACGT" * 18, [0] * 72), (3, "ACGTACGT", [40] * 8), (4, "", []), (5, "ACGT" * 18, [40] * 30 + [0] * 42)]
     df = spark.createDataFrame(rows, "read_id long, seq string, q array<long>")
@@ -177,6 +197,11 @@ def test_files_round_trip(spark, tmp_path):
     assert fastx.kind("a/b.fna.gz") == "fasta" and fastx.kind("r.fq") == "fastq"
 
 
+def test_fasta_headers_may_hold_the_sign(spark, tmp_path):
+    (tmp_path / "y.fa").write_text(">a x>y\nACGT\nAC\n>b\r\nTT\r\n")
+    assert sorted(map(tuple, fastx.read_fasta(spark, str(tmp_path / "y.fa")).select("header", "seq").collect())) == [("a x>y", "ACGTAC"), ("b", "TT")]
+
+
 def test_wrapped_fasta(spark):
     assert one(spark, "A" * 160, sinks.wrapped) == "A" * 80 + "\n" + "A" * 80
     assert one(spark, "A" * 81, sinks.wrapped) == "A" * 80 + "\nA"
