@@ -162,8 +162,10 @@ def exact_adapter(seq: Column, least: int = 7) -> Column:
     """Where a mate is cut: by adapters in order, at the first exact occurrence, else where the longest prefix of at least `least` bases
     first occurs if that is at the read's end. Null without a match."""
     n = F.char_length(seq)
-    found = []
-    for a in ADAPTERS.values():
-        found.append(F.when(F.instr(seq, a) > 0, F.instr(seq, a) - 1))
-        found += [F.when((F.instr(seq, a[:k]) > 0) & (F.instr(seq, a[:k]) + k - 1 == n), n - k) for k in range(len(a) - 1, least - 1, -1)]
-    return F.coalesce(*found)
+
+    def place(a: Column) -> Column:
+        ends = F.filter(F.sequence(F.char_length(a) - 1, F.lit(least), F.lit(-1)), lambda k: (F.instr(seq, F.left(a, k)) > 0) & (F.instr(seq, F.left(a, k)) + k - 1 == n))
+        return F.when(F.instr(seq, a) > 0, F.instr(seq, a) - 1).otherwise(n - F.get(ends, F.lit(0)))
+
+    every = F.transform(F.array(*(F.lit(a) for a in ADAPTERS.values())), place)
+    return F.get(F.filter(every, lambda x: x.isNotNull()), F.lit(0))
