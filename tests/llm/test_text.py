@@ -345,7 +345,7 @@ def test_toxicity_on_held_out_rows():
     logits = np.concatenate([model.logits(d, off) for _, d, off in kernels.chunks(pa.array([r[1] for r, o in zip(rows, out, strict=True) if o]))])
     y = np.array([r[2] for r, o in zip(rows, out, strict=True) if o])
     predicted = logits >= np.log(0.7 / 0.3)
-    assert (predicted == y).mean() > 0.96 and predicted[y == 1].mean() > 0.8
+    assert (predicted == y).mean() > 0.96 and predicted[y == 1].mean() > 0.88
 
 
 def test_toxicity_edges(spark):
