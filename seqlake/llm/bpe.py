@@ -22,7 +22,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from . import kernels as K
 from .common import arrow
@@ -164,10 +164,18 @@ def pretokens(points: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
-    """The ranks of a rank file: a base64 byte string and its rank on each line."""
+def load_ranks(source: str | bytes) -> dict[bytes, int]:
+    """The ranks of a rank file, of its path or its contents: a base64 byte string and its rank on each line."""
+    if isinstance(source, str):
+        with open(source, "rb") as f:
+            source = f.read()
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in source.split(b"\n") if line.strip())}
+
+
+def sent(spark: SparkSession, path: str):
+    """A rank file's contents for the executors, which need not have the driver's files."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return spark.sparkContext.broadcast(f.read())
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -226,8 +234,8 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Encodes chunks of texts with one rank file; keeps merged pre-tokens between chunks."""
 
-    def __init__(self, path: str):
-        self.ranks = load_ranks(path)
+    def __init__(self, source: str | bytes):
+        self.ranks = load_ranks(source)
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         size = max(self.bytes_of, default=-1) + 1
         lengths = np.zeros(size, np.int64)
@@ -303,23 +311,23 @@ class Encoder:
         return ids, np.cumsum(size) - size, np.append(begin, len(out)).astype(np.int64)[np.searchsorted(starts, off)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str | bytes, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker and file."""
-    if path not in _encoders:
+def encoder(source: str | bytes) -> Encoder:
+    """One encoder a worker and file, of its path or its contents."""
+    if source not in _encoders:
         _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[source] = Encoder(source)
+    return _encoders[source]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<int>, offsets array<long>: the byte where each id starts) of every text."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, ranks = docs.schema[id_col].dataType.simpleString(), sent(docs.sparkSession, path)
 
     def work(batch: pa.RecordBatch):
-        enc, names = encoder(path), batch.column(0)
+        enc, names = encoder(ranks.value), batch.column(0)
         for i, data, off in K.chunks(batch.column(1)):
             ids, where, first = enc.encode_chunk(data, off)
             lists = pa.array(first.astype(np.int32), pa.int32())
@@ -331,10 +339,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, decoded binary) of lists of ids; a null list decodes to no bytes."""
-    kind = tokens.schema[id_col].dataType.simpleString()
+    kind, ranks = tokens.schema[id_col].dataType.simpleString(), sent(tokens.sparkSession, path)
 
     def work(batch: pa.RecordBatch):
-        enc = encoder(path)
+        enc = encoder(ranks.value)
         out = [enc.decode(np.asarray(x.values if x.is_valid else [], np.int64)).tobytes() for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "decoded"])
 
@@ -343,10 +351,10 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256, n_bytes): each text encoded, its ids decoded again, both digested in one pass."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, ranks = docs.schema[id_col].dataType.simpleString(), sent(docs.sparkSession, path)
 
     def work(batch: pa.RecordBatch):
-        enc, names = encoder(path), batch.column(0)
+        enc, names = encoder(ranks.value), batch.column(0)
         for i, data, off in K.chunks(batch.column(1)):
             ids, _, first = enc.encode_chunk(data, off)
             packed = memoryview(ids.astype("<u4").tobytes())
