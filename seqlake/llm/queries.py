@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, media, minhash, pii, secret_scan, sql, suffix_index, toxicity, warc
+from . import bpe, decontaminate, divergence, licenses, media, minhash, pii, secret_scan, shards, spelling, sql, suffix_index, toxicity, warc
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -69,8 +69,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), path).select("doc_id", "_license.headers", "_license.score", "_license.own", "_license.inherited", F.col("_license.source").alias("inherited_from"), "_license.license")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(spelling.vocabulary(table(spark, sf_dir, "documents"), spoil=199, least_points=6, least_count=5), ratio=5)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(table(spark, sf_dir, "documents"), 16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_secrets, op3_decontaminate, op4_warc, op5_byte_bpe, op6_pii, op7_suffix_index, op8_media, op9_toxicity, op10_licenses)}
+    return {f.__name__: f for f in (op1_minhash, op2_secrets, op3_decontaminate, op4_warc, op5_byte_bpe, op6_pii, op7_suffix_index, op8_media, op9_toxicity, op10_licenses, op11_spelling, op12_divergence, op13_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

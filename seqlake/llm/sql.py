@@ -69,4 +69,41 @@ SELECT n.doc_id, n.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_rem
 FROM n LEFT JOIN tails USING (r) LEFT JOIN whole USING (r)
 """
 
-ORACLES = {"op1_minhash": OP1, "op3_decontaminate": OP3, "op4_warc": OP4, "op7_suffix_index": OP7}
+_RUNS = r"[A-Za-z\u00C0-\u00FF]+".encode().decode("unicode_escape")
+#: CRC-32 by its table of 256 values, byte by byte over hexadecimal digits; near words by the key that is left when a place is cut out.
+OP11 = f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list(x ORDER BY b) AS t FROM (SELECT b, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, b) AS x FROM range(256) AS r(b))),
+runs AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all({_LOW}, '{_RUNS}')) AS w FROM documents),
+seen AS MATERIALIZED (SELECT doc_id, w, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM runs GROUP BY ALL),
+hashed AS MATERIALIZED (SELECT w, n, xor(4294967295, list_reduce(range(0, length(x) // 2), lambda s, i: xor(s >> 8, t[(xor(s, ('0x' || substring(x, 2 * i + 1, 2))::BIGINT) & 255) + 1]), 4294967295::BIGINT)) AS h FROM seen, crc),
+spoilt AS (SELECT CASE WHEN h % 199 = 0 THEN substring(w, 1, h % length(w)) || substring(w, (h % length(w)) + 2) ELSE w END AS word, n FROM hashed),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM spoilt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cuts AS MATERIALIZED (SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS k FROM v, unnest(range(0, length(word))) AS r(i)),
+pairs AS (SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN v b ON a.k = b.word UNION SELECT b.word, a.word, a.n FROM cuts a JOIN v b ON a.k = b.word),
+near AS (SELECT word, count(*) AS n_near, max(n) AS best, arg_min(other, (-n, encode(other))) AS other FROM pairs GROUP BY word),
+forms AS MATERIALIZED (SELECT v.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best >= 5 * n THEN other END AS form, CASE WHEN best >= 5 * n THEN best END AS form_n FROM v LEFT JOIN near USING (word)),
+walk AS (SELECT word, word AS pos FROM forms UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.pos AND f.form IS NOT NULL),
+ends AS (SELECT walk.word, pos AS root FROM walk JOIN forms f ON f.word = walk.pos AND f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
+_TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Every group's share of every kept term, and the differences of all pairs of a language.
+OP12 = rf"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOW}, '{_TERMS}') AS w FROM documents),
+each AS MATERIALIZED (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM docs) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n)::BIGINT AS n FROM each GROUP BY lang, term HAVING count(*) >= 3),
+v AS MATERIALIZED (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM kept GROUP BY lang),
+cells AS MATERIALIZED (SELECT lang, source, term, sum(e.n)::BIGINT AS n FROM each e JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS MATERIALIZED (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::BIGINT AS n FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN cells c USING (lang, source) GROUP BY g.lang, g.source),
+shares AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS seen, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.n + v.v) AS p, 1 + (1000000000 * (k.n + 1)) // (v.n + v.v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM shares WHERE seen > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES = {"op1_minhash": OP1, "op3_decontaminate": OP3, "op4_warc": OP4, "op7_suffix_index": OP7, "op11_spelling": OP11, "op12_divergence": OP12}
