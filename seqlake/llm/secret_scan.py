@@ -1,7 +1,8 @@
 """Secrets: high-recall candidates, and a random forest that takes false positives out. DataFrame functions only.
 
 Candidates are runs of at least 16 key characters with a digit among them (a name before an equals sign is apart from its value),
-unquoted values of at least 8 characters after a name like token or password, quoted strings without spaces, and private key blocks. Their
+unquoted values of at least 8 characters after a name like token or password, user and password in an address of the web, quoted strings
+without spaces, and private key blocks. None of them has a greatest length: what belongs to a secret is redacted whole. Their
 features: length, shares of character classes, transitions between classes and between vowels and consonants, distinct characters,
 coverage by a dictionary, words of the path, and neighbouring words and signs. The forest is fitted on the driver from
 labelled findings (a table of at most FINDINGS rows, generated by rule unless given), its trees become CASE
@@ -24,15 +25,16 @@ from . import spans, trees
 
 #: Ends of names whose unquoted value is a candidate whatever its characters, and the signs between both.
 _NAMES = ("token", "secret", "password", "passwd", "pwd", "passphrase", "api[_-]key", "apikey", "access[_-]key", "secret[_-]key", "private[_-]key", "credentials", "credential", "client[_-]id", "auth")
-_SIGNS = ("[=:]", "[=:] ", " [=:] ", " [=:]", ":=", " := ")
-#: A lookbehind has a fixed width each, so that every engine takes it; the first one rules out nearly all places.
-_NAMED = "(?:(?<=[=:])|(?<=[=:] ))(?i:" + "|".join(f"(?<={n}{x})" for n in _NAMES for x in _SIGNS) + ")"
+_SIGNS = ("[=:]", "[=:] ", " [=:] ", " [=:]", ":=", " := ", " is ")
+#: A lookbehind has a fixed width each, so that every engine takes it; the first ones rule out nearly all places.
+_NAMED = "(?:(?<=[=:])|(?<=[=:] )|(?<= is ))(?i:" + "|".join(f"(?<={n}{x})" for n in _NAMES for x in _SIGNS) + ")"
 CANDIDATE = (
     r"""-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"""
     + f"""|{_NAMED}"""
-    + r"""[^\s"'&;,]{7,399}[^\s"'&;,.)\]}>]"""
+    + r"""(?=[^\s"'&;,]{7}[.)\]}>]*+[^\s"'&;,.)\]}>])(?:[.)\]}>]*+[^\s"'&;,.)\]}>]++)++"""
+    + r"""|(?<=://)[^\s/:@"'<>]*+:[^\s/:@"'<>]++(?=@)"""
     + r"""|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:=++(?![A-Za-z0-9+/_-]))?"""
-    + r"""|(?<=["'])[^"'\s]{8,80}(?=["'])"""
+    + r"""|(?<=["'])[^"'\s]{8,}+(?=["'])"""
 )
 THRESHOLD = 0.5
 #: Labelled findings that the fit uses at most.
@@ -72,23 +74,25 @@ def features(token: Column, before: Column, after: Column, path: Column) -> list
         ("dummy_near", flag(before.rlike(_DUMMY) | after.rlike(_DUMMY))),
         ("assigned", flag(before.rlike("""[=:]\\s*["']?$"""))),
         ("quoted", flag(before.rlike("""["']$""") & after.rlike("""^["']"""))),
+        ("in_address", flag(before.endswith("://") & after.startswith("@"))),
     ]
 
 
-
 def findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     """Labelled findings by rule: token, before, after, path, label. Half are secrets; the others are what scanners mistake for them."""
     pick = lambda salt, *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(xs))) + 1).cast("int"))
     hexa, other = F.sha1(F.concat(F.lit("a"), F.col("id").cast("string"))), F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), F.col("id").cast("string")), 256)))
     plain = F.regexp_replace(other, "[+/=]", "x")
     size = (F.pmod(F.xxhash64("id", F.lit("n")), F.lit(25)) + 16).cast("int")
-    prose = F.concat(*(pick(f"w{i}", "the", "and", "thtion", "ering", "onble", "handed", "estre", "inwhat", "lethe", "mentor") for i in range(4)))
+    prose = F.concat(*(pick(f"w{i}", "the", "and", "river", "winter", "people", "handed", "question", "somewhat", "garden", "mentor") for i in range(4)))
     name, lead = pick("k", "token", "secret", "api_key", "password", "auth_token", "access_key", "client_secret"), pick("l", "the of and ", "= null; ", "in a ", "", "\n", "and on 12 ")
-    assign = F.concat(lead, name, pick("s", " = ", "=", ": ", " := "), pick("q", '"', '"', "'", ""))
+    assign = F.concat(lead, name, pick("s", " = ", "=", ": ", " := ", " is "), pick("q", '"', '"', "'", ""))
     close = pick("q", '"', '"', "'", "")
     # Short values or values without digits stand only after a name; words and code there are no secrets.
     loose = F.substring(F.translate(plain, "0123456789", "kQ!z$Rw#mX"), F.lit(1), F.pmod(F.xxhash64("id", F.lit("o")), F.lit(17)).cast("int") + 8)
-    secret = F.element_at(F.array(hexa, F.substring(plain, F.lit(1), size), F.concat(pick("p", "AKIA", "ghp_", "sk_live_", "xoxb-"), F.substring(F.upper(plain), F.lit(1), size)), F.substring(F.sha2(hexa, 256), F.lit(1), F.greatest(size, F.lit(32))), loose), (F.pmod(F.xxhash64("id", F.lit("t")), F.lit(5)) + 1).cast("int"))
+    spoken = F.concat(pick("d1", "hunter", "summer", "dragon", "orange", "monkey"), F.substring(F.regexp_replace(hexa, "[a-f]", ""), 1, 2), pick("d2", "", "x", "hunter", "Blue", "!"), F.substring(F.regexp_replace(hexa, "[a-f]", ""), 3, 2))
+    dotted = F.concat(F.substring(plain, 1, 4), F.lit("."), F.substring(plain, 5, 4), F.lit("."), F.substring(plain, F.lit(9), size))
+    secret = F.element_at(F.array(hexa, F.substring(plain, F.lit(1), size), F.concat(pick("p", "AKIA", "ghp_", "sk_live_", "xoxb-"), F.substring(F.upper(plain), F.lit(1), size)), F.substring(F.sha2(hexa, 256), F.lit(1), F.greatest(size, F.lit(32))), loose, spoken, dotted), (F.pmod(F.xxhash64("id", F.lit("t")), F.lit(7)) + 1).cast("int"))
     innocent = F.concat(lead, pick("i", "sha1: ", "commit ", "md5=", "checksum ", "uuid: ", "integrity=", "etag: \"", "order ", "revision "))
     digits = F.regexp_replace(F.sha2(plain, 256), "[a-f]", "")
     number = F.substring(digits, F.lit(1), size)
@@ -106,8 +110,10 @@ def findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         .otherwise(F.struct(F.concat(prose, F.lit("-2024-"), prose).alias("token"), pick("u", "https://a.example/", "/en/", " ").alias("before"), F.lit(" ").alias("after")))
     )
     # Secrets without any keyword beside them are rarer, and stand in configuration.
-    right = F.struct(secret.alias("token"), F.when((F.pmod(F.xxhash64("id", F.lit("b")), F.lit(10)) < 8) | (F.pmod(F.xxhash64("id", F.lit("t")), F.lit(5)) == 4), assign).otherwise(F.concat(lead, pick("y", 'key="', "Bearer ", "x-auth: "))).alias("before"), close.alias("after"))
+    login = F.struct(F.concat(pick("u1", "u", "admin", "root", "deploy", ""), F.lit(":"), loose).alias("token"), F.concat(lead, pick("u2", "https://", "postgres://", "amqp://", "url = redis://")).alias("before"), F.concat(F.lit("@"), pick("u3", "host", "db.example:5432/x", "10.0.0.7")).alias("after"))
+    right = F.struct(secret.alias("token"), F.when((F.pmod(F.xxhash64("id", F.lit("b")), F.lit(10)) < 8) | (F.pmod(F.xxhash64("id", F.lit("t")), F.lit(7)) >= 4), assign).otherwise(F.concat(lead, pick("y", 'key="', "Bearer ", "x-auth: "))).alias("before"), close.alias("after"))
     base = spark.range(rows, numPartitions=1).withColumn("label", (F.col("id") % 2).cast("int"))
+    right = F.when(F.pmod(F.xxhash64("id", F.lit("u")), F.lit(12)) == 0, login).otherwise(right)
     return base.select(F.when(F.col("label") == 1, right).otherwise(wrong).alias("f"), pick("path", "src3", "app/config.yml", "src/test/a.py", "README.md", "lib/x.js", "src0").alias("path"), "label").select("f.*", "path", "label")
 
 
