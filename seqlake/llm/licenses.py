@@ -7,6 +7,9 @@ table, are compared with each template by cosine, in sparse form: a template is
 meets only the words that they share. The best template at THRESHOLD or above is the document's own licence; a whole
 stretch that reaches it goes before single lines, for it has the words that tell versions apart.
 
+An SPDX identifier (SPDX-License-Identifier: and a name, the first of a text) goes before any comparison and is taken as it is,
+but for an ending -only or -or-later, which tell no licence apart.
+
 A licence file is a file named like one, or a text of which whole stretches make at least FILE_SHARE. It sets the licence
 of its directory (the best score, then the smallest path). A document without a licence of its own takes that of its
 nearest ancestor directory: distinct directories are expanded to their ancestors, joined with the directories that have
@@ -38,9 +41,13 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
     "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2, as published by the Free Software Foundation",
     "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3. This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
     "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3. You can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
     "BSD-3-Clause": "Licensed under the BSD 3-Clause License. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
     "BSD-2-Clause": "Licensed under the BSD 2-Clause License. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-4-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by. Neither the name of the organization nor the names of its contributors may be used to endorse or promote products",
+    "Zlib": "This software is provided as-is, without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https www.eclipse.org legal epl-2.0",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https mozilla org MPL 2.0",
     "ISC": "Licensed under the ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "Unlicense": "This is free and unencumbered software released into the public domain. See the Unlicense, unlicense org",
@@ -55,11 +62,15 @@ FILES = {
     "ISC": "ISC License Copyright Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "BSD-2-Clause": "BSD 2-Clause License Copyright All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSD-3-Clause": "BSD 3-Clause License Copyright All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-4-Clause": "BSD 4-Clause License Copyright All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software",
     "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works.",
     "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
     "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
     "Apache-2.0": "Apache License Version 2.0, January 2004 http www.apache.org licenses TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. License shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+    "LGPL-2.1 notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "GPL-2.0 short": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "GPL-3.0 short": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "GPL-2.0 notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "GPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
 }
@@ -68,6 +79,8 @@ HEADER = r"(?i)\b(?:licen[cs]ed?|unlicense|copyright|spdx|permission is|redistri
 #: A whole stretch: so many words of licensing at most, then the next stretch starts.
 RUN = 40
 STRETCH = f"(?s){HEADER}(?:.{{0,{AFTER}}}?{HEADER}){{0,{RUN}}}.{{0,{AFTER}}}"
+#: An identifier in a header's own words is the licence, without any comparison.
+SPDX = r"(?i)SPDX-License-Identifier:[\x20\t]*+([A-Za-z0-9.+-]++)"
 _WORD = "[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*"
 
 
@@ -148,7 +161,8 @@ def scan(docs: DataFrame, path: Column, text_col: str = "text", threshold: float
     best = _best(*frequencies(heads))
     scored = words.withColumns({"__lic_line": F.array_max(F.transform("__lic_words", lambda w: best(w))), "__lic_stretch": F.array_max(F.transform("__lic_more", lambda w: best(w)))})
     scored = scored.withColumn("__lic_best", F.when(F.col("__lic_stretch.score") >= threshold, F.col("__lic_stretch")).otherwise(F.col("__lic_line")))
-    own_license = F.when(F.col("__lic_best.score") >= threshold, F.substring_index(F.substring_index("__lic_best.name", "#", 1), " ", 1))
+    named = F.regexp_replace(F.nullif(F.regexp_extract("__lic_text", SPDX, 1), F.lit("")), "(?i)-(only|or-later)$", "")
+    own_license = F.when(named.isNotNull(), named).when(F.col("__lic_best.score") >= threshold, F.substring_index(F.substring_index("__lic_best.name", "#", 1), " ", 1))
     covered = F.aggregate("__lic_whole", F.lit(0), lambda x, h: x + F.char_length(h))
     is_file = F.col("__lic_path").rlike(_NAMES) | ((F.char_length("__lic_text") > 0) & (covered >= FILE_SHARE * F.char_length("__lic_text")))
     done = scored.withColumns({"__lic_own": own_license, "__lic_file": is_file, "__lic_dir": F.regexp_replace("__lic_path", "/?[^/]*$", "")})
