@@ -41,7 +41,7 @@ LEAST_DIGITS = {"ip": 4, "card": 9, "phone": 7}
 #: Generators of further candidates, and the kind that their spans are reported as.
 MORE = {
     "number": r"(?<![0-9A-Za-z.+(-])\(?[0-9]{2,4}\)?(?:[\x20./-]{1,2}[0-9]{2,5}){1,4}(?![0-9A-Za-z])",
-    "address": r"(?i)(?<![A-Za-z0-9._-])[a-z0-9._-]{2,30}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[a-z0-9-]{2,30}\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[a-z]{2,10}(?![A-Za-z])",
+    "address": r"(?i)(?<![A-Za-z0-9._-])[a-z0-9._-]{2,}+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[a-z0-9-]{2,}+\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[a-z]{2,10}(?![A-Za-z])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
 PRECISION = 0.98
@@ -115,9 +115,9 @@ def labelled(spark: SparkSession, rows: int = CANDIDATES) -> DataFrame:
     n = lambda salt, k: F.substring(F.regexp_replace(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 512), "[a-f]", ""), 1, k)
     pick = lambda salt, *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(xs))) + 1).cast("int"))
     s = pick("sep", "-", " ", ".")
-    prose = pick("prose", "on the ering ", "thtion and ", "of in was ", "es de la ", "")
+    prose = pick("prose", "on the winter ", "question and ", "of in was ", "es de la ", "")
     phone, person, other = pick("ph", "call me: ", "phone ", "tel: ", "my mobile "), pick("pe", "ssn: ", "social security ", "passport ", "account ", "iban: "), pick("ot", "isbn ", "version ", "order ", "pages ", "score ", "table ")
-    word = pick("word", "thanea", "ering", "one", "onhe", "jane.doe", "mark7")
+    word = pick("word", "winter", "garden", "one", "river", "jane.doe", "mark7")
     case = F.pmod(F.xxhash64("id", F.lit("case")), F.lit(22))
     row = lambda t, b, a, kind, y: F.struct(t.alias("token"), b.alias("before"), a.alias("after"), F.lit(kind).alias("kind"), F.lit(y).alias("label"))
     ten = F.concat(n("a", 3), s, n("b", 3), s, n("c", 4))

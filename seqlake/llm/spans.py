@@ -41,5 +41,10 @@ def apart(docs: DataFrame, **columns: Column) -> DataFrame:
 
 
 def together(step: DataFrame, docs: DataFrame, name: str, value: Column) -> DataFrame:
-    """The columns of docs and `name`; a column of docs that has this name gives way."""
-    return step.select(*(F.col("__own")[c].alias(c) for c in docs.columns if c != name), value.alias(name))
+    """The columns of docs and `name`; a column of docs that has this name gives way.
+
+    The optimiser takes the result as one that must not be written out again in what follows (the partition's number is
+    unknown to it): a filter or explode on it works on rows, not on a copy of all steps within each step. So filters on columns
+    of docs are not pushed below the scan either; apply those to docs."""
+    kept = F.when(F.spark_partition_id() >= 0, value)
+    return step.select(*(F.col("__own")[c].alias(c) for c in docs.columns if c != name), kept.alias(name))
