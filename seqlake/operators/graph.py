@@ -1,21 +1,45 @@
-"""De Bruijn graphs as nodes (mer, coverage) and edges (src, dst, weight)."""
+"""De Bruijn graphs as nodes (mer, coverage) and edges (src, dst, weight).
+
+build() makes k-mers of up to 31 bases packed into one number, alphabetical order kept, and longer ones as letters; the
+others take either. spelled() writes packed ones out."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import kmers
+from .superkmers import count, letters, words_of
+
+#: Nodes of a path whose bases are one row before paths are put together.
+CHUNK = 1024
+#: So many open nodes at most are followed to their heads by arrays of one task; beyond it they are followed by joins.
+AT_ONCE = 1 << 21
 
 
-def build(reads: DataFrame, k: int, least: int = 2) -> tuple[DataFrame, DataFrame]:
+def build(reads: DataFrame, k: int, cut, least: int = 2) -> tuple[DataFrame, DataFrame]:
     """Frequent k-mers, and edges between neighbours of a read of which both are frequent; ambiguous bases break the chain."""
-    nodes = kmers.frequent(kmers.count(reads, k), least).select("mer", F.col("n").alias("coverage"))
-    longer = kmers.count(reads, k + 1)  # a neighbouring pair is one (k+1)-mer: no lag over reads, and counts combine within tasks
-    pairs = longer.select(F.left("mer", F.lit(k)).alias("src"), F.right("mer", F.lit(k)).alias("dst"), F.col("n").alias("weight"))
-    keep = nodes.select("mer")
-    edges = pairs.join(keep.withColumnRenamed("mer", "src"), "src", "left_semi").join(keep.withColumnRenamed("mer", "dst"), "dst", "left_semi")
-    return nodes, edges.select("src", "dst", "weight")
+    if k <= 31:
+        return of_counts(cut(count(reads, k, edges=True, least=least)), k)
+    spelled_out = lambda n: count(reads, n, least=least if n == k else 1).select(letters([F.col(f"w{j}") for j in range(words_of(n))], n).alias("mer"), "n")
+    nodes = cut(spelled_out(k).select("mer", F.col("n").alias("coverage")))
+    return nodes, keep_edges(nodes, spelled_out(k + 1).select(F.left("mer", F.lit(k)).alias("src"), F.right("mer", F.lit(k)).alias("dst"), F.col("n").alias("weight")))
+
+
+def of_counts(both: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one written pass over super-k-mers (superkmers.count with edges): an edge is a (k+1)-mer that was counted
+    beside its first k-mer, so only its second is looked up by a join."""
+    nodes = both.where("not edge").select(F.col("w0").alias("mer"), F.col("n").alias("coverage"))
+    pairs = both.where("edge").select(F.shiftrightunsigned("w0", 2).alias("src"), F.col("w0").bitwiseAND((1 << 2 * k) - 1).alias("dst"), F.col("n").alias("weight"))
+    return nodes, pairs.join(nodes.select(F.col("mer").alias("dst")), "dst", "left_semi").select("src", "dst", "weight")
+
+
+def spelled(df: DataFrame, k: int, *columns: str) -> DataFrame:
+    """Packed columns as letters."""
+    return df.withColumns({c: letters([F.col(c)], k) for c in columns})
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -41,42 +65,127 @@ def peel_ends(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
     return kept, keep_edges(kept, edges)
 
 
-def unitigs(nodes: DataFrame, edges: DataFrame, cut) -> DataFrame:
-    """(head, seq, nodes, coverage) of maximal unbranched paths, by pointer doubling over unambiguous edges.
+def cleanup(nodes: DataFrame, edges: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Without nodes of a coverage below `least`, then without edges that this leaves without an end, then without nodes that no edge touches."""
+    strong = nodes.where(F.col("coverage") >= least)
+    kept = keep_edges(strong, edges)
+    touched = kept.select(F.explode(F.array("src", "dst")).alias("mer")).distinct()
+    return strong.join(touched, "mer", "left_semi"), kept
+
+
+def paths(nodes: DataFrame, edges: DataFrame, cut, at_once: int = AT_ONCE) -> DataFrame:
+    """(head, place, mer) of the nodes of maximal unbranched paths, by pointer doubling over unambiguous edges.
 
-    Each round doubles the distance that a node's pointer spans, so a path of n nodes takes log2(n) joins; `cut` writes a
-    round to shared storage. A cycle has no head: its pointers keep its least node, where it is cut."""
+    Each round doubles the distance that an open node's pointer spans, so a path of n nodes takes log2(n) rounds. Nodes that
+    know their head are written once and ask no more: a round joins the open nodes alone with those they point at. As soon as at
+    most `at_once` nodes are open (a bound, whatever the input), one task doubles the rest in arrays, which spares their rounds.
+    A cycle has no head; its pointers keep its least node, where it is cut."""
     deg = degrees(nodes, edges)
     out1 = deg.where("outdeg = 1").select(F.col("mer").alias("src"))
     in1 = deg.where("indeg = 1").select(F.col("mer").alias("dst"))
     links = cut(edges.where("src <> dst").join(out1, "src", "left_semi").join(in1, "dst", "left_semi").select("src", "dst"))
-    # up: the node `dist` steps back; least: the smallest node on the way, which names a cycle.
-    state = nodes.join(links.select(F.col("dst").alias("mer"), F.col("src").alias("up")), "mer", "left")
-    state = cut(state.select("mer", "coverage", F.coalesce("up", "mer").alias("up"), F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("dist"), F.least("mer", F.coalesce("up", "mer")).alias("least"), F.col("up").isNull().alias("done")))
-    total, span = nodes.count(), 1
-    while span <= total and not state.where("not done").isEmpty():
-        far = state.select(F.col("mer").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("least").alias("least2"), F.col("done").alias("done2"))
-        state = cut(state.join(far, "up").select("mer", "coverage", F.when(F.col("done"), F.col("up")).otherwise(F.col("up2")).alias("up"), F.when(F.col("done"), F.col("dist")).otherwise(F.col("dist") + F.col("dist2")).alias("dist"), F.least("least", "least2").alias("least"), (F.col("done") | F.col("done2")).alias("done")))
+    first = nodes.join(links.select(F.col("dst").alias("mer"), F.col("src").alias("up")), "mer", "left")
+    state = cut(first.select("mer", F.coalesce("up", "mer").alias("up"), F.col("up").isNotNull().cast("long").alias("dist"), F.least("mer", F.coalesce("up", "mer")).alias("least"), F.col("up").isNull().alias("done")))
+    found, at_once = [state.where("done")], at_once if nodes.schema["mer"].dataType.simpleString() == "bigint" else at_once // 8
+    state = state.where("not done")
+    total, left, span = nodes.count(), state.count(), 1
+    while left > at_once and span <= total:
+        seen = state
+        for f in found:
+            seen = seen.unionByName(f)
+        far = seen.select(F.col("mer").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("least").alias("least2"), "done")
+        step = state.drop("done").join(far, "up")
+        state = cut(step.select("mer", F.col("up2").alias("up"), (F.col("dist") + F.col("dist2")).alias("dist"), F.least("least", "least2").alias("least"), "done"))
+        found.append(state.where("done"))
+        state = state.where("not done")
+        left, span = state.count(), span * 2
+    path = found[0]
+    for f in found[1:]:
+        path = path.unionByName(f)
+    path = path.select(F.col("up").alias("head"), F.col("dist").alias("place"), "mer")
+    if left > at_once:
+        return path.unionByName(_cycles(state.select("mer", "least"), links, cut))
+    if left:
+        known = path.select(F.col("mer").alias("up"), "head", F.col("place").alias("before"))
+        return path.unionByName(_followed(cut(state.select("mer", "up", "dist", "least").join(known, "up", "left").join(links.select(F.col("dst").alias("mer"), "src"), "mer"))))
+    return path
+
+
+def resolve(mer: np.ndarray, up: np.ndarray, dist: np.ndarray, head: np.ndarray, place: np.ndarray, known: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(head, place) of nodes that point `dist` steps back to `up`, whose head and place are `known` or which is one of the nodes; in a
+    cycle, the steps from its least node. before: each node's own predecessor."""
+    order = np.argsort(mer)
+    at = order[np.minimum(np.searchsorted(mer, up, sorter=order), len(mer) - 1)]
+    head, place, done = head.copy(), np.where(known, place + dist, 0), known.copy()
+    step, least = dist.copy(), np.minimum(order.argsort()[at], order.argsort())
+    span = 1
+    while span <= len(mer) and not done.all():
+        there = done[at] & ~done
+        head[there], place[there] = head[at[there]], step[there] + place[at[there]]
+        on = ~done & ~there
+        least[on] = np.minimum(least[on], least[at[on]])
+        step[on], at[on] = step[on] + step[at[on]], at[at[on]]
+        done |= there
         span *= 2
-    path = state.where("done").select(F.col("up").alias("head"), F.col("dist").alias("place"), "mer", "coverage")
-    rest = state.where("not done")
-    if not rest.isEmpty():  # cycles: cut before their least node, place by doubling once more
-        path = path.unionByName(_cycles(rest.select("mer", "coverage", "least"), links, cut))
-    first = F.struct("place", "mer")
-    grouped = path.groupBy("head").agg(F.array_sort(F.collect_list(first)).alias("p"), F.count("*").alias("nodes"), F.avg("coverage").alias("coverage"))
-    seq = F.concat(F.get("p", F.lit(0))["mer"], F.array_join(F.transform(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), lambda x: F.right(x["mer"], F.lit(1))), ""))
-    return grouped.select("head", seq.alias("seq"), "nodes", "coverage")
+    ring = np.flatnonzero(~done)
+    if len(ring):  # cycles: cut before their least node, and counted from there by doubling once more
+        back = order[np.minimum(np.searchsorted(mer, before, sorter=order), len(mer) - 1)]
+        first = order[least]
+        start = first == np.arange(len(mer))
+        back, steps = np.where(start, np.arange(len(mer)), back), np.where(start, 0, 1)
+        while (back[ring] != first[ring]).any():
+            steps[ring], back[ring] = steps[ring] + steps[back[ring]], back[back[ring]]
+        head[ring], place[ring] = mer[first[ring]], steps[ring]
+    return head, place
+
+
+def _followed(rows: DataFrame) -> DataFrame:
+    """(head, place, mer) of a bounded table of open nodes, in one task."""
+    kind = rows.schema["mer"].dataType.simpleString()
+    plain = np.int64 if kind == "bigint" else np.str_
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        if not table.num_rows:
+            return
+        column = lambda c, fill: np.array(table.column(c).fill_null(fill).to_pylist() if plain is np.str_ else table.column(c).fill_null(fill).to_numpy()).astype(plain)
+        none = "" if plain is np.str_ else 0
+        mer, up, src, head = (column(c, none) for c in ("mer", "up", "src", "head"))
+        if plain is np.str_:
+            head = head.astype(f"U{max(1, *(x.dtype.itemsize // 4 for x in (mer, head)))}")
+        known = np.asarray(table.column("head").is_valid())
+        head, place = resolve(mer, up, table.column("dist").to_numpy(), head, table.column("before").fill_null(0).to_numpy(), known, src)
+        out = pa.table([pa.array(head.tolist() if plain is np.str_ else head), pa.array(place), table.column("mer")], names=["head", "place", "mer"])
+        yield from out.to_batches(max_chunksize=1 << 16)
+
+    return rows.repartition(1).mapInArrow(run, f"head {kind}, place bigint, mer {kind}")
+
+
+def unitig_chunks(nodes: DataFrame, edges: DataFrame, k: int, cut, chunk: int = CHUNK) -> DataFrame:
+    """(head, number, bases, nodes, coverage): the bases of `chunk` nodes of a path and their summed coverage; no row gathers more of a path."""
+    at, mer = paths(nodes, edges, cut).join(nodes, "mer"), F.col("mer")
+    spelled_out = nodes.schema["mer"].dataType.simpleString() == "string"
+    last = F.right(mer, F.lit(1)) if spelled_out else F.element_at(F.array(*map(F.lit, "ACGT")), (mer.bitwiseAND(3) + 1).cast("int"))
+    base = F.when(F.col("place") == 0, mer if spelled_out else letters([mer], k)).otherwise(last)
+    rows = at.groupBy("head", F.floor(F.col("place") / chunk).alias("number")).agg(F.sort_array(F.collect_list(F.struct("place", base.alias("b")))).alias("p"), F.sum("coverage").alias("coverage"))
+    return rows.select("head", "number", F.array_join(F.transform("p", lambda x: x["b"]), "").alias("bases"), F.size("p").cast("long").alias("nodes"), "coverage")
+
+
+def unitigs(nodes: DataFrame, edges: DataFrame, k: int, cut) -> DataFrame:
+    """(head, seq, nodes, coverage) of maximal unbranched paths, chunks put together in order; a path's only whole row is its result."""
+    whole = unitig_chunks(nodes, edges, k, cut).groupBy("head").agg(F.sort_array(F.collect_list(F.struct("number", "bases"))).alias("c"), F.sum("nodes").alias("nodes"), (F.sum("coverage") / F.sum("nodes")).alias("coverage"))
+    return whole.select("head", F.array_join(F.transform("c", lambda x: x["bases"]), "").alias("seq"), "nodes", "coverage")
 
 
 def _cycles(rest: DataFrame, links: DataFrame, cut) -> DataFrame:
-    """(head, place, mer, coverage) of pure cycles, counted from their least node."""
+    """(head, place, mer) of pure cycles, counted from their least node."""
     up = rest.join(links.select(F.col("dst").alias("mer"), "src"), "mer")
     start = F.col("mer") == F.col("least")
-    state = cut(up.select("mer", "coverage", "least", F.when(start, F.col("mer")).otherwise(F.col("src")).alias("up"), F.when(start, 0).otherwise(1).cast("long").alias("dist")))
+    state = cut(up.select("mer", "least", F.when(start, F.col("mer")).otherwise(F.col("src")).alias("up"), F.when(start, 0).otherwise(1).cast("long").alias("dist")))
     while not state.where("up <> least").isEmpty():
         far = state.select(F.col("mer").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"))
-        state = cut(state.join(far, "up").select("mer", "coverage", "least", F.col("up2").alias("up"), (F.col("dist") + F.col("dist2")).alias("dist")))
-    return state.select(F.col("least").alias("head"), F.col("dist").alias("place"), "mer", "coverage")
+        state = cut(state.join(far, "up").select("mer", "least", F.col("up2").alias("up"), (F.col("dist") + F.col("dist2")).alias("dist")))
+    return state.select(F.col("least").alias("head"), F.col("dist").alias("place"), "mer")
 
 
 def bubbles(edges: DataFrame, most: int = 5) -> DataFrame:
@@ -137,12 +246,20 @@ def _pairs(k: int):
     return S.kmers(F.col("seq"), k + 1)
 
 
+def merge_nodes(parts: list[DataFrame]) -> DataFrame:
+    """Nodes of several graphs: coverages add up."""
+    nodes = parts[0]
+    for n in parts[1:]:
+        nodes = nodes.unionByName(n)
+    return nodes.groupBy("mer").agg(F.sum("coverage").alias("coverage"))
+
+
 def merge(fragments: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """One graph of several: coverages and weights add up."""
-    nodes, edges = fragments[0]
-    for n, e in fragments[1:]:
-        nodes, edges = nodes.unionByName(n), edges.unionByName(e)
-    return nodes.groupBy("mer").agg(F.sum("coverage").alias("coverage")), edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    edges = fragments[0][1]
+    for _, e in fragments[1:]:
+        edges = edges.unionByName(e)
+    return merge_nodes([n for n, _ in fragments]), edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, cut) -> DataFrame:

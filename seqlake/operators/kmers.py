@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from . import superkmers
+
+#: Shorter k-mers are so few that counts meet in each task before the shuffle; longer ones are dealt as super-k-mers.
+FEW = 6
 
 
 def count(reads: DataFrame, k: int, canonical: bool = False) -> DataFrame:
-    """(mer, n): exact counts of clean k-mers, added up within tasks before the shuffle."""
+    """(mer, n): exact counts of clean k-mers of up to 255 bases."""
+    if k > FEW:
+        return superkmers.count(reads, k, canonical).select(superkmers.letters([F.col(f"w{j}") for j in range(superkmers.words_of(k))], k).alias("mer"), "n")
     m = F.explode(S.clean_kmers(F.col("seq"), k)).alias("mer")
     rows = reads.select(m)
     return (rows.select(S.canonical(F.col("mer")).alias("mer")) if canonical else rows).groupBy("mer").agg(F.count("*").alias("n"))
 
 
 def count_packed(reads: DataFrame, k: int) -> DataFrame:
-    """(packed, n): the same with two bits a base, for k up to 31; eight bytes a key in the shuffle."""
-    m = F.explode(S.clean_kmers(F.col("seq"), k)).alias("mer")
-    return reads.select(m).select(S.pack(F.col("mer")).alias("packed")).groupBy("packed").agg(F.count("*").alias("n"))
+    """(packed, n): the same with two bits a base, for k up to 31."""
+    return superkmers.count(reads, k).select(F.col("w0").alias("packed"), "n")
 
 
 def frequent(counts: DataFrame, least: int = 2) -> DataFrame:
@@ -101,10 +106,3 @@ def choose_k(stats: DataFrame, budget_mb: int = 2048, least: int = 15, most: int
     fits = F.floor(F.log2(F.lit(budget_mb * 1048576.0 / 12)) / 2).cast("int")
     with_k = stats.withColumn("k", by_length + by_gc + by_entropy)
     return with_k.withColumn("k_in_memory", F.least(F.greatest(F.least("k", fits), F.lit(least)), F.lit(most)))
-
-
-def cleanup(nodes: DataFrame, edges: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Nodes without those of a coverage below `least` that no edge touches, and the edges, which stay."""
-    touched = edges.select(F.col("src").alias("mer")).unionByName(edges.select(F.col("dst").alias("mer"))).distinct()
-    weak = nodes.where(F.col("coverage") < least).join(touched, "mer", "left_anti").select("mer")
-    return nodes.join(weak, "mer", "left_anti"), edges

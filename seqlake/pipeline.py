@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import config as settings
 from .functions import seq as S
-from .operators import binning, features, graph, kmers, qc
+from .operators import binning, features, graph, kmers, qc, superkmers
 from .plans.shared import cut
 from .sources import fastx, sinks
 
@@ -61,11 +61,14 @@ def reads_of(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def assemble(run: Run, reads: DataFrame, c: settings.Config) -> DataFrame:
     """Unitigs of the peeled graph as contigs (contig_id, seq, len, coverage)."""
-    nodes = run.stage("nodes", lambda: graph.build(reads, c.k, c.least_coverage)[0])
-    edges = run.stage("edges", lambda: graph.build(reads, c.k, c.least_coverage)[1])
+    if c.k <= 31:
+        nodes, edges = graph.of_counts(run.stage("kmers", lambda: superkmers.count(reads, c.k, edges=True, least=c.least_coverage)), c.k)
+    else:
+        nodes = run.stage("nodes", lambda: graph.build(reads, c.k, cut, c.least_coverage)[0])
+        edges = run.stage("edges", lambda: graph.build(reads, c.k, cut, c.least_coverage)[1])
     if c.peel:
         nodes, edges = graph.peel_ends(nodes, edges)
-    made = lambda: graph.unitigs(cut(nodes), cut(edges), cut).select(F.abs(F.xxhash64("head")).alias("contig_id"), "seq", F.char_length("seq").cast("long").alias("len"), "coverage").where(F.col("len") >= c.least_contig)
+    made = lambda: graph.unitigs(cut(nodes), cut(edges), c.k, cut).select(F.abs(F.xxhash64("head")).alias("contig_id"), "seq", F.char_length("seq").cast("long").alias("len"), "coverage").where(F.col("len") >= c.least_contig)
     return run.stage("contigs", made)
 
 

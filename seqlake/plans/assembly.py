@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from ..operators import graph
+from ..operators import graph, kmers
 from ..plans.shared import cut
 from ..sources import sinks
 from . import views as V
@@ -14,40 +14,40 @@ from .registry import query
 from .scalars import _kmers
 
 K = 15
-_N = f"w AS (SELECT unnest({_kmers(K)}) AS mer FROM reads), nodes AS (SELECT mer, count(*) AS coverage FROM w GROUP BY 1 HAVING count(*) >= 2)"
-_E = f"e AS (SELECT mer[1:{K}] AS src, mer[2:{K + 1}] AS dst, count(*) AS weight FROM (SELECT unnest({_kmers(K + 1)}) AS mer FROM reads) GROUP BY ALL), edges AS (SELECT e.* FROM e SEMI JOIN nodes a ON a.mer = src SEMI JOIN nodes b ON b.mer = dst)"
+_N = f"w AS (SELECT unnest({_kmers(K)}) AS mer FROM reads), nodes AS MATERIALIZED (SELECT mer, count(*) AS coverage FROM w GROUP BY 1 HAVING count(*) >= 2)"
+_E = f"e AS (SELECT mer[1:{K}] AS src, mer[2:{K + 1}] AS dst, count(*) AS weight FROM (SELECT unnest({_kmers(K + 1)}) AS mer FROM reads) GROUP BY ALL), edges AS MATERIALIZED (SELECT e.* FROM e SEMI JOIN nodes a ON a.mer = src SEMI JOIN nodes b ON b.mer = dst)"
 _G = f"{V.READS_SQL}, {_N}, {_E}"
 _D = "din AS (SELECT dst AS mer, count(*) AS c FROM edges GROUP BY 1), dout AS (SELECT src AS mer, count(*) AS c FROM edges GROUP BY 1), deg AS (SELECT n.mer, n.coverage, coalesce(i.c, 0) AS indeg, coalesce(o.c, 0) AS outdeg FROM nodes n LEFT JOIN din i USING (mer) LEFT JOIN dout o USING (mer))"
 _PEEL = "kept AS (SELECT mer, coverage FROM deg WHERE NOT ((indeg = 0 AND outdeg <= 1) OR (outdeg = 0 AND indeg <= 1)))"
 
 
 def _graph(spark: SparkSession, d: str):
-    return graph.build(V.reads(spark, d), K)
+    return graph.build(V.reads(spark, d), K, cut)
 
 
 @query(f"WITH {_G} SELECT mer, coverage, CASE WHEN coverage <= 2 THEN 'low' WHEN coverage <= 10 THEN 'medium' WHEN coverage <= 100 THEN 'high' ELSE 'repeat' END AS kind FROM nodes")
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     """GR2, GR10, GR21, GR24, AG5, PF14, SF38."""
     c = F.col("coverage")
-    return _graph(spark, d)[0].withColumn("kind", F.when(c <= 2, "low").when(c <= 10, "medium").when(c <= 100, "high").otherwise("repeat"))
+    return graph.spelled(kmers.count_packed(V.reads(spark, d), K).where("n >= 2").select(F.col("packed").alias("mer"), F.col("n").alias("coverage")), K, "mer").withColumn("kind", F.when(c <= 2, "low").when(c <= 10, "medium").when(c <= 100, "high").otherwise("repeat"))
 
 
 @query(f"WITH {_G} SELECT src, dst, weight FROM edges")
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     """GR2, JN2, JN3, JN11, WN2, WN3, AG5, AG6."""
-    return _graph(spark, d)[1]
+    return graph.spelled(_graph(spark, d)[1], K, "src", "dst")
 
 
 @query(f"WITH {_G}, {_D} SELECT mer, coverage, indeg, outdeg, indeg = 0 OR outdeg = 0 AS tip FROM deg")
 def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
     """AG7, GR8."""
-    return graph.degrees(*_graph(spark, d)).withColumn("tip", (F.col("indeg") == 0) | (F.col("outdeg") == 0))
+    return graph.spelled(graph.degrees(*_graph(spark, d)), K, "mer").withColumn("tip", (F.col("indeg") == 0) | (F.col("outdeg") == 0))
 
 
 @query(f"WITH {_G}, {_D}, {_PEEL} SELECT src, dst, weight FROM edges SEMI JOIN kept a ON a.mer = src SEMI JOIN kept b ON b.mer = dst")
 def graph_peeled(spark: SparkSession, d: str) -> DataFrame:
     """GR3."""
-    return graph.peel_ends(*_graph(spark, d))[1]
+    return graph.spelled(graph.peel_ends(*_graph(spark, d))[1], K, "src", "dst")
 
 
 @query(f"WITH {_G}, {_D} SELECT count(*) AS nodes, sum(outdeg)::BIGINT AS edges, round(sum(outdeg) / (count(*)::DOUBLE * (count(*) - 1)), 12) AS density, round(avg(indeg + outdeg), 9) AS mean_degree, round(var_pop(indeg + outdeg), 9) AS var_degree, min(indeg + outdeg) AS min_degree, max(indeg + outdeg) AS max_degree FROM deg")
@@ -59,7 +59,7 @@ def graph_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_G} SELECT src, list_sort(list(dst)) AS neighbours FROM edges GROUP BY 1")
 def graph_adjacency(spark: SparkSession, d: str) -> DataFrame:
     """GR7; at most four neighbours follow a k-mer."""
-    return _graph(spark, d)[1].groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
+    return graph.spelled(_graph(spark, d)[1], K, "src", "dst").groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
 
 _SUP = f"p AS (SELECT DISTINCT read_id, unnest({_kmers(K + 1)}) AS m FROM reads), s AS (SELECT m, count(*) AS reads FROM p GROUP BY 1)"
@@ -75,8 +75,8 @@ def graph_support(spark: SparkSession, d: str) -> DataFrame:
 def graph_merged(spark: SparkSession, d: str) -> DataFrame:
     """JN9, GR11: nodes of the merged graphs of four parts of the reads."""
     r = V.reads(spark, d)
-    parts = [graph.build(r.where(F.col("doc_id") % 4 == i), K, least=1) for i in range(4)]
-    return graph.merge(parts)[0].where("coverage >= 2")
+    parts = [kmers.count_packed(r.where(F.col("doc_id") % 4 == i), K).select(F.col("packed").alias("mer"), F.col("n").alias("coverage")) for i in range(4)]
+    return graph.spelled(graph.merge_nodes(parts).where("coverage >= 2"), K, "mer")
 
 
 _TRI = "u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst), d2 AS (SELECT mer, count(*) AS d FROM (SELECT a AS mer FROM u UNION ALL SELECT b FROM u) GROUP BY 1 HAVING count(*) > 1), t AS (SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b), tn AS (SELECT mer, count(*) AS t FROM (SELECT a AS mer FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY 1)"
@@ -85,16 +85,18 @@ _TRI = "u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM
 @query(f"WITH {_G}, {_TRI} SELECT mer, round(2.0 * coalesce(t, 0) / (d * (d - 1)), 9) AS coefficient FROM d2 LEFT JOIN tn USING (mer)")
 def graph_clustering(spark: SparkSession, d: str) -> DataFrame:
     """GR16, GR17: local clustering coefficients, by real triangles."""
-    return graph.clustering(_graph(spark, d)[1]).withColumn("coefficient", F.round("coefficient", 9))
+    return graph.spelled(graph.clustering(cut(_graph(spark, d)[1])), K, "mer").withColumn("coefficient", F.round("coefficient", 9))
 
 
-@query(f"WITH {_G} SELECT mer, coverage FROM nodes WHERE coverage >= 3 OR mer IN (SELECT src FROM edges) OR mer IN (SELECT dst FROM edges)")
-def graph_cleanup(spark: SparkSession, d: str) -> DataFrame:
-    """GR12: nodes of low coverage without an edge removed."""
-    from ..operators import kmers
+_CLEAN = "strong AS MATERIALIZED (SELECT mer, coverage FROM nodes WHERE coverage >= 3), ke AS MATERIALIZED (SELECT edges.* FROM edges SEMI JOIN strong a ON a.mer = src SEMI JOIN strong b ON b.mer = dst)"
 
-    nodes, edges = _graph(spark, d)
-    return kmers.cleanup(nodes, edges)[0].select("mer", "coverage")
+
+@query(f"WITH {_G}, {_CLEAN} SELECT 'edge' AS kind, src, dst, weight AS n FROM ke UNION ALL SELECT 'node', mer, NULL, coverage FROM strong WHERE mer IN (SELECT src FROM ke UNION ALL SELECT dst FROM ke)")
+def graph_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    """GR12: without nodes of a coverage below 3, their edges, and nodes that no edge touches then; nodes and edges that stay."""
+    nodes, edges = graph.cleanup(*_graph(spark, d))
+    rows = edges.select(F.lit("edge").alias("kind"), "src", "dst", F.col("weight").alias("n"))
+    return graph.spelled(rows.unionByName(nodes.select(F.lit("node").alias("kind"), F.col("mer").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("coverage").alias("n"))), K, "src", "dst")
 
 
 @query()
@@ -102,13 +104,13 @@ def graph_components(spark: SparkSession, d: str) -> DataFrame:
     """GR17: connected components."""
     nodes, edges = _graph(spark, d)
     nodes, edges = cut(nodes), cut(edges)
-    return graph.components(nodes, edges, cut).groupBy("component").agg(F.count("*").alias("size"))
+    return graph.spelled(graph.components(nodes, edges, cut).groupBy("component").agg(F.count("*").alias("size")), K, "component")
 
 
 @query()
 def graph_bubbles(spark: SparkSession, d: str) -> DataFrame:
     """GR9, SE4."""
-    return graph.bubbles(cut(_graph(spark, d)[1]))
+    return graph.spelled(graph.bubbles(cut(_graph(spark, d)[1])), K, "start", "end")
 
 
 _UNI = """o AS (SELECT src FROM edges GROUP BY 1 HAVING count(*) = 1), i AS (SELECT dst FROM edges GROUP BY 1 HAVING count(*) = 1),
@@ -123,7 +125,7 @@ uni AS (SELECT head, any_value(head) || coalesce(string_agg(CASE WHEN place > 0
 def contig_unitigs(spark: SparkSession, d: str) -> DataFrame:
     """GR4, GR5, GR6, GR22: unbranched paths, and pure cycles cut at their least node."""
     nodes, edges = _graph(spark, d)
-    return graph.unitigs(cut(nodes), cut(edges), cut).withColumn("coverage", F.round("coverage", 6))
+    return graph.spelled(graph.unitigs(nodes, cut(edges), K, cut), K, "head").withColumn("coverage", F.round("coverage", 6))
 
 
 _NX = "(SELECT max(len) FROM (SELECT len, sum(len) OVER (ORDER BY len DESC) AS cum, sum(len) OVER () AS total FROM contigs) WHERE cum >= floor(total * {}))"

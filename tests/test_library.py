@@ -12,11 +12,12 @@ import subprocess
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqlake.functions import seq as S
-from seqlake.operators import binning, graph, kmers, qc
+from seqlake.operators import binning, graph, kmers, qc, superkmers
 from seqlake.operators import features as features_
 from seqlake.plans import registry
 from seqlake.plans.shared import cut
@@ -117,11 +118,86 @@ def test_cascade_reasons(spark):
     assert got[1] == "pass" and got[2] == "failed_quality" and got[3] == "failed_length" and got[4] == "failed_quality" and got[5] == "pass"
 
 
-def test_unitigs_cycle_and_branch(spark):
+@pytest.mark.parametrize("at_once", [graph.AT_ONCE, 0])
+def test_unitigs_cycle_and_branch(spark, at_once, monkeypatch):
     nodes = spark.createDataFrame([(x, 2) for x in ("AA", "AC", "CA", "GT", "TT", "TG", "TA")], "mer string, coverage long")
     edges = spark.createDataFrame([("AC", "CA", 1), ("CA", "AC", 1), ("GT", "TT", 1), ("TT", "TG", 1), ("TT", "TA", 1)], "src string, dst string, weight long")
-    got = {r.head: (r.seq, r.nodes) for r in graph.unitigs(cut(nodes), cut(edges), cut).collect()}
-    assert got == {"AA": ("AA", 1), "AC": ("ACA", 2), "GT": ("GTT", 2), "TG": ("TG", 1), "TA": ("TA", 1)}
+    spelled = graph.paths
+    monkeypatch.setattr(graph, "paths", lambda n, e, c: spelled(n, e, c, at_once))
+    want = {"AA": ("AA", 1), "AC": ("ACA", 2), "GT": ("GTT", 2), "TG": ("TG", 1), "TA": ("TA", 1)}
+    assert {r.head: (r.seq, r.nodes) for r in graph.unitigs(cut(nodes), cut(edges), 2, cut).collect()} == want
+    packed = [x.select(*(S.pack(F.col(c)).alias(c) if t == "string" else c for c, t in x.dtypes)) for x in (nodes, edges)]
+    assert {r.head: (r.seq, r.nodes) for r in graph.spelled(graph.unitigs(cut(packed[0]), cut(packed[1]), 2, cut), 2, "head").collect()} == want
+
+
+def test_a_path_of_a_million_nodes(spark):
+    n = 1_000_000
+    nodes = spark.range(n).select((F.col("id") * 7919 % n).alias("mer"), F.lit(3).cast("long").alias("coverage"))
+    edges = spark.range(n - 1).select((F.col("id") * 7919 % n).alias("src"), ((F.col("id") + 1) * 7919 % n).alias("dst"), F.lit(1).cast("long").alias("weight"))
+    chunks = graph.unitig_chunks(cut(nodes), cut(edges), 12, cut).select("head", "number", F.char_length("bases").alias("len"), "nodes", "coverage").orderBy("number").collect()
+    assert len(chunks) == -(-n // graph.CHUNK) and {c.head for c in chunks} == {0} and max(c.nodes for c in chunks) == graph.CHUNK
+    assert sum(c.nodes for c in chunks) == n and sum(c.len for c in chunks) == n + 11 and sum(c.coverage for c in chunks) == 3 * n
+
+
+def test_pointers_are_followed_from_any_round():
+    rnd = random.Random(8)
+    for _ in range(30):
+        names = rnd.sample(range(1000), 200)
+        chains, cycles = [names[:50], names[50:53], names[53:54]], [names[60:67], names[70:72]]
+        prev = {b: a for c in chains for a, b in itertools.pairwise(c)} | {c[i]: c[i - 1] for c in cycles for i in range(len(c))}
+        want = {m: (c[0], i) for c in chains for i, m in enumerate(c)}
+        for c in cycles:
+            i = c.index(min(c))
+            want |= {m: (min(c), j) for j, m in enumerate(c[i:] + c[:i])}
+        state = {m: (p, 1) for m, p in prev.items()}
+        heads = {c[0]: (c[0], 0) for c in chains}
+        for _ in range(rnd.randint(0, 3)):
+            new = {}
+            for m, (u, d) in state.items():
+                if u in heads:
+                    new[m] = ("done", heads[u][0], heads[u][1] + d)
+                else:
+                    new[m] = ("open", state[u][0], state[u][1] + d)
+            heads |= {m: x[1:] for m, x in new.items() if x[0] == "done"}
+            state = {m: x[1:] for m, x in new.items() if x[0] == "open"}
+        if not state:
+            continue
+        mer = list(state)
+        # Cycles keep single steps here: their least node is found by resolve() alone.
+        up, dist = zip(*((prev[m], 1) if any(m in c for c in cycles) else state[m] for m in mer), strict=True)
+        known = np.array([u in heads for u in up])
+        head, place = (np.array([heads.get(u, (0, 0))[j] for u in up]) for j in (0, 1))
+        got = graph.resolve(np.array(mer), np.array(up), np.array(dist), head, place, known, np.array([prev[m] for m in mer]))
+        assert {m: (h, p) for m, h, p in zip(mer, *(x.tolist() for x in got), strict=True)} == {m: want[m] for m in mer}
+
+
+@pytest.mark.parametrize("k", [1, 9, 31, 33, 64, 127])
+def test_super_kmers_equal_plain(spark, k):
+    rnd = random.Random(k)
+    rows = ["".join(rnd.choice("ACGT" if rnd.random() > 0.01 else "N") for _ in range(rnd.choice([0, k - 1, k, 300]))) for _ in range(40)] + ["A" * 500, "acgt", None]
+    df = spark.createDataFrame([(x,) for x in rows], "seq string").repartition(3)
+    plain = lambda k: collections.Counter(s[i : i + k] for s in rows if s for i in range(len(s) - k + 1) if set(s[i : i + k]) <= set("ACGT"))
+    columns = [F.col(f"w{j}") for j in range(superkmers.words_of(k))]
+    got = {r.mer: r.n for r in superkmers.count(df, k).select(superkmers.letters(columns, k).alias("mer"), "n").collect()}
+    assert got == plain(k)
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    both = collections.Counter()
+    for m, c in plain(k).items():
+        both[min(m, rc(m))] += c
+    got = {r.mer: r.n for r in superkmers.count(df, k, canonical=True).select(superkmers.letters(columns, k).alias("mer"), "n").collect()}
+    assert got == both
+    if k <= 31:
+        nodes, edges = graph.build(df, k, cut, least=2)
+        often = {m for m, c in plain(k).items() if c >= 2}
+        assert {r.mer for r in graph.spelled(nodes, k, "mer").collect()} == often
+        assert {(r.src, r.dst): r.weight for r in graph.spelled(edges, k, "src", "dst").collect()} == {(m[:-1], m[1:]): c for m, c in plain(k + 1).items() if m[:-1] in often and m[1:] in often}
+
+
+def test_cleanup_by_hand(spark):
+    nodes = spark.createDataFrame([("a", 5), ("b", 2), ("c", 4), ("d", 3), ("e", 9)], "mer string, coverage long")
+    edges = spark.createDataFrame([("a", "b", 2), ("b", "c", 2), ("c", "d", 3)], "src string, dst string, weight long")
+    kept, links = graph.cleanup(nodes, edges)
+    assert {r.mer for r in kept.collect()} == {"c", "d"} and [(r.src, r.dst) for r in links.collect()] == [("c", "d")]
 
 
 def test_components_and_bubbles(spark):
