@@ -9,7 +9,7 @@ Since the mean is linear, scoring needs only each row's product with the differe
 a row, 2^BITS of them, sent to the executors. Scoring is one pass over whole texts without a shuffle.
 
 The fit uses at most TRAIN_TOXIC and TRAIN_CLEAN labelled rows (those of smallest hash of the id); all rows are scored.
-Only texts are inputs. Null or wordless texts score by the bias alone. Repeated rows have equal scores; labels that repeat or
+Settings are chosen by cross_validated() on usable labels alone; held-out labels only serve to report. Only texts are inputs. Null or wordless texts score by the bias alone. Repeated rows have equal scores; labels that repeat or
 contradict count each for themselves, null labels not at all. Without labels of both classes every score is 0.
 Further columns are not read. An empty table gives no rows.
 """
@@ -32,8 +32,8 @@ STEPS, BATCH, RATE, DECAY = 340, 250, 0.4, 1e-6
 PRIOR = 40
 #: Weight of the clean class against the toxic one.
 CLEAN_WEIGHT = 2.0
-#: Rows of the table that fewer training texts use stay zero.
-LEAST_TEXTS = 5
+#: Rows of the table that fewer training texts use stay zero: one of TEXTS_EACH texts, within these bounds.
+LEAST_TEXTS, TEXTS_EACH = (2, 5), 850
 THRESHOLD = 0.7
 GRAMS = (3, 4, 5, 6)
 
@@ -159,7 +159,7 @@ def fit_bags(held: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed:
         for i in own:
             held[i] = None
         texts_with += np.bincount(parts[-1].rows, minlength=1 << BITS)
-    used = np.flatnonzero(texts_with >= LEAST_TEXTS)
+    used = np.flatnonzero(texts_with >= np.clip(round(len(y) / TEXTS_EACH), *LEAST_TEXTS))
     place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
     for part in parts:
@@ -197,6 +197,21 @@ def fit_bags(held: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed:
     return Model(scores, float(bias[1] - bias[0]))
 
 
+def cross_validated(texts: list[str], labels: list[int], folds: int = 3, only: int | None = None) -> np.ndarray:
+    """Logit of each text by a model of the other folds, classes dealt evenly (nan outside the fold `only`): what settings are compared by."""
+    y, out = np.asarray(labels, np.int64), np.full(len(labels), np.nan)
+    fold = np.zeros(len(y), np.int64)
+    for c in (0, 1):
+        own = np.flatnonzero(y == c)
+        fold[own] = np.arange(len(own)) % folds
+    held = [x for _, data, off in K.chunks(pa.array(texts, pa.large_string())) for x in bags(data, off)]
+    for f in range(folds) if only is None else [only]:
+        learn, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        model = fit_bags([held[i] for i in learn], y[learn].tolist())
+        out[test] = np.concatenate([model.logits(data, off) for _, data, off in K.chunks(pa.array([texts[i] for i in test], pa.large_string()))])
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None, most: tuple[int, int] = (TRAIN_CLEAN, TRAIN_TOXIC)) -> Model:
     """A model of the labelled rows for which `usable`, a condition on the labels' id, holds; at most most[class] of each class.
 

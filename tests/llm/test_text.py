@@ -364,3 +364,14 @@ def test_misspellings_share_vectors():
     data, off = kernels.raw(pa.array([plain[0] + " dreadfulnes" * 3, plain[1]]))
     a, b = model.logits(data, off)
     assert a > b + 1
+
+
+def test_toxicity_is_validated_by_folds():
+    rnd = random.Random(9)
+    good, bad = ["river", "winter", "garden", "people"], ["vilewort", "grimsnark"]
+    texts = [" ".join(rnd.choices(good, k=8) + ([rnd.choice(bad)] * 2 if i % 3 == 0 else [])) for i in range(60)]
+    labels = [int(i % 3 == 0) for i in range(60)]
+    z = toxicity.cross_validated(texts, labels)
+    assert all((a > 0) == (b == 1) for a, b in zip(z, labels, strict=True))
+    one = toxicity.cross_validated(texts, labels, only=0)
+    assert 0 < sum(x == x for x in one) < 60
