@@ -88,7 +88,7 @@ def mates_adapters(spark: SparkSession, d: str) -> DataFrame:
     return m.select("pair_id", "k", "side", "place", (F.char_length("seq") - F.col("place")).alias("trimmed"), F.left("seq", F.col("place").cast("int")).alias("kept"))
 
 
-_COVER = f"""{V.CONTIGS_SQL}, med AS (SELECT list_sort(list(coverage))[count(*) // 2 + 1] AS m FROM contigs),
+_COVER = f"""{V.LONG_CONTIGS_SQL}, med AS (SELECT list_sort(list(coverage))[count(*) // 2 + 1] AS m FROM contigs),
 outs AS (SELECT list(struct_pack(c := c, i := i) ORDER BY i) AS l FROM (SELECT coverage AS c, min(contig_id) AS i FROM contigs, med WHERE coverage NOT BETWEEN 0.5 * m AND 1.5 * m GROUP BY 1)),
 grown AS (SELECT 0 AS n, []::DOUBLE[] AS bins UNION ALL SELECT n + 1, list_append(bins, list_filter(l, lambda x: len(list_filter(bins, lambda b: x.c / b BETWEEN 0.7 AND 1.3)) = 0)[1].c) FROM grown, outs WHERE len(list_filter(l, lambda x: len(list_filter(bins, lambda b: x.c / b BETWEEN 0.7 AND 1.3)) = 0)) > 0),
 final AS (SELECT bins FROM grown ORDER BY n DESC LIMIT 1)"""
@@ -97,4 +97,4 @@ final AS (SELECT bins FROM grown ORDER BY n DESC LIMIT 1)"""
 @query(f"WITH RECURSIVE {_COVER} SELECT contig_id, CASE WHEN coverage BETWEEN 0.5 * m AND 1.5 * m THEN 0 ELSE list_position(list_transform(bins, lambda b: coverage / b BETWEEN 0.7 AND 1.3), true) END::INTEGER AS bin FROM contigs, med, final")
 def bin_coverage(spark: SparkSession, d: str) -> DataFrame:
     """JN15: bin 0 within half of the upper median coverage; the others go to the first bin whose first member's coverage is near theirs."""
-    return graph.coverage_bins(V.contigs(spark, d))
+    return graph.coverage_bins(V.long_contigs(spark, d))

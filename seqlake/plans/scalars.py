@@ -117,7 +117,7 @@ def seq_ambiguous(spark: SparkSession, d: str) -> DataFrame:
 _P, _PRIME = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(mer, ''), lambda b: (instr('ACGT', b) - 1)::BIGINT)), lambda a, b: a * 4 + b)", (1 << 31) - 1
 
 
-@query(f"WITH {V.CONTIGS_SQL}, w AS (SELECT DISTINCT contig_id, unnest({_kmers(9)}) AS mer FROM contigs), p AS (SELECT contig_id, {_P} AS x FROM w) SELECT contig_id, {', '.join(f'min((x * {a} + {b}) % {_PRIME})::BIGINT AS h{i}' for i, (a, b) in enumerate(features.HASHES))} FROM p GROUP BY 1")
+@query(f"WITH {V.CONTIGS_SQL}, w AS (SELECT DISTINCT contig_id, unnest({_kmers(9)}) AS mer FROM contigs), p AS (SELECT contig_id, {_P} AS x FROM w) SELECT contig_id, {', '.join(f'min((x * {a} + {b}) % {_PRIME})::BIGINT AS h{i}' for i, (a, b) in enumerate(features.HASHES))} FROM contigs LEFT JOIN p USING (contig_id) GROUP BY 1")
 def seq_minhash(spark: SparkSession, d: str) -> DataFrame:
     """SF27: MinHash signature of 9-mers with 16 affine hashes."""
     return features.minhash(V.contigs(spark, d), "contig_id", 9)

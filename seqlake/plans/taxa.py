@@ -62,11 +62,11 @@ def bin_kmeans(spark: SparkSession, d: str) -> DataFrame:
     return binning.kmeans(_vectors(spark, d), "vec_id", BINS)[0].groupBy("bin").agg(F.count("*").alias("n"))
 
 
-_BC = f"{V.CONTIGS_SQL}, b AS (SELECT *, (contig_id % 12)::INTEGER AS bin FROM contigs)"
+_BC = f"{V.LONG_CONTIGS_SQL}, b AS (SELECT *, (contig_id % 12)::INTEGER AS bin FROM contigs)"
 
 
 def _binned(spark: SparkSession, d: str) -> DataFrame:
-    return V.contigs(spark, d).withColumn("bin", (F.col("contig_id") % 12).cast("int"))
+    return V.long_contigs(spark, d).withColumn("bin", (F.col("contig_id") % 12).cast("int"))
 
 
 _NXB = "nx AS (SELECT bin, max(len) AS n50 FROM (SELECT bin, len, sum(len) OVER (PARTITION BY bin ORDER BY len DESC) AS cum, sum(len) OVER (PARTITION BY bin) AS total FROM b) WHERE cum >= floor(total * 0.5) GROUP BY 1)"
@@ -93,14 +93,14 @@ def bin_merge(spark: SparkSession, d: str) -> DataFrame:
 
 _TAXON_LIST = ", ".join(f"'{n}'" for n in sorted(binning.TAXA))
 _T = ", ".join(f"('{n}', {g}::DOUBLE)" for n, g in sorted(binning.TAXA.items()))
-_CLS = f"""{V.CONTIGS_SQL}, taxa(taxon, gc) AS (VALUES {_T}), mers AS (SELECT a || b || c || d AS mer FROM (VALUES ('A'), ('C'), ('G'), ('T')) t1(a), (VALUES ('A'), ('C'), ('G'), ('T')) t2(b), (VALUES ('A'), ('C'), ('G'), ('T')) t3(c), (VALUES ('A'), ('C'), ('G'), ('T')) t4(d)),
+_CLS = f"""{V.LONG_CONTIGS_SQL}, taxa(taxon, gc) AS (VALUES {_T}), mers AS (SELECT a || b || c || d AS mer FROM (VALUES ('A'), ('C'), ('G'), ('T')) t1(a), (VALUES ('A'), ('C'), ('G'), ('T')) t2(b), (VALUES ('A'), ('C'), ('G'), ('T')) t3(c), (VALUES ('A'), ('C'), ('G'), ('T')) t4(d)),
 ref AS (SELECT taxon, mer, CASE WHEN {_cnt('[GC]', 'mer')} > 2 THEN gc ELSE 1 - gc END / 128 AS ref FROM taxa, mers), w AS (SELECT contig_id, unnest({_kmers(4)}) AS mer FROM contigs), f AS (SELECT contig_id, mer, count(*)::DOUBLE AS freq FROM w GROUP BY ALL),
 sc AS (SELECT contig_id, taxon, round(sum(freq * ref) / (any_value(fs) * any_value(rs)), 9) AS confidence FROM f JOIN ref USING (mer) JOIN (SELECT contig_id, sqrt(sum(freq * freq)) AS fs FROM f GROUP BY 1) USING (contig_id) JOIN (SELECT taxon, sqrt(sum(ref * ref)) AS rs FROM ref GROUP BY 1) USING (taxon) GROUP BY ALL),
 cls AS (SELECT contig_id, taxon, confidence, round(confidence - lead(confidence) OVER w, 9) AS margin FROM sc WINDOW w AS (PARTITION BY contig_id ORDER BY confidence DESC, taxon) QUALIFY row_number() OVER w = 1)"""
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
-    return binning.classify(V.contigs(spark, d), "contig_id", binning.profiles(spark))
+    return binning.classify(V.long_contigs(spark, d), "contig_id", binning.profiles(spark))
 
 
 @query(f"WITH {_CLS} SELECT contig_id, taxon, confidence, margin FROM cls WHERE confidence >= 0.6")

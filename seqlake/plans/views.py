@@ -19,7 +19,10 @@ assert len(ascii_letters) == len(TO)
 SEQS_SQL = f"seqs AS (SELECT doc_id, source, lang, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{FROM}', '{TO}') AS seq FROM documents)"
 READS_SQL = f"{SEQS_SQL}, reads AS (SELECT doc_id * {MOST_READS} + i AS read_id, doc_id, source, substring(seq, i * {READ} + 1, {READ}) AS seq FROM seqs, unnest(range(0, (length(seq) + {READ - 1}) // {READ})) AS t(i))"
 QUALITY_SQL = f"{READS_SQL}, quals AS (SELECT read_id, doc_id, seq, list_transform(range(1, length(seq) + 1), lambda i: ((ascii(substring(seq, i, 1)) * 7 + i * (doc_id % 97)) % 41)::BIGINT) AS q FROM reads)"
-CONTIGS_SQL = f"{SEQS_SQL}, contigs AS (SELECT doc_id AS contig_id, seq, length(seq) AS len, (2 + doc_id % 40)::DOUBLE AS coverage FROM seqs WHERE length(seq) >= 1000)"
+CONTIGS_SQL = f"{SEQS_SQL}, contigs AS (SELECT doc_id AS contig_id, seq, length(seq) AS len, (2 + doc_id % 40)::DOUBLE AS coverage FROM seqs WHERE length(seq) > 0)"
+#: Bases of the shortest contig that is put into bins or classified.
+LEAST_CONTIG = 1000
+LONG_CONTIGS_SQL = CONTIGS_SQL.replace("length(seq) > 0", f"length(seq) >= {LEAST_CONTIG}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +54,12 @@ def quality_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).select("read_id", "doc_id", "seq", q.alias("q"))
 
 
-def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """contig_id, seq, len, coverage of sequences of at least 1000 bases."""
-    s = sequences(spark, sf_dir).where(F.char_length("seq") >= 1000)
+def contigs(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
+    """contig_id, seq, len, coverage of sequences of at least so many bases."""
+    s = sequences(spark, sf_dir).where(F.char_length("seq") >= least)
     return s.select(F.col("doc_id").alias("contig_id"), "seq", F.char_length("seq").cast("long").alias("len"), (2 + F.col("doc_id") % 40).cast("double").alias("coverage"))
+
+
+def long_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those contigs that are put into bins or classified."""
+    return contigs(spark, sf_dir, LEAST_CONTIG)
