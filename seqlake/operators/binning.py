@@ -49,13 +49,81 @@ def _at_ranks(vectors: DataFrame, key: str, lo: int, hi: int, wanted: list[int])
     return {r["rank"]: list(r["v"]) for r in placed.join(F.broadcast(held.select("part", "rank")), ["part", "rank"]).collect()}
 
 
-def assign(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
-    """Adds bin and distance: the nearest centroid, ties to the smaller number. Centroids are literals of the plan, so nothing is shuffled."""
-    each = [F.struct(S.euclidean(F.col("v"), F.array(*(F.lit(float(x)) for x in c))).alias("distance"), F.lit(i).alias("bin")) for i, c in enumerate(centroids)]
+def assign(vectors: DataFrame, centroids: list[list[float]], digits: int | None = None) -> DataFrame:
+    """Adds bin and distance: the nearest centroid, ties to the smaller number; digits: distances are rounded first. Centroids are literals of the plan, so nothing is shuffled."""
+    kept = (lambda x: F.round(x, digits)) if digits is not None else lambda x: x
+    each = [F.struct(kept(S.euclidean(F.col("v"), F.array(*(F.lit(float(x)) for x in c)))).alias("distance"), F.lit(i).alias("bin")) for i, c in enumerate(centroids)]
     best = F.array_min(F.array(*each))
     return vectors.withColumn("best", best).select("*", "best.bin", "best.distance").drop("best")
 
 
+def normalized(vectors: DataFrame, how: str = "zscore") -> DataFrame:
+    """Vectors whose columns are normalised: `zscore` by mean and population deviation (1 where that is 0), `minmax` to 0 and 1 (0.5 where all values are
+    equal), or `none`. One aggregation gives the figures of all columns, one row that goes to every task."""
+    if how == "none":
+        return vectors
+    if how not in ("zscore", "minmax"):
+        raise ValueError(f"not a normalisation: {how}")
+    x = F.col("x")
+    column = vectors.select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    if how == "zscore":
+        pair = F.struct("dim", F.col("mean").alias("a"), F.when(F.col("std") < 1e-10, 1.0).otherwise(F.col("std")).alias("b"))
+        value = lambda v, p: (v - p["a"]) / p["b"]
+    else:
+        pair = F.struct("dim", F.col("lo").alias("a"), (F.col("hi") - F.col("lo")).alias("b"))
+        value = lambda v, p: F.when(p["b"] < 1e-10, 0.5).otherwise((v - p["a"]) / p["b"])
+    figures = column.agg(F.sort_array(F.collect_list(pair)).alias("__f"))  # a value for each dimension
+    return vectors.crossJoin(F.broadcast(figures)).withColumn("v", F.zip_with("v", "__f", value)).drop("__f")
+
+
+def kmer_vectors(contigs: DataFrame, key: str, k: int = 4) -> DataFrame:
+    """(key, v): shares of all 4^k k-mers in alphabetical order."""
+    size = 4**k
+    rows = features.kmer_frequencies(contigs, key, k).select(key, S.pack(F.col("mer")).alias("i"), "freq")
+    held = rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "freq"))).alias("m"))  # at most 4^k entries
+    every = contigs.select(key).join(held, key, "left")
+    none = F.create_map().cast("map<bigint,double>")
+    return every.select(key, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")), lambda i: F.coalesce(F.try_element_at(F.coalesce("m", none), i), F.lit(0.0))).alias("v"))
+
+
+def parallel_seeds(vectors: DataFrame, key: str, k: int, rounds: int = 5, draw: float = 2.0) -> list[list[float]]:
+    """k-means|| seeds: in each round a vector is drawn with a chance of draw * k times its share of the squared distances to the seeds so
+    far, all vectors at once; about rounds * draw * k candidates, weighted by how many vectors are nearest to them, are reduced to k by
+    weighted k-means++ on the driver. Chances come from hashes of keys, so seeds are the same in every run."""
+    k = min(k, MOST_BINS)
+    first = vectors.orderBy(F.xxhash64(key, F.lit("first")), key).limit(1).collect()
+    if not first or not k:
+        return []
+    held = [list(first[0]["v"])]
+    for r in range(rounds):
+        near = assign(vectors, held).select(key, "v", F.pow("distance", F.lit(2)).alias("d"))
+        whole = near.agg(F.sum("d").alias("s")).first()["s"]
+        if not whole:
+            break
+        chance = F.shiftrightunsigned(F.xxhash64(key, F.lit(r)), 11) / float(1 << 53)
+        # At most that many more, though a draw gives about draw * k.
+        held += [list(x["v"]) for x in near.where(chance < draw * k * F.col("d") / whole).orderBy(F.xxhash64(key, F.lit(r)), key).limit(int(4 * draw * k)).collect()]
+    weight = np.zeros(len(held))
+    for x in assign(vectors, held).groupBy("bin").count().collect():
+        weight[x["bin"]] = x["count"]
+    points = np.array(held, float)
+    rng = np.random.Generator(np.random.PCG64(k))
+    chosen = [int(weight.argmax())]
+    while len(chosen) < min(k, len({tuple(p) for p in held})):
+        gap = ((points[:, None, :] - points[chosen][None]) ** 2).sum(-1).min(1) * weight
+        if not gap.sum():
+            gap = ((points[:, None, :] - points[chosen][None]) ** 2).sum(-1).min(1)
+        chosen.append(int(rng.choice(len(points), p=gap / gap.sum())))
+    return [held[i] for i in chosen]
+
+
+def with_taxa(binned: DataFrame, classified: DataFrame, key: str) -> DataFrame:
+    """(key, bin, binning_confidence, taxon, rank, taxonomy_confidence, confidence): bins (key, bin, confidence) and taxa (key, taxon, confidence), the product of both."""
+    a, b = binned.select(key, "bin", F.col("confidence").alias("binning_confidence")), classified.select(key, "taxon", F.col("confidence").alias("taxonomy_confidence"))
+    rank = F.when(F.col("taxon").contains(" "), "species").otherwise("genus")
+    return a.join(b, key).select(key, "bin", "binning_confidence", "taxon", rank.alias("rank"), "taxonomy_confidence", (F.col("binning_confidence") * F.col("taxonomy_confidence")).alias("confidence"))
+
+
 def centroids(assigned: DataFrame) -> DataFrame:
     """(bin, dim, mean): long form; partial sums before the shuffle."""
     return assigned.select("bin", F.posexplode("v").alias("dim", "x")).groupBy("bin", "dim").agg(F.avg("x").alias("mean"))

@@ -11,6 +11,7 @@ from ..sources import sinks
 from . import views as V
 from .registry import query
 from .scalars import _cnt, _kmers
+from .shared import cut
 
 BINS = 6
 _V = "v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings)"
@@ -109,6 +110,42 @@ def taxa_classification(spark: SparkSession, d: str) -> DataFrame:
     return _classified(spark, d)
 
 
+_Z = f"""share AS (SELECT contig_id, mer, freq / sum(freq) OVER (PARTITION BY contig_id) AS x FROM f), dense AS (SELECT c.contig_id, m.mer, coalesce(x, 0) AS x FROM contigs c CROSS JOIN mers m LEFT JOIN share s ON s.contig_id = c.contig_id AND s.mer = m.mer),
+st AS (SELECT mer, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-10 THEN 1 ELSE stddev_pop(x) END AS s, min(x) AS lo, max(x) - min(x) AS w FROM dense GROUP BY 1), z AS MATERIALIZED (SELECT contig_id, mer, (x - m) / s AS z, CASE WHEN w < 1e-10 THEN 0.5 ELSE (x - lo) / w END AS u FROM dense JOIN st USING (mer))"""
+_BT = f"""{_CLS}, {_Z}, place AS (SELECT contig_id, row_number() OVER (ORDER BY contig_id) - 1 AS r, count(*) OVER () AS n FROM contigs), sd AS (SELECT i::INTEGER AS bin, contig_id AS c FROM place, range({BINS}) t(i) WHERE r = i * n // {BINS}),
+gap AS (SELECT z.contig_id, bin, round(sqrt(sum((z.z - y.z) * (z.z - y.z))), 9) AS d FROM z JOIN z y USING (mer) JOIN sd ON sd.c = y.contig_id GROUP BY ALL), nb AS (SELECT contig_id, arg_min(bin, struct_pack(d := d, b := bin)) AS bin, min(d) AS d FROM gap GROUP BY 1), md AS (SELECT bin, avg(d) AS m FROM nb GROUP BY 1),
+bt AS (SELECT contig_id, bin, CASE WHEN m = 0 THEN 1 ELSE greatest(0, least(1, 1 - d / (2 * m))) END AS b, taxon, CASE WHEN contains(taxon, ' ') THEN 'species' ELSE 'genus' END AS rank, confidence AS t FROM nb JOIN md USING (bin) JOIN cls USING (contig_id) WHERE confidence >= 0.6)"""
+
+
+def _bin_taxa(spark: SparkSession, d: str) -> DataFrame:
+    c = V.long_contigs(spark, d)
+    v = cut(binning.normalized(binning.kmer_vectors(c, "contig_id")))
+    near = binning.assign(v, binning.seeds(v, "contig_id", BINS), 9)
+    return binning.with_taxa(binning.confidence(near), _classified(spark, d), "contig_id")
+
+
+@query(f"WITH {_BT} SELECT contig_id, bin, round(b, 6) AS binning_confidence, taxon, rank, round(t, 6) AS taxonomy_confidence, round(b * t, 6) AS confidence FROM bt")
+def bin_taxa(spark: SparkSession, d: str) -> DataFrame:
+    """ML2, ML7 (one round), ML8, JN4: contigs in bins of normalised 4-mer shares, each with its taxon and the product of both confidences."""
+    return _bin_taxa(spark, d).withColumns({c: F.round(c, 6) for c in ("binning_confidence", "taxonomy_confidence", "confidence")})
+
+
+@query(f"WITH {_BT} SELECT concat_ws(chr(9), contig_id, bin, taxon, printf('%.4f', b * t), concat(rank, '|', taxon), 'KmerTaxonomy+MLBinning') AS line FROM bt")
+def sink_bin_classification(spark: SparkSession, d: str) -> DataFrame:
+    """ML18, SK7: the bin as taxonomy id, rank and taxon as lineage, the method's name."""
+    c = _bin_taxa(spark, d)
+    return c.select(F.concat_ws("\t", F.col("contig_id").cast("string"), F.col("bin").cast("string"), "taxon", F.format_string("%.4f", "confidence"), F.concat_ws("|", "rank", "taxon"), F.lit("KmerTaxonomy+MLBinning")).alias("line"))
+
+
+@query(f"WITH {_CLS}, {_Z} SELECT contig_id, mer, round(z, 6) AS zscore, round(u, 6) AS minmax FROM z WHERE mer IN ('AAAA', 'ACGT', 'GGGG')")
+def feature_normalized(spark: SparkSession, d: str) -> DataFrame:
+    """ML1, ML2: normalised shares of three of the 256 columns, both ways."""
+    v = cut(binning.kmer_vectors(V.long_contigs(spark, d), "contig_id"))
+    both = binning.normalized(v).select("contig_id", F.col("v").alias("z")).join(binning.normalized(v, "minmax"), "contig_id")
+    rows = F.array(*(F.struct(F.lit(m).alias("mer"), F.get("z", F.lit(i)).alias("zscore"), F.get("v", F.lit(i)).alias("minmax")) for m, i in (("AAAA", 0), ("ACGT", 27), ("GGGG", 170))))
+    return both.select("contig_id", F.explode(rows).alias("x")).select("contig_id", "x.mer", F.round("x.zscore", 6).alias("zscore"), F.round("x.minmax", 6).alias("minmax"))
+
+
 @query(f"WITH {_CLS}, t AS (SELECT taxon, count(*) AS n FROM cls WHERE confidence >= 0.6 GROUP BY 1) SELECT taxon, n, round(100.0 * n / sum(n) OVER (), 6) AS pct, n = max(n) OVER () AS dominant, (SELECT round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 9) FROM t) AS shannon FROM t")
 def taxa_abundance(spark: SparkSession, d: str) -> DataFrame:
     """AG18, AG20, ML16, SE2, SK10, SK14, ST3."""
