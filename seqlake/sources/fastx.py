@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from . import fastq
 
 FASTQ, FASTA = (".fastq", ".fq"), (".fasta", ".fa", ".fna")
 
@@ -38,12 +39,11 @@ def _numbered(lines: DataFrame) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, read_id (from 0 in each file), header, seq, quality of four-line records; trailing blanks of a line are dropped,
-    an incomplete last record is left out. gzip is decoded by the codec."""
-    rows = _numbered(_lines(spark, paths)).where("value <> '' or line % 4 <> 0")
-    part = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
-    rec = rows.groupBy("file", F.floor(F.col("line") / 4).alias("read_id")).agg(part(0).alias("h"), part(1).alias("seq"), part(3).alias("quality"), F.count("*").alias("n"))
-    return rec.where("n = 4").select("file", "read_id", F.substring("h", 2, 1 << 30).alias("header"), "seq", "quality")
+    """file, read_id (from 0 in each file), header, seq, quality of four-line records, read split by split (see fastq.py); malformed and
+    incomplete records are left out here, fastq.scan() reports them. gzip is decoded by the codec."""
+    from ..plans.shared import cut
+
+    return fastq.scan(spark, paths, cut).where("problem is null").drop("problem")
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
