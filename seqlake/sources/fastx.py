@@ -56,9 +56,9 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def reference_sequences(fasta: DataFrame) -> DataFrame:
-    """Sequences of the reference store: content hash, length, GC, source; one row a hash."""
+    """Sequences of the reference store: content hash, length, GC, source; one row a hash, of equal sequences the first header."""
     h = F.md5(F.col("seq").cast("binary"))
-    return fasta.select(h.alias("sequence_hash"), "seq", F.char_length("seq").cast("long").alias("length"), S.gc(F.col("seq")).alias("gc"), F.col("header").alias("source")).dropDuplicates(["sequence_hash"])
+    return fasta.select(h.alias("sequence_hash"), "seq", F.char_length("seq").cast("long").alias("length"), S.gc(F.col("seq")).alias("gc"), F.col("header").alias("source")).groupBy("sequence_hash").agg(F.first("seq").alias("seq"), F.first("length").alias("length"), F.first("gc").alias("gc"), F.min("source").alias("source"))
 
 
 def mate(header: Column) -> Column:
