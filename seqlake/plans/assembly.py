@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from ..operators import graph, kmers
+from ..operators import centrality, graph, kmers
 from ..plans.shared import cut
 from ..sources import sinks
 from . import views as V
@@ -99,7 +99,42 @@ def graph_cleanup(spark: SparkSession, d: str) -> DataFrame:
     return graph.spelled(rows.unionByName(nodes.select(F.lit("node").alias("kind"), F.col("mer").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("coverage").alias("n"))), K, "src", "dst")
 
 
+_ENTROPY = "0.0 - (" + " + ".join(f"CASE WHEN contains(mer, '{b}') THEN (({K} - length(replace(mer, '{b}', ''))) / {K}.0) * log2(({K} - length(replace(mer, '{b}', ''))) / {K}.0) ELSE 0 END" for b in "ACGT") + ") / 2"
+_KIND = "CASE WHEN indeg = 0 OR outdeg = 0 THEN 4 WHEN coverage <= 2 THEN 2 WHEN coverage <= 10 THEN 0 WHEN coverage <= 100 THEN 3 ELSE 1 END"
+_NODE = ["coverage", _ENTROPY, f"{K}", "coverage", f"({K} - length(regexp_replace(mer, '[GC]', '', 'g'))) / {K}.0", *(f"CASE WHEN {_KIND} = {i} THEN 1 ELSE 0 END" for i in range(6)), "indeg", "outdeg", "indeg + outdeg", "coalesce(2.0 * coalesce(t, 0) / (d * (d - 1)), 0)", "coalesce(t, 0)", "coalesce(nd, 0)"]
+_NODE += [f"({K} - length(replace(mer, '{b}', ''))) / {K}.0" for b in "ACGT"] + [f"len(list_filter(range(1, {K}), lambda i: mer[i : i + 1] = '{a}{b}')) / {K - 1}.0" for a, b in ("AA", "AC", "AG", "AT", "CA", "CC")]
+
+
+@query(f"WITH {_G}, {_D}, {_TRI}, near AS (SELECT a AS mer, b AS other FROM u UNION ALL SELECT b, a FROM u), nd AS (SELECT near.mer, avg(indeg + outdeg) AS nd FROM near JOIN deg ON deg.mer = other GROUP BY 1) SELECT mer, {', '.join(f'round(({x})::DOUBLE, 6) AS f{i}' for i, x in enumerate(_NODE))} FROM deg LEFT JOIN d2 USING (mer) LEFT JOIN tn USING (mer) LEFT JOIN nd USING (mer)")
+def graph_node_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """GR18, GR17: coverage, complexity, size, places, GC; kind; degrees, clustering, triangles, neighbours' degree; shares of bases and pairs."""
+    nodes, edges = _graph(spark, d)
+    v = centrality.node_vectors(centrality.node_figures(nodes, cut(edges)), graph.letters([F.col("mer")], K), K)
+    return v.select("mer", *(F.round(F.get("v", F.lit(i)), 6).alias(f"f{i}") for i in range(len(_NODE))))
+
+
+_POWER = "near AS MATERIALIZED (SELECT a AS mer, b AS other FROM u UNION ALL SELECT b, a FROM u), x0 AS (SELECT mer, 1.0::DOUBLE AS x FROM nodes)" + "".join(f", y{i} AS MATERIALIZED (SELECT mer, x + coalesce(s, 0) AS x FROM x{i} LEFT JOIN (SELECT near.mer, sum(x) AS s FROM near JOIN x{i} z ON z.mer = other GROUP BY 1) USING (mer)), x{i + 1} AS (SELECT mer, x / (SELECT sqrt(sum(x * x)) FROM y{i}) AS x FROM y{i})" for i in range(centrality.POWER_ROUNDS))
+
+
+@query(f"WITH {_G}, {_TRI}, {_POWER} SELECT mer, round(x, 6) AS centrality FROM x{centrality.POWER_ROUNDS} WHERE round(x, 6) > 0")
+def graph_eigenvector(spark: SparkSession, d: str) -> DataFrame:
+    """GR17: eigenvector centrality by ten rounds of power iteration, where it is not 0 to six digits."""
+    nodes, edges = _graph(spark, d)
+    x = centrality.eigenvector(nodes, cut(centrality.both_ways(edges)), cut)
+    return graph.spelled(x.select("mer", F.round("x", 6).alias("centrality")).where("centrality > 0"), K, "mer")
+
+
 @query()
+def graph_vector(spark: SparkSession, d: str) -> DataFrame:
+    """GR20, GR17: the vector of the whole graph; tests compare its parts with plain Python."""
+    nodes, edges = _graph(spark, d)
+    return centrality.graph_vector(nodes, cut(edges), cut).select("place", "name", F.round("value", 9).alias("value"))
+
+
+_CC = "und AS MATERIALIZED (SELECT src AS mer, dst AS other FROM edges UNION SELECT dst, src FROM edges), cc(mer, component) USING KEY (mer) AS (SELECT mer, mer FROM nodes UNION SELECT u.mer, min(v.component) FROM cc v JOIN und ON und.other = v.mer JOIN recurring.cc u ON u.mer = und.mer WHERE v.component < u.component GROUP BY u.mer)"
+
+
+@query(f"WITH RECURSIVE {_G}, {_CC} SELECT component, count(*) AS size FROM cc GROUP BY 1")
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
     """GR17: connected components."""
     nodes, edges = _graph(spark, d)

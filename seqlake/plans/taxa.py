@@ -50,7 +50,9 @@ def bin_count_choice(spark: SparkSession, d: str) -> DataFrame:
     return binning.inertia(_vectors(spark, d), "vec_id", 5).select("k", F.round("inertia", 4).alias("inertia"))
 
 
-@query()
+@query(f"""WITH {_V}, ks AS (SELECT unnest(range(2, greatest(least(50, n // 3), 2) + 1)) AS k, n FROM (SELECT count(*) AS n FROM v)), sd AS (SELECT k, v AS c FROM (SELECT k, i, i * n // k AS place FROM ks, range(50) t(i) WHERE i < k) JOIN v ON r = place),
+near AS (SELECT k, vec_id, min(list_sum(list_transform(list_zip(v.v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d FROM v, sd GROUP BY ALL), ine AS (SELECT k, sum(d) AS inertia FROM near GROUP BY k),
+dr AS (SELECT k, inertia, coalesce(lag(inertia) OVER (ORDER BY k) - inertia, 0) AS fall FROM ine) SELECT k::INTEGER AS k, round(inertia, 4) AS inertia, k = coalesce((SELECT arg_min(k, (-fall, k)) FROM dr WHERE fall > 0), 2) AS chosen FROM dr""")
 def bin_count_chosen(spark: SparkSession, d: str) -> DataFrame:
     """ML3: inertia for each k up to min(50, n / 3), and whether k is chosen by the largest drop."""
     best, found = binning.choose_bins(_vectors(spark, d), "vec_id")
