@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import assembly, kraken, pairs, quality, scalars, spectra, stores, stream, taxa  # noqa: F401
+    from . import assembly, kraken, pairs, quality, reports, scalars, spectra, stores, stream, taxa  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
