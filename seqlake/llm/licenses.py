@@ -128,9 +128,10 @@ def _best(n: int, seen: dict[str, int]):
     """A function from a header's words to its best (score, template)."""
     idf, vectors = _vectors(n, seen)
     names = list(vectors)
-    # One map literal, bounded by the templates: word -> its idf and its weight in each template.
-    entries = ", ".join(f"'{w}', array({', '.join(f'{x:.9f}D' for x in (i, *(vectors[t].get(w, 0.0) for t in names)))})" for w, i in idf.items())
-    rows, none = F.expr(f"map({entries})"), F.expr(f"array({', '.join(f'{x:.9f}D' for x in (_REST, *([0.0] * len(names))))})")
+    # One map literal, bounded by the templates: word -> its idf and its weight in each template; each row is one string to the parser.
+    numbers = lambda *xs: f"cast(split('{','.join(f'{x:.9f}' if x else '0' for x in xs)}', ',') AS array<double>)"
+    entries = ", ".join(f"'{w}', {numbers(i, *(vectors[t].get(w, 0.0) for t in names))}" for w, i in idf.items())
+    rows, none = F.expr(f"map({entries})"), F.expr(numbers(_REST, *([0.0] * len(names))))
     zero = F.expr(f"array({', '.join(['0.0D'] * (len(names) + 1))})")
     label = F.expr(f"array({', '.join(repr(x) for x in names)})")
 
