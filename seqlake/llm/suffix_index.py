@@ -11,7 +11,9 @@ costs an entry a task.
 Index family. Levels are tables of sorted arrays in a folder that outlives the job. A new batch becomes a sorted array
 for each key range; it is merge-scanned against every level for starts that occur again; it merges with levels of about
 its size, so there are logarithmically many and each entry is merged that often. A family that exists already is opened
-from its folder, and later batches go on from there.
+from its folder, and later batches go on from there. Before a batch would give a range more than RANGE_ENTRIES suffixes on
+average, every range is halved: the new batch's level has the finer ranges, and older levels are dealt again as they are
+read, until a merge writes them so. A value holds at most PIECE entries; a range of more has several values.
 
 Matches. A segment whose whole content occurs again is covered. One whose start occurs again, but not its whole, lies
 at a match's edge: its bytes and one of each other content with that start go to one task, which orders all suffixes
@@ -49,6 +51,10 @@ BATCHES = 2
 HELD = 100_000
 #: Segments of a key range that one task looks up at most, if that is more than twice the mean.
 SHARE = 100_000
+#: Suffixes of a key range on average, over all levels, beyond which the ranges are halved: what a task holds of the index at once.
+RANGE_ENTRIES = 2 << 20
+#: Entries of one stored value at most.
+PIECE = 1 << 18
 
 ENTRY = np.dtype([("key", "<i8"), ("c1", "<i8"), ("c2", "<i8"), ("n", "<i8")])
 MEMBER = np.dtype([("c1", "<i8"), ("c2", "<i8"), ("k1", "<i8"), ("k2", "<i4"), ("lo", "<i4"), ("more", "<i4")])
@@ -146,6 +152,18 @@ def combined(rows: np.ndarray) -> np.ndarray:
     return rows
 
 
+def redealt(blobs: DataFrame, ranges: int) -> DataFrame:
+    """(kind, range, size, payload): the same entries and starts in more and narrower ranges."""
+
+    def work(batch: pa.RecordBatch):
+        for i, kind in enumerate(batch.column(0).to_pylist()):
+            rows = np.frombuffer(batch.column(1)[i].as_py(), "<i8" if kind == 1 else ENTRY)
+            keys, sizes = (rows, None) if kind == 1 else (rows["key"], rows["n"])
+            yield _blob_batch(*_blobs(rows, _range(keys.copy(), ranges), sizes), kind=(kind, pa.int32()))
+
+    return arrow(blobs.select("kind", "payload"), work, BLOBS + ", kind int").select("kind", "range", "size", "payload")
+
+
 def entries(keyed: DataFrame, length: int, ranges: int, batches: int = 1) -> DataFrame:
     """(batch, range, size, payload): sorted arrays of the suffix entries of all texts, by the batch that their row is dealt to."""
     ship(keyed.sparkSession)
@@ -215,8 +233,8 @@ def _own(fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 class IndexFamily:
     """Levels of sorted suffix entries in a folder, of geometrically growing size, and the starts that were met again.
 
-    A level's table has rows (kind, range, size, payload): kind 0 holds entries, kind 1 the starts that its last batch met
-    again. Its name tells its first and last batch, the number of suffixes, and the number of ranges."""
+    A level's table has rows (kind, range, size, payload), several of one kind and range where one would be long: kind 0
+    holds entries, kind 1 the starts that its last batch met again. Its name tells its first and last batch, the number of suffixes, and the number of ranges."""
 
     SCHEMA = "kind int, " + BLOBS
 
@@ -231,17 +249,25 @@ class IndexFamily:
         # A merged level stands for those that it was made of, should a job have ended before it removed them.
         self.levels = sorted(x for x in spans if not any(o != x and o[0] <= x[0] and x[1] <= o[1] for o in spans))
         self.batches = max((x[1] for x in self.levels), default=-1) + 1
-        self.ranges = self.levels[0][3] if self.levels else ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        #: Ranges of the newest level; older levels may have fewer.
+        self.ranges = max((x[3] for x in self.levels), default=0) or ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _path(self, level: tuple) -> str:
         return f"{self.folder}/level-" + "-".join(map(str, level))
 
     def read(self, level: tuple) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self._path(level))
+        """A level's rows by the family's ranges, whatever ranges it was written with."""
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self._path(level))
+        return rows if level[3] == self.ranges else redealt(rows, self.ranges)
 
-    def add(self, batch: DataFrame) -> None:
-        """A new batch of blobs (range, size, payload): sorted, scanned against every level, merged with levels of about its size."""
+    def add(self, batch: DataFrame, dealt: int | None = None) -> None:
+        """A new batch of blobs (range, size, payload) in `dealt` ranges (the family's): sorted, scanned against every level, merged with levels of about its size."""
+        dealt = dealt or self.ranges
         total = batch.agg(F.sum("size")).first()[0] or 0
+        while total + sum(x[2] for x in self.levels) > RANGE_ENTRIES * self.ranges:
+            self.ranges *= 2
+        if dealt != self.ranges:
+            batch = redealt(batch.withColumn("kind", F.lit(-1)), self.ranges)
         at, merging = self.batches, []
         self.batches += 1
         while len(merging) < len(self.levels) and self.levels[-1 - len(merging)][2] <= (total + sum(x[2] for x in merging)) * 3 // 2:
@@ -271,10 +297,11 @@ class IndexFamily:
                 scanned, met = _own(fresh)
             rows = combined(np.concatenate([scanned, *out])) if out else scanned
             keys = np.unique(np.concatenate([scanned["key"][met], *was]))
-            made = [(0, int(rows["n"].sum()), rows.tobytes()), (1, len(keys), keys.tobytes())]
-            made = [m for m in made if m[2]]
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([key[0]] * len(made), pa.int32()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.binary())], names=["kind", "range", "size", "payload"])
+            for kind, whole in ((0, rows), (1, keys)):
+                for lo in range(0, len(whole), PIECE):
+                    piece = whole[lo : lo + PIECE]
+                    size = len(piece) if kind else int(piece["n"].sum())
+                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([key[0]], pa.int32()), pa.array([size], pa.int64()), pa.array([piece.tobytes()], pa.binary())], names=["kind", "range", "size", "payload"])
 
         first = min((x[0] for x in merging), default=at)
         level = (first, at, total + sum(x[2] for x in merging), self.ranges)
@@ -547,9 +574,10 @@ def find(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
     family = IndexFamily(spark, scratch(spark, "suffix-family"))
-    every = cut(entries(keyed, length, family.ranges, batches), "suffix-incoming", BLOB_GROUP)
+    dealt = family.ranges
+    every = cut(entries(keyed, length, dealt, batches), "suffix-incoming", BLOB_GROUP)
     for b in range(batches):
-        family.add(every.where(F.col("batch") == b))
+        family.add(every.where(F.col("batch") == b), dealt)
     drop_written(every)
     found = cut(_found(family, keyed, length), "suffix-found", BLOB_GROUP)
     remove_path(spark, family.folder)

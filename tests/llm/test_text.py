@@ -166,9 +166,12 @@ def test_posterior_bounds_rise():
 # Repeated strings
 
 
-@pytest.mark.parametrize("length,hot", [(200, 2_000), (20, 2_000), (7, 3), (66, 2_000)])
-def test_suffix_removal_equals_brute_force(spark, monkeypatch, length, hot):
+@pytest.mark.parametrize("length,hot,batches,full", [(200, 2_000, 2, None), (20, 2_000, 3, 4), (7, 3, 2, None), (66, 2_000, 3, 2)])
+def test_suffix_removal_equals_brute_force(spark, monkeypatch, length, hot, batches, full):
     monkeypatch.setattr(suffix_index, "HOT", hot)
+    if full:  # ranges are halved from batch to batch, and values are cut
+        monkeypatch.setattr(suffix_index, "RANGE_ENTRIES", full)
+        monkeypatch.setattr(suffix_index, "PIECE", 3)
     r = random.Random(length)
     pool = ["".join(r.choice("abé ") for _ in range(r.randint(1, 3 * length))) for _ in range(10)] + ["a" * 3 * length, "ab" * length]
     rows = [(i, "".join(r.choice(pool) if r.random() < 0.7 else "".join(r.choice("xyz") for _ in range(r.randint(0, length))) for _ in range(r.randint(0, 6)))) for i in range(40)]
@@ -183,11 +186,14 @@ def test_suffix_removal_equals_brute_force(spark, monkeypatch, length, hot):
                 gone[i : i + length] = [1] * length
         want.append((d, len(b), sum(gone), sum(g and not p for g, p in zip(gone, [0, *gone], strict=False)), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, key int").repartition(3)
-    got = [(*r[:4], bytes(r[4])) for r in suffix_index.remove(df, length).collect()]
+    got = [(*r[:4], bytes(r[4])) for r in suffix_index.remove(df, length, batches=batches).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_index_family_goes_on_from_its_folder(spark, tmp_path):
+@pytest.mark.parametrize("full,piece,ranges", [(2 << 20, 1 << 18, 3), (20, 5, 24)])
+def test_index_family_goes_on_from_its_folder(spark, tmp_path, monkeypatch, full, piece, ranges):
+    monkeypatch.setattr(suffix_index, "RANGE_ENTRIES", full)
+    monkeypatch.setattr(suffix_index, "PIECE", piece)
     r, every = np.random.default_rng(3), []
     for b in range(5):
         f = suffix_index.IndexFamily(spark, f"file://{tmp_path}/family", ranges=3)  # opened again for each batch
@@ -197,9 +203,12 @@ def test_index_family_goes_on_from_its_folder(spark, tmp_path):
             rows["key"][:30] = r.choice([k for k, _ in every], 30)
         every += zip(rows["key"].tolist(), rows["c1"].tolist(), strict=True)
         blobs = list(zip(*suffix_index._blobs(rows, suffix_index._range(rows["key"].copy(), 3)), strict=True))
-        f.add(spark.createDataFrame(blobs, suffix_index.BLOBS))
+        f.add(spark.createDataFrame(blobs, suffix_index.BLOBS), dealt=3)
         assert f.batches == b + 1 and len(f.levels) <= 3
     n, by = Counter(every), Counter(k for k, _ in every)
+    assert f.ranges == ranges
+    stored = f.blobs().select("kind", F.length("payload").alias("bytes")).collect()
+    assert all(x.bytes <= piece * (8 if x.kind else suffix_index.ENTRY.itemsize) for x in stored)
     got = {}
     for row in suffix_index.IndexFamily(spark, f"file://{tmp_path}/family").blobs().groupBy("range").agg(F.collect_list(F.struct("kind", "payload")).alias("x")).collect():
         index, contents = suffix_index.matches([np.frombuffer(x.payload, suffix_index.ENTRY) for x in row.x if x.kind == 0], [np.frombuffer(x.payload, "<i8") for x in row.x if x.kind == 1])
