@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from ..operators import graph
+from ..operators import graph, misassembly
 from ..sources import sinks
 from . import taxa
 from . import views as V
@@ -86,3 +86,30 @@ def reads_merged(spark: SparkSession, d: str) -> DataFrame:
     both = r.where("doc_id % 2 = 0").unionByName(r.where("doc_id % 2 = 1"))
     each = both.groupBy("file").agg(F.count("*").alias("reads"), F.sum(F.char_length("seq")).alias("bases"), F.sum(S.count_of(F.col("seq"), "[GC]")).alias("gc"))
     return each.unionByName(each.agg(F.lit("all").alias("file"), F.sum("reads").alias("reads"), F.sum("bases").alias("bases"), F.sum("gc").alias("gc")))
+
+
+_ANCHOR, _SLACK = 31, 20
+_PLACED = f"SELECT {{key}}, i AS place, least(m, reverse(translate(m, 'ACGT', 'TGCA'))) AS word, m <= reverse(translate(m, 'ACGT', 'TGCA')) AS forward FROM (SELECT {{key}}, i, substring(seq, i + 1, {_ANCHOR}) AS m FROM {{rows}}, unnest(range(0, length(seq) - {_ANCHOR - 1})) AS t(i))"
+
+
+@query(
+    f"WITH {V.CHECKED_SQL}, a AS (SELECT word, min(item_id) AS source, min(place) AS source_at, bool_and(forward) AS source_forward FROM ({_PLACED.format(key='item_id', rows='sources')}) GROUP BY word HAVING count(*) = 1)"
+    f", h AS (SELECT contig_id AS contig, place, source, forward = source_forward AS same, CASE WHEN forward = source_forward THEN source_at - place ELSE source_at + place END AS diagonal FROM ({_PLACED.format(key='contig_id', rows='checked')}) JOIN a USING (word))"
+    ", s AS (SELECT *, lag(source) OVER w AS source0, lag(same) OVER w AS same0, lag(diagonal) OVER w AS diagonal0 FROM h WINDOW w AS (PARTITION BY contig ORDER BY place))"
+    f", k AS (SELECT contig, count(*) AS anchors, count(DISTINCT source) AS sources, count(*) FILTER (source = source0 AND same = same0 AND abs(diagonal - diagonal0) > {_SLACK}) AS relocations, count(*) FILTER (source = source0 AND same <> same0) AS inversions, count(*) FILTER (source <> source0) AS translocations FROM s GROUP BY 1)"
+    " SELECT contig, anchors, sources, 1 + relocations + inversions + translocations AS blocks, relocations, inversions, translocations FROM k"
+)
+def contig_misassemblies(spark: SparkSession, d: str) -> DataFrame:
+    """AG30: breaks of each document, and of contigs put together by rule, against the benchmark's sequences, by chains of k-mers that occur once in these."""
+    return misassembly.chained(V.checked_contigs(spark, d), V.sources(spark, d), "contig_id", "item_id", _ANCHOR, _SLACK)
+
+
+@query(
+    f"WITH {V.CONTIGS_SQL}, r AS (SELECT sum(length(seq)) AS bases FROM seqs), c AS (SELECT count(*) AS contigs, sum(len)::BIGINT AS bases, count(*) FILTER (len < 100) AS short_contigs, avg(len) AS mean, stddev_pop(len) AS spread, avg(coverage) AS cov, sum(len - length(regexp_replace(seq, '[Nn]', '', 'g'))) AS gaps FROM contigs)"
+    ", e AS (SELECT *, CASE WHEN contigs < 2 THEN 1.0::DOUBLE ELSE greatest(0.0, 1 - spread / mean) END AS evenness, least(100.0, 100.0 * bases / (SELECT bases FROM r)) AS completeness FROM c), f AS (SELECT *, 50 * least(1.0, cov / 10) + 50 * evenness AS accuracy FROM e)"
+    " SELECT contigs, bases, short_contigs, round(evenness, 9) AS evenness, round(completeness, 9) AS completeness, round(accuracy, 9) AS accuracy, round(100 * least(1.0, mean / 1000), 9) AS structure, round(100.0 * gaps / bases, 9) AS gap_percent, round((completeness + accuracy) / 2, 9) AS score FROM f"
+)
+def assembly_quality(spark: SparkSession, d: str) -> DataFrame:
+    """AG30, AG22: the figures by which an assembly is scored, from its contigs and the bases of its reads."""
+    bases = V.reads(spark, d).agg(F.sum(F.char_length("seq")).alias("read_bases"))
+    return misassembly.quality(V.contigs(spark, d), bases)

@@ -20,6 +20,12 @@ SEQS_SQL = f"seqs AS (SELECT doc_id, source, lang, translate(regexp_replace(text
 READS_SQL = f"{SEQS_SQL}, reads AS (SELECT doc_id * {MOST_READS} + i AS read_id, doc_id, source, substring(seq, i * {READ} + 1, {READ}) AS seq FROM seqs, unnest(range(0, (length(seq) + {READ - 1}) // {READ})) AS t(i))"
 QUALITY_SQL = f"{READS_SQL}, quals AS (SELECT read_id, doc_id, seq, list_transform(range(1, length(seq) + 1), lambda i: ((ascii(substring(seq, i, 1)) * 7 + i * (doc_id % 97)) % 41)::BIGINT) AS q FROM reads)"
 CONTIGS_SQL = f"{SEQS_SQL}, contigs AS (SELECT doc_id AS contig_id, seq, length(seq) AS len, (2 + doc_id % 40)::DOUBLE AS coverage FROM seqs WHERE length(seq) > 0)"
+SOURCES_SQL = f"sources AS (SELECT item_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{FROM}', '{TO}') AS seq FROM benchmark)"
+#: Contigs to be checked: all documents, and each source as put together by rule: whole, its second half turned round, its middle third lost, or ending in the next source.
+CHECKED_SQL = (
+    f"{CONTIGS_SQL}, {SOURCES_SQL}, checked AS (SELECT contig_id, seq FROM contigs UNION ALL SELECT -1 - s.item_id, CASE s.item_id % 4 WHEN 0 THEN s.seq WHEN 1 THEN left(s.seq, length(s.seq) // 2) || reverse(translate(substring(s.seq, length(s.seq) // 2 + 1), 'ACGT', 'TGCA'))"
+    " WHEN 2 THEN left(s.seq, length(s.seq) // 3) || substring(s.seq, 2 * (length(s.seq) // 3) + 1) ELSE left(s.seq, length(s.seq) // 2) || coalesce(n.seq, '') END FROM sources s LEFT JOIN sources n ON n.item_id = s.item_id + 1)"
+)
 #: Bases of the shortest contig that is put into bins or classified.
 LEAST_CONTIG = 1000
 LONG_CONTIGS_SQL = CONTIGS_SQL.replace("length(seq) > 0", f"length(seq) >= {LEAST_CONTIG}")
@@ -63,3 +69,20 @@ def contigs(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
 def long_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those contigs that are put into bins or classified."""
     return contigs(spark, sf_dir, LEAST_CONTIG)
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, seq: the sequences of the benchmark, of which documents hold pieces."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), FROM, TO).alias("seq"))
+
+
+def checked_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contig_id, seq of all documents, and with ids below 0 of each source as put together by rule, three in four of them wrongly."""
+    s = sources(spark, sf_dir).where("seq is not null")
+    after = s.select((F.col("item_id") - 1).alias("item_id"), F.col("seq").alias("after"))
+    half, third = F.floor(F.char_length("seq") / 2).cast("int"), F.floor(F.char_length("seq") / 3).cast("int")
+    start = F.left("seq", half)
+    rest = F.reverse(F.translate(F.substring("seq", half + 1, F.char_length("seq")), "ACGT", "TGCA"))
+    kind = F.col("item_id") % 4
+    made = F.when(kind == 0, F.col("seq")).when(kind == 1, F.concat(start, rest)).when(kind == 2, F.concat(F.left("seq", third), F.substring("seq", 2 * third + 1, F.char_length("seq")))).otherwise(F.concat(start, F.coalesce("after", F.lit(""))))
+    return contigs(spark, sf_dir).select("contig_id", "seq").unionByName(s.join(after, "item_id", "left").select((-1 - F.col("item_id")).alias("contig_id"), made.alias("seq")))
