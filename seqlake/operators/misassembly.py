@@ -4,7 +4,7 @@ An anchor is a k-mer that occurs once in all source sequences, read either way,
 Along a contig, neighbouring anchors belong to one block while they lie in the same source, on the same strand and, but
 for `slack` bases of insertion or deletion, at the same distance from each other; where they do not, the contig is broken.
 
-K-mers travel as one word of two bits a base, cut in tasks that hold FLUSH bases; only those that are anchors outlive the
+K-mers travel as one word of two bits a base, cut in tasks that hold HELD bases; only those that are anchors outlive the
 join. A contig's anchors are ordered in one window, of at most one row for each base of that contig.
 """
 
@@ -19,17 +19,20 @@ from pyspark.sql import functions as F
 
 from . import superkmers as SK
 
+#: Bases whose k-mers a task holds, and gives to Spark, at once.
+HELD = 1 << 18
+
 
 def _windows(off: np.ndarray, k: int) -> Iterator[tuple[int, int, int, int]]:
-    """(first row, row after the last, first base, base after the last) of pieces of about FLUSH bases; a longer row is cut, with k - 1 bases twice."""
+    """(first row, row after the last, first base, base after the last) of pieces of about HELD bases; a longer row is cut, with k - 1 bases twice."""
     i, rows = 0, len(off) - 1
     while i < rows:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + SK.FLUSH, side="right")) - 1)
-        if off[j] - off[i] <= SK.FLUSH:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + HELD, side="right")) - 1)
+        if off[j] - off[i] <= HELD:
             yield i, j, int(off[i]), int(off[j])
         else:
-            for lo in range(int(off[i]), max(int(off[i]) + 1, int(off[j]) - k + 1), SK.FLUSH):
-                yield i, j, lo, min(int(off[j]), lo + SK.FLUSH + k - 1)
+            for lo in range(int(off[i]), max(int(off[i]) + 1, int(off[j]) - k + 1), HELD):
+                yield i, j, lo, min(int(off[j]), lo + HELD + k - 1)
         i = j
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from seqlake.operators import misassembly, superkmers
+from seqlake.operators import misassembly
 
 K = 21
 TURN = str.maketrans("ACGT", "TGCA")
@@ -24,9 +24,9 @@ def by_contig(spark, contigs, sources, **more):
     return {r.contig: tuple(r)[1:] for r in misassembly.chained(c, s, "id", "name", K, **more).collect()}
 
 
-@pytest.mark.parametrize("flush", [superkmers.FLUSH, 150])
-def test_breaks_of_each_kind(spark, monkeypatch, flush):
-    monkeypatch.setattr(superkmers, "FLUSH", flush)
+@pytest.mark.parametrize("held", [misassembly.HELD, 150])
+def test_breaks_of_each_kind(spark, monkeypatch, held):
+    monkeypatch.setattr(misassembly, "HELD", held)
     r = random.Random(1)
     a, b, shared = bases(r, 600), bases(r, 500), bases(r, 80)
     sources = [("a", a[:300] + shared + a[300:]), ("b", shared + b), ("none", None), ("short", "ACGT"), ("", "")]
