@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import seq as S
 from ..operators import taxonomy
 from ..operators.taxonomy import RANKS
 from . import views as V
@@ -49,8 +50,6 @@ def _classified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     nodes = cut(nodes)
     up = cut(taxonomy.closure(nodes))
     asked = placed.where("doc_id % 20 = 0")
-    from ..functions import seq as S
-
     only = asked.select(F.explode(S.clean_kmers(F.col("seq"), K)).alias("mer")).distinct()
     known = taxonomy.kmer_ancestors(placed.where("doc_id % 20 <> 0"), K, only)
     found = taxonomy.classify(asked, known, up, "doc_id", K, cut)
@@ -91,4 +90,4 @@ def kraken_report(spark: SparkSession, d: str) -> DataFrame:
     direct = c.where("taxid <> 0").select("taxid", F.lit(1).alias("n"), F.col("classified_kmers").alias("kmers"))
     each = taxonomy.clades(direct, nodes, up, "n", "kmers").crossJoin(F.broadcast(direct.agg(F.count("*").alias("total"))))
     letter = F.element_at(F.array(*map(F.lit, ("R", *taxonomy.LETTERS))), F.col("depth") + 1)
-    return each.select(F.concat_ws("\t", F.format_string("%.2f", 100.0 * F.col("clade_n") / F.col("total")), F.col("clade_n").cast("string"), F.col("own_n").cast("string"), F.col("clade_kmers").cast("string"), letter, F.col("taxid").cast("string"), "name", "lineage").alias("line"))
+    return each.select(F.concat_ws("\t", S.fixed(100.0 * F.col("clade_n") / F.col("total"), 2), F.col("clade_n").cast("string"), F.col("own_n").cast("string"), F.col("clade_kmers").cast("string"), letter, F.col("taxid").cast("string"), "name", "lineage").alias("line"))

@@ -29,7 +29,7 @@ def sink_assembly_statistics(spark: SparkSession, d: str) -> DataFrame:
     one = one.crossJoin(graph.nx(c, 0.5).withColumnRenamed("nx", "n50")).crossJoin(graph.nx(c, 0.9).withColumnRenamed("nx", "n90"))
     text = lambda name, v: F.concat_ws("\t", F.lit(name), v)
     whole = [text(a, F.col(b).cast("string")) for a, b in (("contigs", "n"), ("total_length", "bases"), ("shortest", "least"), ("longest", "most"), ("n50", "n50"), ("n90", "n90"))]
-    parts = [text(a, F.format_string(f, F.col(b))) for a, f, b in (("mean_length", "%.2f", "mean"), ("gc", "%.4f", "gc"), ("mean_coverage", "%.2f", "cov"))]
+    parts = [text(a, S.fixed(F.col(b), digits)) for a, digits, b in (("mean_length", 2, "mean"), ("gc", 4, "gc"), ("mean_coverage", 2, "cov"))]
     bins = sinks.length_histogram(c).select(F.concat_ws("\t", F.lit("length_bin"), F.col("bin").cast("string"), F.col("n").cast("string")).alias("line"))
     return one.select(F.explode(F.array(*whole, *parts)).alias("line")).unionByName(bins)
 
@@ -44,7 +44,7 @@ def sink_classification_summary(spark: SparkSession, d: str) -> DataFrame:
     n = c.groupBy("taxon").agg(F.count("*").alias("n"))
     rows = n.select(F.lit("taxon").alias("part"), F.col("taxon").alias("name"), "n").unionByName(n.agg(F.sum("n").alias("n")).where("n is not null").select(F.lit("method").alias("part"), F.expr(_METHOD).alias("name"), "n"))
     total = n.agg(F.sum("n").alias("total"))
-    return rows.crossJoin(F.broadcast(total)).select(F.concat_ws("\t", "part", "name", F.col("n").cast("string"), F.format_string("%.2f", 100.0 * F.col("n") / F.col("total"))).alias("line"))
+    return rows.crossJoin(F.broadcast(total)).select(F.concat_ws("\t", "part", "name", F.col("n").cast("string"), S.fixed(100.0 * F.col("n") / F.col("total"), 2)).alias("line"))
 
 
 @query(f"WITH {_CLS}, t AS (SELECT taxon, count(*) AS n, avg(coverage) AS cov FROM cls JOIN contigs USING (contig_id) WHERE confidence >= 0.6 GROUP BY 1) SELECT concat_ws(chr(9), taxon, n, printf('%.4f', 100.0 * n / sum(n) OVER ()), printf('%.2f', cov)) AS line FROM t")
@@ -53,7 +53,7 @@ def sink_abundance(spark: SparkSession, d: str) -> DataFrame:
     covers = V.long_contigs(spark, d).select("contig_id", "coverage")
     t = taxa._classified(spark, d).join(covers, "contig_id").groupBy("taxon").agg(F.count("*").alias("n"), F.avg("coverage").alias("cov"))
     total = t.agg(F.sum("n").alias("total"))
-    return t.crossJoin(F.broadcast(total)).select(F.concat_ws("\t", "taxon", F.col("n").cast("string"), F.format_string("%.4f", 100.0 * F.col("n") / F.col("total")), F.format_string("%.2f", "cov")).alias("line"))
+    return t.crossJoin(F.broadcast(total)).select(F.concat_ws("\t", "taxon", F.col("n").cast("string"), S.fixed(100.0 * F.col("n") / F.col("total"), 4), S.fixed(F.col("cov"), 2)).alias("line"))
 
 
 @query(f"WITH {_CLS} SELECT count(*) AS classified, round(avg(contains(taxon, 'Bact')::INTEGER), 9) AS share FROM cls WHERE confidence >= 0.6")

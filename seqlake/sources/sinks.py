@@ -20,7 +20,7 @@ def wrapped(s: Column, width: int = 80) -> Column:
 
 def fasta(contigs: DataFrame, width: int | None = 80) -> DataFrame:
     """Records of (contig_id, seq, len, coverage) with length, coverage and GC in the header."""
-    head = F.format_string(">contig_%d length=%d coverage=%.2f gc=%.4f\n", "contig_id", "len", "coverage", S.gc(F.col("seq")))
+    head = F.format_string(">contig_%d length=%d coverage=%s gc=%s\n", "contig_id", "len", S.fixed(F.col("coverage"), 2), S.fixed(S.gc(F.col("seq")), 4))
     return contigs.select(F.concat(head, wrapped(F.col("seq"), width) if width else F.col("seq")).alias("record"))
 
 
@@ -35,14 +35,14 @@ def gfa(contigs: DataFrame, links: DataFrame, overlap: int) -> DataFrame:
 
 def classification_tsv(c: DataFrame) -> DataFrame:
     """contig, taxon id, name, confidence with four digits, lineage."""
-    return c.select(F.concat_ws("\t", F.col("contig_id").cast("string"), F.col("taxonomy_id").cast("string"), "taxonomy_name", F.format_string("%.4f", "confidence"), "lineage").alias("line"))
+    return c.select(F.concat_ws("\t", F.col("contig_id").cast("string"), F.col("taxonomy_id").cast("string"), "taxonomy_name", S.fixed(F.col("confidence"), 4), "lineage").alias("line"))
 
 
 def kraken(c: DataFrame) -> DataFrame:
     """Percent, count, count, rank letter, name, of each taxon."""
     n = c.groupBy("taxonomy_name").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
-    pct = F.format_string("%.2f", 100.0 * F.col("n") / F.col("total"))
+    pct = S.fixed(100.0 * F.col("n") / F.col("total"), 2)
     return n.crossJoin(F.broadcast(total)).select(F.concat_ws("\t", pct, F.col("n").cast("string"), F.col("n").cast("string"), F.lit("S"), "taxonomy_name").alias("line"))
 
 

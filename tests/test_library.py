@@ -374,3 +374,10 @@ def test_entry_point_without_the_corpus_subpackage(tmp_path):
     shutil.copytree(top / "seqlake", tmp_path / "seqlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q.keys() >= e.oracle_sql().keys() and 'kmer_spectrum' in q and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_fixed_digits_are_those_of_printf(spark):
+    rows = spark.range(1, 65).withColumn("x", F.col("id") / 64).select("x", S.fixed(F.col("x"), 4).alias("t")).collect()
+    assert [r.t for r in rows] == ["%.4f" % r.x for r in rows]  # halves to even: 1/32 is 0.0312
+    record = spark.createDataFrame([(1, "G" + "A" * 31, 32, 2.0)], "contig_id long, seq string, len long, coverage double")
+    assert sinks.fasta(record).first().record.startswith(">contig_1 length=32 coverage=2.00 gc=0.0312\n")
