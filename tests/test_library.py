@@ -381,3 +381,29 @@ def test_fixed_digits_are_those_of_printf(spark):
     assert [r.t for r in rows] == ["%.4f" % r.x for r in rows]  # halves to even: 1/32 is 0.0312
     record = spark.createDataFrame([(1, "G" + "A" * 31, 32, 2.0)], "contig_id long, seq string, len long, coverage double")
     assert sinks.fasta(record).first().record.startswith(">contig_1 length=32 coverage=2.00 gc=0.0312\n")
+
+
+@pytest.mark.parametrize("at_once", [graph.AT_ONCE, 16, 0])
+def test_roots_of_paths_stars_and_rings(spark, at_once):
+    """Rounds put nodes together and few of them suffice: a path and a star of ids in order, a ring, and nodes alone."""
+    pairs = [(i, i + 1) for i in range(200)] + [(500, i) for i in range(300, 500)] + [(600 + i, 600 + (i + 1) % 50) for i in range(50)] + [(700, 700)]
+    nodes = spark.createDataFrame([(x,) for x in {*itertools.chain(*pairs), 800}], "mer long")
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    written = []
+    keep = lambda df: written.append(1) or cut(df)
+    found = collections.defaultdict(set)
+    for r in graph.roots(nodes, edges, keep, at_once).collect():
+        found[r.root].add(r.mer)
+    assert sorted(map(sorted, found.values())) == [list(range(201)), list(range(300, 501)), list(range(600, 650)), [700], [800]]
+    assert len(written) < 60
+    sizes = {(r.component, r.size) for r in graph.component_sizes(nodes, edges, cut).collect()}
+    assert sizes == {(0, 201), (300, 201), (600, 50), (700, 1), (800, 1)}
+
+
+@pytest.mark.parametrize("k", [3, 5])
+def test_triangles_of_packed_kmers_are_few_and_all_found(spark, k):
+    """All edges of the whole graph: those that can close a triangle give the same triangles as all."""
+    edges = spark.createDataFrame([(m, (m * 4 + b) % 4**k) for m in range(4**k) for b in range(4)], "src long, dst long")
+    every = sorted(map(tuple, graph.triangles(edges).collect()))
+    assert every and sorted(map(tuple, graph.triangles(edges, k).collect())) == every
+    assert edges.where(graph._may_close(F.col("src"), k)).count() <= edges.count() if k < 5 else edges.where(graph._may_close(F.col("src"), k)).count() < edges.count() / 4
