@@ -407,3 +407,10 @@ def test_triangles_of_packed_kmers_are_few_and_all_found(spark, k):
     every = sorted(map(tuple, graph.triangles(edges).collect()))
     assert every and sorted(map(tuple, graph.triangles(edges, k).collect())) == every
     assert edges.where(graph._may_close(F.col("src"), k)).count() <= edges.count() if k < 5 else edges.where(graph._may_close(F.col("src"), k)).count() < edges.count() / 4
+
+
+def test_pairs_and_letters_are_counted_as_by_hand(spark):
+    for s in ("", "A", "AA", "AAA", "AAAAAAA", "ACACCCA", "CAAACCAAC"):
+        for p in ("AA", "AC", "CC"):
+            assert one(spark, s, lambda c, p=p: S.pairs_of(c, p)) == sum(s[i : i + 2] == p for i in range(len(s)))
+    assert one(spark, "ACGTNgcé", lambda c: S.count_of(c, "[GCgc]")) == 4 and one(spark, "ACCA", lambda c: S.count_of(c, "C")) == 2
