@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,20 +36,33 @@ def mean_quality(q: Column) -> Column:
     return S.mean_of(q)
 
 
-def window_sums(q: Column, w: int) -> Column:
-    """Sums of all windows of w scores."""
-    n = F.size(q) - w
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.aggregate(F.slice(q, i + 1, w), F.lit(0).cast("long"), lambda a, b: a + b)))
+def window_bounds(q: pa.ListArray, w: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each list: windows of all lists are summed at once; a missing score spoils its windows."""
+    n = q.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = q.flatten()
+    off, sums, gaps = np.append(0, np.cumsum(n)), np.zeros(len(flat) + 1, np.int64), np.zeros(len(flat) + 1, np.int64)
+    np.cumsum(flat.fill_null(0).to_numpy(zero_copy_only=False), out=sums[1:])
+    np.cumsum(flat.is_null().to_numpy(zero_copy_only=False), out=gaps[1:])
+    at = np.arange(max(len(flat) - w + 1, 0))
+    within = at + w <= np.repeat(off[1:], n)[: len(at)]
+    good = np.flatnonzero(within & (sums[at + w] - sums[at] >= w * least) & (gaps[at + w] == gaps[at]))
+    lo, hi = np.searchsorted(good, off[:-1]), np.searchsorted(good, off[1:])
+    start, end, found = np.zeros(len(n), np.int64), n.copy(), np.flatnonzero(hi > lo)
+    start[found], end[found] = good[lo[found]] - off[found], good[hi[found] - 1] + w - off[found]
+    return start, end
 
 
 def trim_bounds(q: Column, w: int = 4, least: int = 15) -> Column:
     """struct(start, end), start 0-based and end exclusive: from the first window whose sum reaches w * least to the end of
-    the last one. A read shorter than w, or without such a window, keeps its full extent."""
-    good = F.transform(window_sums(q, w), lambda s: s >= w * least)
-    first = F.array_position(good, True)
-    last = F.array_position(F.reverse(good), True)
-    found = F.coalesce(first > 0, F.lit(False))
-    return F.struct(F.when(found, first - 1).otherwise(0).cast("long").alias("start"), F.when(found, F.size(q) - last + 1).otherwise(F.size(q)).cast("long").alias("end"))
+    the last one. A read shorter than w, or without such a window, keeps its full extent. Arrow batches: a lambda for each window
+    and score is the larger part of a read's cost."""
+
+    @F.arrow_udf("start bigint, end bigint")
+    def run(x: pa.Array) -> pa.Array:
+        start, end = window_bounds(x, w, least)
+        return pa.StructArray.from_arrays([pa.array(start), pa.array(end, mask=x.is_null().to_numpy(zero_copy_only=False))], names=["start", "end"])
+
+    return run(q)
 
 
 def find_adapters(seqs: list[str | None], preset: str = "standard") -> np.ndarray:

@@ -414,3 +414,19 @@ def test_pairs_and_letters_are_counted_as_by_hand(spark):
         for p in ("AA", "AC", "CC"):
             assert one(spark, s, lambda c, p=p: S.pairs_of(c, p)) == sum(s[i : i + 2] == p for i in range(len(s)))
     assert one(spark, "ACGTNgcé", lambda c: S.count_of(c, "[GCgc]")) == 4 and one(spark, "ACCA", lambda c: S.count_of(c, "C")) == 2
+
+
+def test_window_bounds_of_all_lists_at_once():
+    import pyarrow as pa
+
+    lists = [[], None, [40] * 3, [0] * 9, [0] * 5 + [30] * 4 + [0] * 7, [40] * 6, [20, None, 20, 20, 20, 20, 1, 0], [15] * 4, [0, 0, 0, 60, 0, 0, 0]]
+
+    def plain(q):
+        good = [i for i in range(len(q or []) - 3) if None not in q[i : i + 4] and sum(q[i : i + 4]) >= 60]
+        return (good[0], good[-1] + 4) if good else (0, len(q or []))
+
+    for part in (lists, lists[4:], [[7] * 3, None], []):
+        start, end = qc.window_bounds(pa.array(part, pa.list_(pa.int64())), 4, 15)
+        assert list(zip(start.tolist(), end.tolist(), strict=True)) == [plain(q) for q in part]
+    sliced = pa.array(lists, pa.list_(pa.int64()))[3:7]
+    assert list(zip(*(x.tolist() for x in qc.window_bounds(sliced, 4, 15)), strict=True)) == [plain(q) for q in lists[3:7]]
