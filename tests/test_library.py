@@ -430,3 +430,34 @@ def test_window_bounds_of_all_lists_at_once():
         assert list(zip(start.tolist(), end.tolist(), strict=True)) == [plain(q) for q in part]
     sliced = pa.array(lists, pa.list_(pa.int64()))[3:7]
     assert list(zip(*(x.tolist() for x in qc.window_bounds(sliced, 4, 15)), strict=True)) == [plain(q) for q in lists[3:7]]
+
+
+def test_cycles_of_even_length_are_cut_from_pointers_of_many_steps():
+    for size, steps in ((6, 2), (8, 4), (12, 8), (7, 4)):
+        mer = np.random.Generator(np.random.PCG64(size)).permutation(100)[:size]
+        up, before = np.roll(mer, steps), np.roll(mer, 1)
+        none = np.zeros(size, np.int64)
+        head, place = graph.resolve(mer, up, np.full(size, steps), none, none.astype(bool), none, before)
+        assert (head == mer.min()).all() and (place == (np.arange(size) - mer.argmin()) % size).all()
+
+
+def test_marked_nodes_hold_the_graph(spark):
+    rnd = random.Random(5)
+    rows = [("".join(rnd.choice("ACGT") for _ in range(60)),) for _ in range(20)]
+    df = spark.createDataFrame(rows + rows[:15] + [("ACAC" * 9,), ("A" * 40,), ("A" * 40,), (rows[0][0][:30] + rows[1][0][20:],)], "seq string").repartition(3)
+    for k in (4, 7, 31):
+        nodes, edges = (cut(x) for x in graph.build(df, k, cut))
+        marked = cut(graph.marks(df, k, cut))
+        rows_of = lambda x: sorted(map(tuple, x.collect()))
+        assert rows_of(marked.select("mer", "coverage")) == rows_of(nodes.select("mer", "coverage"))
+        assert rows_of(graph.marked_edges(marked, k)) == rows_of(edges)
+        assert rows_of(graph.marked_degrees(marked).select("mer", "coverage", "indeg", "outdeg")) == rows_of(graph.degrees(nodes, edges))
+        assert rows_of(graph.marked_peel(marked, k)) == rows_of(graph.peel_ends(nodes, edges)[1])
+        assert rows_of(graph.marked_unitigs(marked, k, cut)) == rows_of(graph.unitigs(nodes, edges, k, cut))
+
+
+def test_a_bucket_of_many_rows_is_counted_whole(spark):
+    rows = [("ACGTTGCAAC" * 30,)] * 7 + [("TTGACCATGA" * 5 + "N" + "ACGTTGCAAC" * 3,)] * 5
+    df = spark.createDataFrame(rows, "seq string").repartition(6)
+    got = {r.mer: r.n for r in superkmers.tallies(superkmers.pieces(df, 9, 2).repartition("bucket"), 9).select(superkmers.letters([F.col("w0")], 9).alias("mer"), "n").collect()}
+    assert got == collections.Counter(s[i : i + 9] for (s,) in rows for i in range(len(s) - 8) if "N" not in s[i : i + 9])
