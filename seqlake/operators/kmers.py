@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from . import superkmers
 
 #: Shorter k-mers are so few that counts meet in each task before the shuffle; longer ones are dealt as super-k-mers.
 FEW = 6
+#: Hashes of k-mers of up to so many bases are kept by a task in a table, 32 MB.
+TABLED = 11
 
 
 def count(reads: DataFrame, k: int, canonical: bool = False) -> DataFrame:
@@ -49,11 +56,57 @@ def diversity(counts: DataFrame) -> DataFrame:
 
 def minimizers(reads: DataFrame, k: int, w: int) -> DataFrame:
     """(read_id, pos, mer): places that are least, by portable hash and then place, in some window of w k-mers; within the row."""
-    hashed = F.transform(S.kmers(F.col("seq"), k), lambda m, i: F.struct(S.portable_hash(m).alias("h"), i.alias("i"), m.alias("m")))
-    rows = reads.select("read_id", hashed.alias("a"))
-    width = F.least(F.lit(w), F.size("a"))
-    picks = F.when(F.size("a") > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("a") - width + 1), lambda j: F.array_min(F.slice("a", j, width)))))
-    return rows.select("read_id", F.explode(picks).alias("x")).select("read_id", F.col("x.i").cast("long").alias("pos"), F.col("x.m").alias("mer"))
+    table = np.full(4**k if k <= TABLED else 0, -1, np.int64)
+    hashed = lambda m: int(hashlib.md5(m).hexdigest()[:15], 16)
+
+    def hashes(data: np.ndarray) -> np.ndarray:
+        """S.portable_hash of the k-mer at each place; a task keeps those of short clean k-mers, each other one is found once a batch."""
+        codes = superkmers._CODE[data]
+        if len(table) and (codes < 4).all():
+            words = superkmers.packed(codes, k).astype(np.int64)
+            for at in np.unique(words[table[words] < 0]).tolist():
+                table[at] = hashed(bytes(b"ACGT"[at >> 2 * (k - 1 - j) & 3] for j in range(k)))
+            return table[words]
+        mers, back = np.unique(np.lib.stride_tricks.sliding_window_view(data, k), axis=0, return_inverse=True)
+        return np.array([hashed(m.tobytes()) for m in mers], np.int64)[back.reshape(-1)]
+
+    def picked(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the read, place in the data) of reads laid end to end, each of at least k letters."""
+        h = hashes(data)
+        out = []
+        # Reads of fewer than w k-mers have one window of all; the others are taken together by width.
+        width = np.minimum(np.diff(off) - (k - 1), w)
+        for size in np.unique(width).tolist():
+            best, have = np.arange(len(h)), 1
+            while have < size:
+                step = min(have, size - have)
+                left, right = best[:-step], best[step:]
+                best, have = np.where(h[right] < h[left], right, left), have + step
+            of = np.flatnonzero(width == size)
+            windows = np.diff(off)[of] - (k - 1) - size + 1
+            start = np.repeat(off[:-1][of] - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+            out.append(best[start])
+        at = np.unique(np.concatenate(out))
+        return np.searchsorted(off, at, side="right") - 1, at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                part = part.filter(pa.array([s is not None and len(s) >= k for s in part.column(1).to_pylist()], pa.bool_()))
+                if not part.num_rows:
+                    continue
+                texts = part.column(1).to_pylist()
+                data = np.frombuffer("".join(texts).encode(), np.uint8)
+                off = np.append(0, np.cumsum([len(s) for s in texts]))
+                if len(data) != off[-1]:
+                    raise ValueError("sequences are ASCII letters")
+                row, at = picked(data, off)
+                letters = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, k)[at])
+                mers = pa.StringArray.from_buffers(len(at), pa.py_buffer((np.arange(len(at) + 1) * k).astype(np.int32)), pa.py_buffer(letters))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(at - off[row]), mers], names=["read_id", "pos", "mer"])
+
+    return reads.select("read_id", "seq").mapInArrow(run, f"read_id {reads.schema['read_id'].dataType.simpleString()}, pos bigint, mer string")
 
 
 def without_repeats(minimizers: DataFrame) -> DataFrame:
@@ -93,9 +146,55 @@ def merge_samples(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
     return both.orderBy("h", "mer").limit(size)
 
 
+def distinct(reads: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, packed): the distinct clean k-mers of each key, k at most 31; a task keeps each of its own once before they are dealt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found, size = {}, {}, 0
+
+        def merged() -> None:
+            for name, texts in held.items():
+                joined = "N".join(texts).encode()
+                codes = superkmers._CODE[np.frombuffer(joined, np.uint8)]
+                bad = np.append(0, np.cumsum(codes > 3))
+                words = superkmers.packed(codes & 3, k) if len(codes) >= k else np.zeros(0, np.uint64)
+                words = words[bad[k:] == bad[: len(words)]] if len(words) else words
+                found[name] = np.union1d(found.get(name, np.zeros(0, np.uint64)), words)
+            held.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for name, words in found.items():
+                for lo in range(0, len(words), 1 << 16):
+                    part = words[lo : lo + (1 << 16)].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part)], names=["key", "packed"])
+            found.clear()
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                for name, s in zip(batch.column(0).slice(lo, 1000).to_pylist(), batch.column(1).slice(lo, 1000).to_pylist(), strict=True):
+                    if s:
+                        held.setdefault(name, []).append(s)
+                        size += len(s)
+                if size >= superkmers.FLUSH:
+                    merged()
+                    size = 0
+                    if sum(map(len, found.values())) >= 4 * superkmers.FLUSH:
+                        yield from out()
+        merged()
+        yield from out()
+
+    rows = reads.select(F.col(key).cast("string").alias("key"), "seq").mapInArrow(run, "key string, packed bigint")
+    return rows.distinct().withColumnRenamed("key", key)
+
+
 def sketch(reads: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, sketch): HyperLogLog of the distinct k-mers; hll_union_agg merges them."""
-    return reads.select(key, F.explode(S.clean_kmers(F.col("seq"), k)).alias("mer")).groupBy(key).agg(F.hll_sketch_agg("mer", F.lit(12)).alias("sketch"))
+    """(key, sketch): HyperLogLog of the distinct k-mers; hll_union_agg merges them. A k-mer that comes again changes no sketch, so distinct ones are put in."""
+    return sketch_of(distinct(reads, key, k), key, k)
+
+
+def sketch_of(found: DataFrame, key: str, k: int) -> DataFrame:
+    """sketch() of distinct packed k-mers."""
+    return found.select(key, superkmers.letters([F.col("packed")], k).alias("mer")).groupBy(key).agg(F.hll_sketch_agg("mer", F.lit(12)).alias("sketch"))
 
 
 def choose_k(stats: DataFrame, budget_mb: int = 2048, least: int = 15, most: int = 127) -> DataFrame:

@@ -461,3 +461,43 @@ def test_a_bucket_of_many_rows_is_counted_whole(spark):
     df = spark.createDataFrame(rows, "seq string").repartition(6)
     got = {r.mer: r.n for r in superkmers.tallies(superkmers.pieces(df, 9, 2).repartition("bucket"), 9).select(superkmers.letters([F.col("w0")], 9).alias("mer"), "n").collect()}
     assert got == collections.Counter(s[i : i + 9] for (s,) in rows for i in range(len(s) - 8) if "N" not in s[i : i + 9])
+
+
+def test_reads_of_an_edge_are_counted_once_each(spark):
+    rows = ["ACGTACGTACGTTT", "ACGTACG", "AAAAAAAAAA", "ACGNACGTA", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "read_id long, seq string")
+    got = {r.src + r.dst[-1]: r.reads for r in graph.support(df, 3).collect()}
+    assert got == collections.Counter(m for s in rows if s for m in {s[i : i + 4] for i in range(len(s) - 3)} if "N" not in m)
+
+
+def test_minimizers_equal_plain(spark):
+    rnd = random.Random(3)
+    rows = ["".join(rnd.choice("ACGT" if i % 4 else "ACGTN") for _ in range(rnd.choice([3, 6, 9, 80]))) for i in range(60)] + [None, ""]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "read_id long, seq string").repartition(3)
+    import hashlib
+
+    for k, w in ((5, 4), (12, 10)):
+        want = set()
+        for i, s in enumerate(rows):
+            h = [(int(hashlib.md5(s[j : j + k].encode()).hexdigest()[:15], 16), j) for j in range(len(s or "") - k + 1)]
+            want |= {(i, at, s[at : at + k]) for j in range(len(h) - min(w, len(h)) + 1 if h else 0) for at in [min(h[j : j + w])[1]]}
+        assert {tuple(r) for r in kmers.minimizers(df, k, w).collect()} == want
+
+
+def test_row_values_equal_expressions(spark):
+    rows = ["", "A", "ACGTNNACGT", "AAAACCGTTT" * 9, "ACGT" * 30 + "G" * 7]
+    s = F.col("s")
+    n = F.char_length(s)
+    each = [*(S.ratio(S.longest_run(s, b), n) for b in S.BASES), *(S.lag_match(s, p) for p in (2, 3, 4)), S.run_length_cost(s), *(S.distinct_share(s, k) for k in features_.SIZES)]
+    got = spark.createDataFrame([(x,) for x in rows], "s string").select("s", F.array(*each).alias("v")).collect()
+    for r in got:
+        assert np.allclose(r.v, features_.row_values(r.s))
+        plain = [r.s[i : i + 12] for i in range(len(r.s) - 11)]
+        assert features_.direct_share(r.s) == (sum(plain.count(x) > 1 for x in plain) / len(plain) if plain else 0)
+
+
+def test_distinct_kmers_of_keys(spark):
+    rows = [("a", "ACGTACGT"), ("a", "TTTTT"), ("b", "ACGNACG"), (None, "ACGT"), ("b", None)]
+    df = spark.createDataFrame(rows, "source string, seq string").repartition(2)
+    got = {(r.source, r.mer) for r in kmers.distinct(df, "source", 3).select("source", superkmers.letters([F.col("packed")], 3).alias("mer")).collect()}
+    assert got == {(k, s[i : i + 3]) for k, s in rows if s for i in range(len(s) - 2) if "N" not in s[i : i + 3]}
