@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from . import superkmers
 
 #: The ranks from the top, and the letters that reports have for them.
 RANKS = ("domain", "kingdom", "phylum", "class", "order", "family", "genus", "species")
@@ -71,12 +72,35 @@ def kmer_ancestors(sequences: DataFrame, k: int, only: DataFrame | None = None)
     return common(placed, "mer")
 
 
+def kmer_hits(queries: DataFrame, known: DataFrame, key: str, k: int, cut) -> DataFrame:
+    """(key, taxid, n): how many k-mers of each query have which node, the lowest common ancestor of the known sequences (seq, with ids) that
+    hold it; 0 for none. key: a column of 64-bit numbers.
+
+    Lineages in the order of their ids are the leaves of the tree from left to right, so the ancestor of any number of them is that of the first
+    and the last: two numbers for each k-mer, and no k-mer as letters beside its ids."""
+    ids = [f"id_{r}" for r in RANKS]
+    leaf = F.coalesce(*reversed(ids), F.lit(ROOT).cast("long"))
+    known = known.withColumn("__leaf", leaf)
+    order = cut(known.select("__leaf", *ids).distinct().orderBy(*ids).withColumn("__place", F.monotonically_increasing_id()))
+    placed = known.select("__leaf", "seq").join(order.select("__leaf", "__place"), "__leaf")
+    met = cut(superkmers.meetings(queries, placed, key, "__place", k))
+    side = lambda n: order.select(F.col("__place").alias(n), *(F.col(i).alias(f"{n}_{i}") for i in ids))
+    both = met.select("lo", "hi").where("lo is not null").distinct().join(side("lo"), "lo").join(side("hi"), "hi")
+    same = [F.when(F.col(f"lo_{i}") == F.col(f"hi_{i}"), F.col(f"lo_{i}")) for i in reversed(ids)]
+    node = both.select("lo", "hi", F.coalesce(*same, F.lit(ROOT).cast("long")).alias("taxid"))
+    return met.join(node, ["lo", "hi"], "left").groupBy(F.col("key").alias(key), F.coalesce("taxid", F.lit(0)).cast("long").alias("taxid")).agg(F.sum("n").alias("n"))
+
+
 def classify(queries: DataFrame, ancestors: DataFrame, up: DataFrame, key: str, k: int, cut) -> DataFrame:
     """(key, taxid, score, total_kmers, classified_kmers, kmers): each query's k-mers are looked up; a node's score is the number of k-mers on its path
     to the root, the best node is the query's, of nodes with equal scores their lowest common ancestor. Without any hit the taxid is 0.
     kmers: taxid:count by taxid, 0 for k-mers without a node. A query that has no k-mers is unclassified."""
     own = queries.select(key, F.explode(S.clean_kmers(F.col("seq"), k)).alias("mer")).groupBy(key, "mer").agg(F.count("*").alias("n"))
-    hits = cut(own.join(ancestors, "mer", "left").groupBy(key, F.coalesce("taxid", F.lit(0)).alias("taxid")).agg(F.sum("n").alias("n")))
+    return classify_hits(queries, cut(own.join(ancestors, "mer", "left").groupBy(key, F.coalesce("taxid", F.lit(0)).alias("taxid")).agg(F.sum("n").alias("n"))), up, key)
+
+
+def classify_hits(queries: DataFrame, hits: DataFrame, up: DataFrame, key: str) -> DataFrame:
+    """classify() by written hits (key, taxid, n)."""
     real = hits.where("taxid <> 0")
     paths = real.select(key, "taxid").join(up.select("taxid", "ancestor"), "taxid")
     score = paths.join(real.select(key, F.col("taxid").alias("ancestor"), "n"), [key, "ancestor"]).groupBy(key, "taxid").agg(F.sum("n").alias("score"))

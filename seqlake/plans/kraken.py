@@ -50,9 +50,8 @@ def _classified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     nodes = cut(nodes)
     up = cut(taxonomy.closure(nodes))
     asked = placed.where("doc_id % 20 = 0")
-    only = asked.select(F.explode(S.clean_kmers(F.col("seq"), K)).alias("mer")).distinct()
-    known = taxonomy.kmer_ancestors(placed.where("doc_id % 20 <> 0"), K, only)
-    found = taxonomy.classify(asked, known, up, "doc_id", K, cut)
+    hits = cut(taxonomy.kmer_hits(asked, placed.where("doc_id % 20 <> 0"), "doc_id", K, cut))
+    found = taxonomy.classify_hits(asked, hits, up, "doc_id")
     return cut(found.join(asked.select("doc_id", F.char_length("seq").cast("long").alias("len")), "doc_id")), nodes, up
 
 

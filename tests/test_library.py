@@ -501,3 +501,17 @@ def test_distinct_kmers_of_keys(spark):
     df = spark.createDataFrame(rows, "source string, seq string").repartition(2)
     got = {(r.source, r.mer) for r in kmers.distinct(df, "source", 3).select("source", superkmers.letters([F.col("packed")], 3).alias("mer")).collect()}
     assert got == {(k, s[i : i + 3]) for k, s in rows if s for i in range(len(s) - 2) if "N" not in s[i : i + 3]}
+
+
+def test_kmer_hits_are_common_ancestors(spark):
+    from seqlake.operators import taxonomy
+
+    rnd = random.Random(8)
+    names = lambda i: [f"d{i % 2}", f"k{i % 3}", *(f"{c}{i % 2}" if i % 5 else None for c in "pcof"), None if i % 5 == 0 or i % 7 == 0 else f"g{i % 4}", f"s{i}" if i % 5 and i % 7 else None]
+    seqs = ["".join(rnd.choice("ACGT") for _ in range(50)) for _ in range(6)]
+    rows = [(i, seqs[i % 6][: rnd.choice([4, 30, 50])] + rnd.choice(["", "N", seqs[i % 5][20:]]), *names(i)) for i in range(40)]
+    df = taxonomy.with_ids(spark.createDataFrame(rows, "id long, seq string, " + ", ".join(f"{r} string" for r in taxonomy.RANKS)).repartition(3))
+    asked, known = df.where("id % 4 = 0"), df.where("id % 4 <> 0")
+    own = asked.select("id", F.explode(S.clean_kmers(F.col("seq"), 9)).alias("mer"))
+    want = own.join(taxonomy.kmer_ancestors(known, 9), "mer", "left").groupBy("id", F.coalesce("taxid", F.lit(0)).alias("taxid")).agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, taxonomy.kmer_hits(asked, known, "id", 9, cut).collect())) == sorted(map(tuple, want.collect()))
