@@ -515,3 +515,14 @@ def test_kmer_hits_are_common_ancestors(spark):
     own = asked.select("id", F.explode(S.clean_kmers(F.col("seq"), 9)).alias("mer"))
     want = own.join(taxonomy.kmer_ancestors(known, 9), "mer", "left").groupBy("id", F.coalesce("taxid", F.lit(0)).alias("taxid")).agg(F.count("*").alias("n"))
     assert sorted(map(tuple, taxonomy.kmer_hits(asked, known, "id", 9, cut).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("k", [3, 4, 15])
+def test_bubbles_of_marked_nodes(spark, k):
+    rnd = random.Random(k)
+    left, right = ("".join(rnd.choice("ACGT") for _ in range(30)) for _ in range(2))
+    rows = [(left + mid + right,) for mid in ("", "A", "C", "GG", "TTT") for _ in range(2)] + [(left[:20] + b + left[21:],) for b in "ACGT" for _ in range(2)] if k < 15 else [(x,) for x in ("ACGT" * 12, "A" * 40, left + right) for _ in range(2)]
+    df = spark.createDataFrame(rows, "seq string").repartition(2)
+    edges = cut(graph.build(df, k, cut)[1])
+    got = sorted(map(tuple, graph.marked_bubbles(cut(graph.marks(df, k, cut)), k).collect()))
+    assert got == sorted(map(tuple, graph.bubbles(edges).collect())) and (got or k != 4)
