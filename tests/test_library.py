@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlake.functions import seq as S
-from seqlake.operators import binning, graph, kmers, qc, superkmers
+from seqlake.operators import binning, graph, kmers, qc, similar, superkmers
 from seqlake.operators import features as features_
 from seqlake.plans import registry
 from seqlake.plans.shared import cut
@@ -526,3 +526,64 @@ def test_bubbles_of_marked_nodes(spark, k):
     edges = cut(graph.build(df, k, cut)[1])
     got = sorted(map(tuple, graph.marked_bubbles(cut(graph.marks(df, k, cut)), k).collect()))
     assert got == sorted(map(tuple, graph.bubbles(edges).collect())) and (got or k != 4)
+
+
+def plain_search(rows, k, top):
+    """similar.search() of keys divisible by 3, in plain Python."""
+    held, out = collections.defaultdict(collections.Counter), []
+    for key, s in rows:
+        if key is not None:
+            held[key].update(m for m in ((s or "")[i : i + k] for i in range(len(s or "") - k + 1)) if set(m) <= set("ACGT"))
+    for q in (x for x in held if x % 3 == 0):
+        found = [(-sum(c for m, c in held[t].items() if m in held[q]), t, -1 if s is None else len(s)) for t, s in rows if t is not None]
+        out += [(q, t, -n, len(held[q]), None if size < 0 else size) for n, t, size in sorted(x for x in found if x[0])[:top]]
+    return sorted(out, key=repr)
+
+
+def searched():
+    r = random.Random(5)
+    words = ["".join(r.choices("ACGT", k=12)) for _ in range(9)]
+    rows = [(i, "".join(r.choices(words, k=r.randrange(9))) + r.choice(["", "N", "aC", "\u00c9A"]) + "".join(r.choices(words, k=r.randrange(4)))) for i in range(-6, 60)]
+    rows += [(i, rows[12][1]) for i in range(60, 90)] + [(7, rows[2][1]), (7, None), (9, rows[30][1]), (9, "ACG"), (90, None), (91, ""), (None, rows[3][1]), (93, "ACGTTG" * 60)]
+    return rows
+
+
+@pytest.mark.parametrize("k", [11, 16, 17])
+def test_search_equals_plain(spark, monkeypatch, k):
+    monkeypatch.setattr(similar, "ASKED", 700)
+    monkeypatch.setattr(similar, "KNOWN", 900)
+    rows = searched()
+    got = similar.search(spark.createDataFrame(rows, "id long, seq string"), "id", k, F.col("key") % 3 == 0, 4, cut)
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_search(rows, k, 4)
+
+
+@pytest.mark.parametrize("at_once, matrix, spread", [(1 << 20, 1 << 20, 1 << 20), (50, 60, 7), (5, 1, 1)])
+def test_search_of_a_block_in_pieces(spark, monkeypatch, at_once, matrix, spread):
+    rows = searched()
+    dealt = similar.pack(spark.createDataFrame(rows, "id long, seq string"), "id", 11)
+    asked, known = ([similar._Block(list(map(bytes, r[1:]))) for r in similar.blocks(x, 2, 900, top).collect()] for x, top in ((dealt.where("key % 3 = 0"), None), (dealt, 4)))
+    for name, size in (("AT_ONCE", at_once), ("MATRIX", matrix), ("SPREAD", spread)):
+        monkeypatch.setattr(similar, name, size)
+    got = []
+    for q in asked:
+        best = similar._Best(q, 11, 4)
+        for t in known:
+            best.add(t)
+        got += [tuple(r.values()) for b in best.rows() for r in b.to_pylist()]
+    assert sorted(got, key=repr) == plain_search(rows, 11, 4)
+
+
+def test_search_writes_no_row_for_each_pair(spark, tmp_path):
+    r = random.Random(7)
+    texts = ["thesameforall" * 2 + "".join(r.choices("abcdefgh", k=60)) for _ in range(1200)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def records() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = records()
+    assert registry.queries()["kmer_search"](spark, str(tmp_path)).count() == 60 * 5
+    # All 60 queries share k-mers with all 1,200 texts.
+    assert records() - before < 60 * 1200 / 4
