@@ -120,19 +120,15 @@ def index(sequences: DataFrame, key: str, k: int) -> DataFrame:
     return sequences.select(key, F.posexplode(S.clean_kmers(F.col("seq"), k)).alias("pos", "mer")).withColumn("k", F.lit(k))
 
 
-def search(queries: DataFrame, indexed: DataFrame, query_key: str, key: str, top: int | None = None) -> DataFrame:
+def search(queries: DataFrame, indexed: DataFrame, query_key: str, key: str) -> DataFrame:
     """(query, target, matches, score): places of the target whose k-mer is one of the query's, by the query's distinct k-mers. One row a
-    query and target, counted within tasks first; top: a report of the best of each query, ties by target."""
+    query and target, counted within tasks first: all pairs that share a k-mer, about queries times targets. The best of each query are found by similar.search()."""
     q = queries.select(F.col(query_key).alias("query"), "mer").distinct()
     size = q.groupBy("query").agg(F.count("*").alias("size"))
     # Only k-mers of queries can match: the index is cut down to them before it is counted.
     hits = indexed.join(q.select("mer").distinct(), "mer", "left_semi").groupBy("mer", F.col(key).alias("target")).agg(F.count("*").alias("c"))
     found = q.join(hits, "mer").groupBy("query", "target").agg(F.sum("c").alias("matches"))
-    out = found.join(size, "query").withColumn("score", F.col("matches") / F.col("size"))
-    if top:
-        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "target"))
-        out = out.withColumn("r", rank).where(F.col("r") <= top).drop("r")
-    return out.drop("size")
+    return found.join(size, "query").withColumn("score", F.col("matches") / F.col("size")).drop("size")
 
 
 def sample(counts: DataFrame, size: int) -> DataFrame:
