@@ -57,7 +57,7 @@ def test_blocks_of_no_kmers(spark):
     kept.unpersist()
 
 
-@pytest.mark.parametrize("name", ["graph_eigenvector"])
+@pytest.mark.parametrize("name", ["graph_eigenvector", "graph_node_vectors"])
 def test_blocks_write_no_row_for_each_node(spark, monkeypatch, tmp_path, name):
     monkeypatch.setattr(blocks, "BLOCKS", 4)
     monkeypatch.setattr(blocks, "TASKS", 4)
