@@ -20,14 +20,16 @@ from pyspark.sql import functions as F
 
 from . import graph as tables
 from .superkmers import BUCKETS, FLUSH, SPREAD, U64, _Counter, _kmers, _mix, joined, minimizer_size, pieces, reverse_complement
+from .superkmers import packed as words
 
 #: Blocks of a graph at least.
 BLOCKS = 128
 #: Tasks at least; more blocks than tasks keep memory low, and tasks of little work few.
 TASKS = 32
 _GRAPH = "block int, origin int, mers binary, coverage binary, ins binary, outs binary"
+_NO_WALK = pa.schema([("start", pa.int64()), ("n", pa.int32()), ("branch", pa.int32()), ("block", pa.int32()), ("at", pa.int64()), ("root", pa.int64()), ("path", pa.binary()), ("going", pa.bool_())])
 _NEAR = ["many", "tgt", "blocks", "slots", "sent", "send"]
-_KINDS = {"mers": U64, "coverage": np.int64, "marks": np.uint8, "many": np.uint8, "around": np.uint8}
+_KINDS = {"mers": U64, "coverage": np.int64, "marks": np.uint8, "many": np.uint8, "around": np.uint8, "outs": np.uint8}
 _MESSAGES = "block int, origin int, v binary"
 
 
@@ -106,8 +108,8 @@ def graph(reads: DataFrame, k: int, least: int = 2, coverage: bool = True) -> Da
             out = [(block, block, mer.tobytes(), n.astype(np.int64).tobytes() if coverage else b"", ins.tobytes(), outs.tobytes())]
             order = np.argsort(to, kind="stable")
             to, edge = to[order], edge[order]
-            first = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
-            for lo, hi in zip(first.tolist(), np.append(first[1:], len(to)).tolist(), strict=True):
+            bounds = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)]), len(to)).tolist()
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 if to[lo] != block:
                     out.append((int(to[lo]), block, edge[lo:hi].tobytes(), b"", b"", b""))
             yield _rows(out, _GRAPH)
@@ -349,3 +351,139 @@ def node_vectors(held: DataFrame, k: int, closed: dict[int, int]) -> DataFrame:
     told = _start(held, lambda b: total(b.marks), "marks")
     met = _met(held.repartition(tasks, "block"), told, summed, schema, "mers", "coverage", "marks")
     return met.mapInArrow(spelled, "mer string, " + ", ".join(f"f{i} double" for i in range(27)))
+
+
+#: Steps of a branch within a block at once.
+STRIDE = 64
+_WALK = "start bigint, n int, branch int, block int, at bigint, root bigint, path binary, going boolean"
+
+
+def packed(nodes: DataFrame, k: int) -> DataFrame:
+    """(block, mers, outs) of a table of nodes (mer, outs), as graph() has them."""
+    blocks, buckets, tasks = blocks_of(nodes.sparkSession)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(block_of(batch.column(0).to_numpy().view(U64), k, blocks, buckets)), *batch.columns], names=["block", "mer", "outs"])
+
+    def together(table: pa.Table) -> pa.Table:
+        mer, order = table.column("mer").to_numpy(), np.argsort(table.column("mer").to_numpy())
+        return pa.Table.from_batches([_rows([(table.column("block")[0].as_py(), mer[order].tobytes(), table.column("outs").to_numpy()[order].astype(np.uint8).tobytes())], "block int, mers binary, outs binary")])
+
+    rows = nodes.select("mer", F.col("outs").cast("int").alias("outs")).mapInArrow(dealt, "block int, mer bigint, outs int")
+    return _by_block(rows, tasks).applyInArrow(together, "block int, mers binary, outs binary")
+
+
+def _nodes(start: int, path: bytes, k: int) -> np.ndarray:
+    """The k-mers that a branch passes after its start, in order."""
+    before = np.array([start >> 2 * (k - 1 - j) & 3 for j in range(k)], np.uint8)
+    return words(np.append(before, np.frombuffer(path, np.uint8)), k)[1:]
+
+
+def _ended(start: int, path: bytes, k: int) -> tuple[bytes, int] | None:
+    """A path as far as it passes no node again, and the least node of the ring that it ends in, if it does."""
+    nodes = _nodes(start, path, k)
+    order = np.argsort(nodes, kind="stable")
+    again = order[1:][nodes[order][1:] == nodes[order][:-1]]
+    if not len(again):
+        return None
+    stop = int(again.min())
+    first = int(np.flatnonzero(nodes == nodes[stop])[0])
+    return path[:stop], int(nodes[first:stop].min())
+
+
+def bubbles(held: DataFrame, k: int, cut) -> DataFrame:
+    """graph.bubbles() of blocks (block, mers, outs), kept().
+
+    A branch goes on as long as one edge follows and ends at its root: a node that is followed by none or several, or the ring that it comes
+    to pass again, named by its least node. Branches meet if and only if they have one root, so a start of which two branches have different
+    roots is dropped at once, most of them within their block; the others' branches move on from block to block, each as its bases. Where
+    all have one root, the first node that all pass is found from them. Rounds follow the longest branch of the starts that are left."""
+    blocks, buckets, tasks = blocks_of(held.sparkSession)
+    mask = U64((1 << 2 * k) - 1)
+
+    def advance(mers: np.ndarray, outs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(last node, whether it is the root, bases passed with 255 after the last) of branches at nodes of the block or, where they are none, as they are."""
+        at, ended, steps = at.copy(), np.zeros(len(at), bool), np.full((STRIDE, len(at)), 255, np.uint8)
+        on = np.arange(len(at))
+        for j in range(STRIDE):
+            i, there = _found(mers, at[on])
+            on, i = on[there], i[there]
+            one = np.bitwise_count(outs[i]) == 1
+            base = np.log2(np.maximum(outs[i], 1)).astype(U64)
+            then = ((at[on] << U64(2)) & mask) | base
+            go = one & (then != at[on])
+            ended[on[~go]] = True
+            on = on[go]
+            if not len(on):
+                return at, ended, steps[:j]
+            at[on], steps[j, on] = then[go], base[go]
+        return at, ended, steps
+
+    def rows(start: np.ndarray, n: np.ndarray, branch: np.ndarray, at: np.ndarray, ended: np.ndarray, paths: list[bytes], roots: dict[int, int], going: np.ndarray) -> pa.RecordBatch:
+        root = at.view(np.int64).copy()
+        for i, r in roots.items():
+            root[i] = r
+        none = ~ended
+        none[list(roots)] = False
+        return pa.RecordBatch.from_arrays([pa.array(start.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(branch.astype(np.int32)), pa.array(block_of(at, k, blocks, buckets)), pa.array(at.view(np.int64)), pa.array(root, mask=none), pa.array(paths, pa.binary()), pa.array(going)], names=[c.split()[0] for c in _WALK.split(", ")])
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in _blocks(batch):
+                many = np.bitwise_count(block.outs)
+                starts = np.flatnonzero(many > 1)
+                for lo in range(0, len(starts), 1 << 16):
+                    s = starts[lo : lo + (1 << 16)]
+                    of, branch = np.nonzero(block.outs[s][:, None] >> np.arange(4).astype(np.uint8) & 1)
+                    at, ended, steps = advance(block.mers, block.outs, ((block.mers[s][of] << U64(2)) & mask) | branch.astype(U64))
+                    least, most, left = np.full(len(s), ~U64(0)), np.zeros(len(s), U64), np.zeros(len(s), bool)
+                    np.minimum.at(least, of[ended], at[ended])
+                    np.maximum.at(most, of[ended], at[ended])
+                    left[of[~ended]] = True
+                    keep = np.flatnonzero((least >= most)[of])
+                    of, branch, at, ended, steps = of[keep], branch[keep], at[keep], ended[keep], steps[:, keep]
+                    paths = [bytes((b,)) + x[x < 255].tobytes() for b, x in zip(branch.tolist(), np.ascontiguousarray(steps.T), strict=True)]
+                    yield rows(block.mers[s][of], many[s][of], branch, at, ended, paths, {}, left[of])
+
+    def moved(own: pa.Table, told: pa.Table) -> pa.Table:
+        block, (start, n, branch, at) = next(_blocks(own)), (told.column(c).to_numpy() for c in ("start", "n", "branch", "at"))
+        at, ended, steps = advance(block.mers, block.outs, at.view(U64))
+        paths, roots = [], {}
+        for i, (s, old, x) in enumerate(zip(start.tolist(), told.column("path").to_pylist(), np.ascontiguousarray(steps.T), strict=True)):
+            path = old + x[x < 255].tobytes()
+            # Whether a path came back to itself is looked at whenever it has doubled.
+            if not ended[i] and len(path).bit_length() > len(old).bit_length() and (ring := _ended(s, path, k)):
+                path, roots[i] = ring
+            paths.append(path)
+        return pa.Table.from_batches([rows(start, n, branch, at, ended, paths, roots, np.ones(len(start), bool))])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("start", "path")), strict=True))
+        out = []
+        for start, of in groupby(each, key=lambda r: r[0]):
+            passed: dict[int, list[int]] = {}
+            paths = [p for _, p in of]
+            for p in paths:
+                for step, node in enumerate(_nodes(start, p, k).tolist()):
+                    passed.setdefault(node, []).append(step)
+            _, end = min((max(at), node) for node, at in passed.items() if len(at) == len(paths))
+            out.append((start, end, len(paths)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["start", "end", "paths"])
+
+    columns = [c.split()[0] for c in _WALK.split(", ")]
+    state, found = cut(held.mapInArrow(begun, _WALK)), []
+    while True:
+        found.append(state.where("not going"))
+        state = state.where("going")
+        if state.isEmpty():
+            break
+        step = held.groupBy("block").cogroup(state.where("root is null").groupBy("block")).applyInArrow(lambda own, told: moved(own, told) if told.num_rows else pa.Table.from_batches([], _NO_WALK), _WALK)
+        each = state.where("root is not null").unionByName(step)
+        one = each.groupBy("start").agg(F.min("root").alias("least"), F.max("root").alias("most"), (F.count("root") < F.max("n")).alias("left"), F.collect_list(F.struct(*columns)).alias("x")).where("least is null or least = most")
+        state = cut(one.select("left", F.explode("x").alias("x")).select("x.*", "left").withColumn("going", F.col("left")).drop("left"))
+    whole = found[0]
+    for f in found[1:]:
+        whole = whole.unionByName(f)
+    end = whole.select("start", "path").repartition("start").sortWithinPartitions("start").mapInArrow(met, "start bigint, end bigint, paths bigint")
+    return end.select("start", "end", "paths", F.when(F.col("paths") == 2, "simple").otherwise("complex").alias("kind"))

@@ -68,3 +68,31 @@ def test_blocks_write_no_row_for_each_node(spark, monkeypatch, tmp_path, name):
     # A text has 126 15-mers; rows of pieces are fewer, and messages of blocks fewer still.
     assert registry.queries()[name](spark, str(tmp_path)).count() > 400 * 125
     assert shuffled(spark) - before < 400 * 126 / 2
+
+
+@pytest.mark.parametrize("k, number", [(3, 7), (4, 128), (7, 5), (15, 16)])
+def test_bubbles_equal_tables(spark, monkeypatch, k, number):
+    monkeypatch.setattr(blocks, "BLOCKS", number)
+    monkeypatch.setattr(blocks, "TASKS", 2)
+    monkeypatch.setattr(blocks, "STRIDE", 3)
+    r = random.Random(k)
+    left, right, other = ("".join(r.choices("ACGT", k=40)) for _ in range(3))
+    # Branches of equal and of unequal length that meet after more steps than k, a ring that two branches come to, and one a start's branches end in.
+    texts = [left + mid + right for mid in ("A", "C", "GGT")] + [other[:20] + b + other[21:] for b in "ACGT"] + [left[:25] + "AC" * 15, left[:25] + "CA" * 15, "G" * 40, "ACG" * 15]
+    reads = spark.createDataFrame([(x,) for x in texts for _ in range(2)], "seq string").repartition(2)
+    want = sorted(map(tuple, graph.bubbles(cut(graph.build(reads, k, cut)[1])).collect()))
+    held = blocks.kept(blocks.graph(reads, k, coverage=False).select("block", "mers", "outs"))
+    assert sorted(map(tuple, blocks.bubbles(held, k, cut).collect())) == want and (want or k < 7)
+    held.unpersist()
+
+
+def test_bubbles_of_reads(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(blocks, "BLOCKS", 8)
+    monkeypatch.setattr(blocks, "TASKS", 2)
+    r = random.Random(2)
+    left, right = ("".join(r.choices("ABCD", k=40)) for _ in range(2))
+    of_table(tmp_path, spark, [left + x + right for x in "ABAB"])
+    # A letter that differs in two of four reads parts them for 15 k-mers.
+    acgt = str.maketrans("ABCD", "ACGT")
+    got = [tuple(x) for x in registry.queries()["graph_bubbles"](spark, str(tmp_path)).collect()]
+    assert got == [(left[-15:].translate(acgt), right[:15].translate(acgt), 2, "simple")]
