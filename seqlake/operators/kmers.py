@@ -115,6 +115,31 @@ def without_repeats(minimizers: DataFrame) -> DataFrame:
     return minimizers.withColumn("before", before).where(~F.col("mer").eqNullSafe(F.col("before"))).drop("before")
 
 
+def unrepeated(reads: DataFrame, k: int) -> DataFrame:
+    """(read_id, pos, mer): without_repeats(positions(reads, k)) of reads whose ids differ, each within its row; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                texts = [s or "" for s in part.column(1).to_pylist()]
+                data = np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8)
+                off = np.append(0, np.cumsum([len(s) for s in texts]))
+                if len(data) < k:
+                    continue
+                bad, windows = np.append(0, np.cumsum(superkmers._CODE[data] > 3)), np.lib.stride_tricks.sliding_window_view(data, k)
+                row = np.repeat(np.arange(len(texts)), np.diff(off))[: len(windows)]
+                at = np.flatnonzero((np.arange(len(windows)) + k <= off[row + 1]) & (bad[k:] == bad[: len(windows)]))
+                mers, row = windows[at], row[at]
+                # The k-mer before is that of the last clean place of the same read, across a gap too.
+                new = np.append(True, (row[1:] != row[:-1]) | (mers[1:] != mers[:-1]).any(axis=1))[: len(at)]
+                at, row, mers = at[new], row[new], np.ascontiguousarray(mers[new])
+                strings = pa.StringArray.from_buffers(len(at), pa.py_buffer((np.arange(len(at) + 1) * k).astype(np.int32)), pa.py_buffer(mers))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(at - off[row]), strings], names=["read_id", "pos", "mer"])
+
+    return reads.select("read_id", "seq").mapInArrow(run, f"read_id {reads.schema['read_id'].dataType.simpleString()}, pos bigint, mer string")
+
+
 def index(sequences: DataFrame, key: str, k: int) -> DataFrame:
     """(key, pos, mer, k): the inverted index; written with partitionBy('k') one size can be replaced alone."""
     return sequences.select(key, F.posexplode(S.clean_kmers(F.col("seq"), k)).alias("pos", "mer")).withColumn("k", F.lit(k))
