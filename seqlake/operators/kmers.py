@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -167,15 +168,19 @@ def merge_samples(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
     return both.orderBy("h", "mer").limit(size)
 
 
-def distinct(reads: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, packed): the distinct clean k-mers of each key, k at most 31; a task keeps each of its own once before they are dealt."""
+#: Low bits of a k-mer in a range; a range's k-mers are one row.
+LOW = 20
+
+
+def _own(reads: DataFrame, key: str, k: int, rows: Callable[[str | None, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """rows() of the distinct clean k-mers, in order, of each key that a task has met; it keeps 4 * FLUSH of them or what FLUSH letters add."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, found, size = {}, {}, 0
 
         def merged() -> None:
             for name, texts in held.items():
-                joined = "N".join(texts).encode()
+                joined = "N".join(texts).encode("ascii", "replace")
                 codes = superkmers._CODE[np.frombuffer(joined, np.uint8)]
                 bad = np.append(0, np.cumsum(codes > 3))
                 words = superkmers.packed(codes & 3, k) if len(codes) >= k else np.zeros(0, np.uint64)
@@ -185,9 +190,7 @@ def distinct(reads: DataFrame, key: str, k: int) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             for name, words in found.items():
-                for lo in range(0, len(words), 1 << 16):
-                    part = words[lo : lo + (1 << 16)].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part)], names=["key", "packed"])
+                yield from rows(name, words)
             found.clear()
 
         for batch in batches:
@@ -204,8 +207,79 @@ def distinct(reads: DataFrame, key: str, k: int) -> DataFrame:
         merged()
         yield from out()
 
-    rows = reads.select(F.col(key).cast("string").alias("key"), "seq").mapInArrow(run, "key string, packed bigint")
-    return rows.distinct().withColumnRenamed("key", key)
+    return reads.select(F.col(key).cast("string").alias("key"), "seq").mapInArrow(run, schema)
+
+
+def distinct(reads: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, packed): the distinct clean k-mers of each key, k at most 31; a task keeps each of its own once before they are dealt."""
+
+    def rows(name: str | None, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(words), 1 << 16):
+            part = words[lo : lo + (1 << 16)].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part)], names=["key", "packed"])
+
+    return _own(reads, key, k, rows, "key string, packed bigint").distinct().withColumnRenamed("key", key)
+
+
+def _low(of: bytes) -> np.ndarray:
+    """The low bits of a range's k-mers, which are bits themselves where a list would be larger."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(of, np.uint8), bitorder="little")) if len(of) == 1 << LOW - 3 else np.frombuffer(of, "<u4")
+
+
+def _range(low: np.ndarray) -> bytes:
+    if 4 * len(low) < 1 << LOW - 3:
+        return low.astype("<u4").tobytes()
+    on = np.zeros(1 << LOW, bool)
+    on[low] = True
+    return np.packbits(on, bitorder="little").tobytes()
+
+
+def ranges(reads: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, high, low, n): distinct() for k of at most 16, the k-mers of a key that start alike in one row of at most 2^LOW bits, and their number."""
+    if k > 16:
+        raise ValueError("k is 1 to 16")
+
+    def rows(name: str | None, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        high, low = (words >> np.uint64(LOW)).astype(np.int64), (words & np.uint64((1 << LOW) - 1)).astype(np.int64)
+        cuts = np.append(np.flatnonzero(np.append(True, high[1:] != high[:-1])[: len(high)]), len(high)).tolist()
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array(high[lo : lo + 1]), pa.array([_range(low[lo:hi])], pa.binary())], names=["key", "high", "low"])
+
+    return joint(_own(reads, key, k, rows, "key string, high bigint, low binary"), "key").withColumnRenamed("key", key)
+
+
+def joint(parts: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, high, low, n) of rows (*keys, high, low): those of one range together."""
+    names, kinds = [*keys, "high"], [pa.string()] * len(keys) + [pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(len(names) + 1)), strict=True))
+        for of, part in groupby(rows, key=lambda r: r[:-1]):
+            on = np.zeros(1 << LOW, bool)
+            for r in part:
+                on[_low(r[-1])] = True
+            low = np.flatnonzero(on)
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(of, kinds, strict=True)), pa.array([_range(low)], pa.binary()), pa.array([len(low)])], names=[*names, "low", "n"])
+
+    dealt = parts.select(*names, "low").repartition(*names).sortWithinPartitions(*names)
+    return dealt.mapInArrow(run, ", ".join([*(f"{c} string" for c in keys), "high bigint", "low binary", "n bigint"]))
+
+
+def spelled(found: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, mer) of ranges(), k-mers in letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, high, of in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                packed = _low(of).astype(np.int64) | high << LOW
+                for lo in range(0, len(packed), 1 << 16):
+                    part = packed[lo : lo + (1 << 16)]
+                    codes = np.stack([part >> 2 * (k - 1 - j) & 3 for j in range(k)], axis=1)
+                    letters = pa.py_buffer(np.frombuffer(b"ACGT", np.uint8)[codes])
+                    mers = pa.StringArray.from_buffers(len(part), pa.py_buffer((np.arange(len(part) + 1) * k).astype(np.int32)), letters)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), mers], names=["key", "mer"])
+
+    return found.select(F.col(key).cast("string").alias("key"), "high", "low").mapInArrow(run, "key string, mer string").withColumnRenamed("key", key)
 
 
 def sketch(reads: DataFrame, key: str, k: int) -> DataFrame:
@@ -215,7 +289,12 @@ def sketch(reads: DataFrame, key: str, k: int) -> DataFrame:
 
 def sketch_of(found: DataFrame, key: str, k: int) -> DataFrame:
     """sketch() of distinct packed k-mers."""
-    return found.select(key, superkmers.letters([F.col("packed")], k).alias("mer")).groupBy(key).agg(F.hll_sketch_agg("mer", F.lit(12)).alias("sketch"))
+    return sketch_of_letters(found.select(key, superkmers.letters([F.col("packed")], k).alias("mer")), key)
+
+
+def sketch_of_letters(found: DataFrame, key: str) -> DataFrame:
+    """sketch() of distinct k-mers (key, mer)."""
+    return found.groupBy(key).agg(F.hll_sketch_agg("mer", F.lit(12)).alias("sketch"))
 
 
 def choose_k(stats: DataFrame, budget_mb: int = 2048, least: int = 15, most: int = 127) -> DataFrame:
